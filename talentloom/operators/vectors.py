@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentloom.functions import text as T
@@ -98,3 +98,19 @@ def dot(a: Column, b: Column) -> Column:
 def similarity_score(cosine: Column) -> Column:
     """Cosine to 0..100, two decimals."""
     return round_half_up(clamp(cosine, 0.0, 1.0) * F.lit(100.0), 2)
+
+
+def indexed_vocabulary(vocab: DataFrame) -> DataFrame:
+    """Add ``i`` 0…k-1 in term order to a vocabulary cut to max_features (at most that many rows in the window)."""
+    return vocab.withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)
+
+
+def indexed_vectors(counts: DataFrame, vocab: DataFrame, doc_id: str, sublinear: bool = False) -> DataFrame:
+    """(doc, vector): unit-length array<struct<i, w>> over an indexed vocabulary."""
+    tf = F.col("tf").cast("double")
+    raw = (F.lit(1.0) + F.log(tf) if sublinear else tf) * F.col("idf")
+    hits = counts.join(F.broadcast(vocab.select("term", "idf", "i")), "term")  # at most max_features rows
+    packed = hits.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("i", raw.alias("w")))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    return packed.withColumn("norm", norm).select(
+        doc_id, F.transform("v", lambda x: F.struct(x["i"].alias("i"), (x["w"] / F.col("norm")).alias("w"))).alias("vector"))
