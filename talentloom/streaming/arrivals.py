@@ -11,6 +11,7 @@ from talentloom.functions import score as S
 
 
 def read_arrivals(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
+    """Parquet files of a folder or a glob, as they arrive."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
