@@ -138,7 +138,7 @@ def merged_years(section: Column, as_of_year: int) -> Column:
             F.greatest(acc["until"], s["end"]).alias("until"),
         )
     zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("until"))
-    ordered = F.array_sort(year_ranges(section, as_of_year))
+    ordered = F.sort_array(year_ranges(section, as_of_year))
     return F.aggregate(ordered, zero, add, lambda acc: acc["total"]).cast("double")
 
 

@@ -38,7 +38,7 @@ def with_synonyms(found: Column) -> Column:
 
 
 def missing_sections(found: Column, expected: Sequence[str] = rules.EXPECTED_SECTIONS) -> Column:
-    return F.array_sort(F.array_except(_words(expected), with_synonyms(found)))
+    return F.sort_array(F.array_except(_words(expected), with_synonyms(found)))
 
 
 def section_score(found: Column, expected: Sequence[str] = rules.EXPECTED_SECTIONS) -> Column:

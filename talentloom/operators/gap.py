@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talentloom import rules
 from talentloom.functions import text as T
+from talentloom.functions.numeric import bind
 
 
 def word_frequency(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -21,7 +22,7 @@ def repeated_words(docs: DataFrame, doc_id: str, text: str, min_freq: int = 2) -
 
     One opening is one group here, and its words are the words of one text row.
     """
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("f"), "first_pos", "word")))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("f"), "first_pos", "word")))
     return (
         word_frequency(docs, doc_id, text).filter(F.col("freq") >= min_freq)
         .groupBy(doc_id).agg(F.transform(ordered, lambda w: w["word"]).alias("repeated"))
@@ -33,6 +34,10 @@ def missing_keywords(resume_text: Column, repeated: Column, limit: int = rules.M
 
     The cut is the feature (a short list for the reader), in a fixed order.
     """
-    low = F.lower(T.blank_if_null(resume_text))
-    absent = F.filter(F.coalesce(repeated, F.array().cast("array<string>")), lambda w: ~F.contains(low, w))
-    return F.slice(absent, 1, limit)
+    return F.slice(absent_words(resume_text, repeated), 1, limit)
+
+
+def absent_words(resume_text: Column, words: Column) -> Column:
+    """The words that the lower-cased text nowhere contains; the text is lower-cased once."""
+    listed = F.coalesce(words, F.array().cast("array<string>"))
+    return bind(F.lower(T.blank_if_null(resume_text)), lambda low: F.filter(listed, lambda w: ~F.contains(low, w)))

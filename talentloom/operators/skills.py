@@ -131,7 +131,7 @@ class SkillRules:
         """Add ``skills`` (sorted distinct canonical names) and ``skill_keys`` (see :func:`keyed`)."""
         lookup = _as_map(self.forms, "form", "canonical").alias("_forms")
         found = F.array_intersect(phrases(F.col(text)), F.map_keys("_forms"))
-        skills = F.array_sort(F.array_distinct(F.transform(found, lambda f: F.element_at("_forms", f))))
+        skills = F.sort_array(F.array_distinct(F.transform(found, lambda f: F.element_at("_forms", f))))
         named = docs.select("*", lookup).select(*docs.columns, skills.alias("skills"))
         return self.with_keys(named, "skills")
 
@@ -155,22 +155,28 @@ def keyed(skills: Column, aliases: Column) -> Column:
 
 
 def _names(pairs: Column) -> Column:
-    return F.array_sort(F.transform(pairs, lambda p: T.display_case(p["name"])))
+    return F.sort_array(F.transform(pairs, lambda p: T.display_case(p["name"])))
 
 
 def skill_overlap(resume: Column, jd: Column) -> Column:
     """struct(matched, missing, extra, overlap_pct) of two keyed skill lists."""
-    resume_keys = F.transform(resume, lambda p: p["key"])
-    jd_keys = F.transform(jd, lambda p: p["key"])
-    in_both = F.filter(resume, lambda p: F.array_contains(jd_keys, p["key"]))
+    def keys(pairs: Column) -> Column:
+        return F.transform(pairs, lambda p: p["key"])
+
+    def within(pairs: Column, other: Column) -> Column:
+        return bind(keys(other), lambda known: F.filter(pairs, lambda p: F.array_contains(known, p["key"])))
+
+    def beyond(pairs: Column, other: Column) -> Column:
+        return bind(keys(other), lambda known: F.filter(pairs, lambda p: ~F.array_contains(known, p["key"])))
+
     return F.struct(
-        _names(in_both).alias("matched"),
-        _names(F.filter(jd, lambda p: ~F.array_contains(resume_keys, p["key"]))).alias("missing"),
-        _names(F.filter(resume, lambda p: ~F.array_contains(jd_keys, p["key"]))).alias("extra"),
-        round1(share(F.size(in_both), F.size(jd)) * F.lit(100.0)).alias("overlap_pct"),
+        _names(within(resume, jd)).alias("matched"),
+        _names(beyond(jd, resume)).alias("missing"),
+        _names(beyond(resume, jd)).alias("extra"),
+        round1(share(F.size(F.array_intersect(keys(resume), keys(jd))), F.size(jd)) * F.lit(100.0)).alias("overlap_pct"),
     )
 
 
 def plain_extras(skills: Column) -> Column:
     """Skills shown when there is no opening: display names, distinct, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(skills, T.display_case)))
+    return F.sort_array(F.array_distinct(F.transform(skills, T.display_case)))

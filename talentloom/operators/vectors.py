@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentloom.functions import text as T
-from talentloom.functions.numeric import clamp, round_half_up
+from talentloom.functions.numeric import bind, clamp, round_half_up
 
 HEAD_TERMS = 10_000
 
@@ -60,12 +60,14 @@ def tfidf(counts: DataFrame, vocab: DataFrame, doc_id: str, sublinear: bool = Fa
         none = F.array().cast("array<struct<term: string, w: double>>")
         both = F.concat(F.coalesce("c", none), F.coalesce("r", none))
         entries = common.join(rare, doc_id, "full").select(doc_id, both.alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    return entries.withColumn("v", F.array_sort("v")).withColumn("norm", norm).select(
-        doc_id,
-        F.transform("v", lambda x: x["term"]).alias("terms"),
-        F.transform("v", lambda x: x["w"] / F.col("norm")).alias("weights"),
-    )
+    v = entries.select(doc_id, F.sort_array("v").alias("v"))
+    return v.select(doc_id, F.transform("v", lambda x: x["term"]).alias("terms"), unit_weights(F.col("v")).alias("weights"))
+
+
+def unit_weights(entries: Column) -> Column:
+    """Weights of array<struct<…, w>> at length one; the norm is bound, not evaluated per element."""
+    norm = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    return bind(norm, lambda n: F.transform(entries, lambda x: x["w"] / n))
 
 
 def tfidf_vectors(docs: DataFrame, doc_id: str, text: str, *, corpus: DataFrame | None = None,
@@ -110,7 +112,6 @@ def indexed_vectors(counts: DataFrame, vocab: DataFrame, doc_id: str, sublinear:
     tf = F.col("tf").cast("double")
     raw = (F.lit(1.0) + F.log(tf) if sublinear else tf) * F.col("idf")
     hits = counts.join(F.broadcast(vocab.select("term", "idf", "i")), "term")  # at most max_features rows
-    packed = hits.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("i", raw.alias("w")))).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    return packed.withColumn("norm", norm).select(
-        doc_id, F.transform("v", lambda x: F.struct(x["i"].alias("i"), (x["w"] / F.col("norm")).alias("w"))).alias("vector"))
+    packed = hits.groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct("i", raw.alias("w")))).alias("v"))
+    return packed.select(doc_id, F.zip_with(
+        F.transform("v", lambda x: x["i"]), unit_weights(F.col("v")), lambda i, w: F.struct(i.alias("i"), w.alias("w"))).alias("vector"))

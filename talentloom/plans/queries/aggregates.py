@@ -153,7 +153,7 @@ def ev_quality_report(t):
 @query("sort_skills", """
     SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), '; ') AS kinds FROM events GROUP BY user_id""")
 def sort_skills(t):
-    return t.events.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "; ").alias("kinds"))
+    return t.events.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), "; ").alias("kinds"))
 
 
 @query("lim_first_k", f"SELECT doc_id, array_to_string({Q.words('text')}[1:4], '; ') AS opening FROM documents")

@@ -245,8 +245,7 @@ def _missing_words(t):
     WITH {PAIR_CTES}, {WORD_CTES} SELECT application_id, word FROM pairs JOIN jf0 ON jf0.jd_id = real_jd JOIN resumes r ON r.resume_id = pairs.resume_id
     WHERE freq >= 2 AND NOT contains(lower(r.text), word)""")
 def join_missing_keyword(t):
-    absent = F.filter("repeated", lambda w: ~F.contains(F.lower("text"), w))
-    return _missing_words(t).select("application_id", F.explode(absent).alias("word"))
+    return _missing_words(t).select("application_id", F.explode(G.absent_words(C, F.col("repeated"))).alias("word"))
 
 
 @query("agg_missing_keywords", f"""

@@ -143,7 +143,7 @@ def txt_sanitize_latin1(t):
     FROM (SELECT doc_id, {Q.keywords('text')} AS k FROM documents)""")
 def txt_keywords(t):
     k = t.documents.select("doc_id", T.keywords(C).alias("k"))
-    return k.select("doc_id", F.size("k").cast("long").alias("keywords"), F.md5(F.array_join(F.array_sort("k"), " ")).alias("digest"))
+    return k.select("doc_id", F.size("k").cast("long").alias("keywords"), F.md5(F.array_join(F.sort_array("k"), " ")).alias("digest"))
 
 
 @query("txt_display_case", f"""
@@ -195,7 +195,7 @@ def txt_bullets(t):
     FROM (SELECT doc_id, {Q.words('text')} AS w FROM documents)""")
 def set_intersect(t):
     listed = F.array(*[F.lit(v) for v in rules.ACTION_VERBS + rules.STOPWORDS])
-    return t.documents.select("doc_id", joined(F.array_sort(F.array_intersect(listed, T.long_words(C)))).alias("shared"))
+    return t.documents.select("doc_id", joined(F.sort_array(F.array_intersect(listed, T.long_words(C)))).alias("shared"))
 
 
 @query("set_except", f"""
@@ -203,7 +203,7 @@ def set_intersect(t):
     FROM (SELECT resume_id, {Q.sections('text')} AS s FROM resumes)""")
 def set_except(t):
     expected = F.array(*[F.lit(v) for v in rules.EXPECTED_SECTIONS])
-    return t.resumes.select("resume_id", joined(F.array_sort(F.array_except(expected, X.sections(C)))).alias("absent"))
+    return t.resumes.select("resume_id", joined(F.sort_array(F.array_except(expected, X.sections(C)))).alias("absent"))
 
 
 @query("set_add_synonyms", f"""
@@ -212,4 +212,4 @@ def set_except(t):
 def set_add_synonyms(t):
     from talentloom.functions.score import with_synonyms
     s = t.resumes.select("resume_id", X.sections(C).alias("s"))
-    return s.select("resume_id", joined(F.array_sort(with_synonyms(F.col("s")))).alias("found"))
+    return s.select("resume_id", joined(F.sort_array(with_synonyms(F.col("s")))).alias("found"))

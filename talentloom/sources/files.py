@@ -100,7 +100,7 @@ def join_pages(pages: DataFrame, doc_id: str, page: str, text: str) -> DataFrame
 
     ``page`` counts from 0.  The pages of one document are one text, so the group is one row's worth.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
     grouped = pages.groupBy(doc_id).agg(ordered.alias("pages"))
     return grouped.select(
         doc_id,
