@@ -9,15 +9,11 @@ from pyspark.sql import functions as F
 
 from talentloom import rules
 from talentloom.functions import text as T
-from talentloom.functions.numeric import bind
+from talentloom.functions.numeric import bind, constant_list, constant_pairs
 
 ANY_CASE = "(?iU)"
 
 
-def _literals(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def _any_of(pairs: Sequence[tuple[Column, str]]) -> Column:
     """The names whose condition holds, in the given order.
 
@@ -47,7 +43,7 @@ def phone_us(c: Column) -> Column:
 def is_contact_line(line: Column) -> Column:
     """Lines that carry an address, a link, a label, digits or a word that is never a name."""
     words = F.transform(F.split(T.strip(line), r"(?U)\s+"), F.lower)
-    return line.rlike(r"(?U)@|http|www\.|:|\||\d") | F.arrays_overlap(words, _literals(rules.NOT_A_NAME))
+    return line.rlike(r"(?U)@|http|www\.|:|\||\d") | F.arrays_overlap(words, constant_list(rules.NOT_A_NAME))
 
 
 def name(c: Column) -> Column:
@@ -166,8 +162,9 @@ def degrees(c: Column) -> Column:
 
 def study_fields(c: Column, fields: Sequence[str] = rules.STUDY_FIELDS) -> Column:
     """Fields named anywhere, also inside longer words."""
-    low = F.lower(T.blank_if_null(c))
-    return _any_of([(F.contains(low, F.lit(f.lower())), f) for f in fields])
+    listed = constant_pairs({f.lower(): f for f in fields})
+    return bind(F.lower(T.blank_if_null(c)), lambda low: F.transform(
+        F.filter(listed, lambda f: F.contains(low, f["k"])), lambda f: f["v"]))
 
 
 def institutions(c: Column) -> Column:
@@ -185,7 +182,9 @@ def degree_level(c: Column, undot: bool = False) -> Column:
     if undot:
         low = F.replace(low, F.lit("."), F.lit(""))
         levels = {k.replace(".", ""): v for k, v in levels.items()}
-    return F.greatest(F.lit(0), *[F.when(F.contains(low, F.lit(k)), F.lit(v)).otherwise(F.lit(0)) for k, v in levels.items()])
+    named = bind(low, lambda t: F.array_max(F.transform(
+        F.filter(constant_pairs(levels), lambda d: F.contains(t, d["k"])), lambda d: d["v"])))
+    return F.coalesce(named, F.lit(0))
 
 
 def highest_degree(items: Column, undot: bool = False) -> Column:

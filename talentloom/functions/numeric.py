@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,3 +45,19 @@ def clamp(x: Column, low: float, high: float) -> Column:
 def share(part: Column, whole: Column) -> Column:
     """part / max(whole, 1) as a double."""
     return part.cast("double") / F.greatest(whole, F.lit(1)).cast("double")
+
+
+def constant_list(values: Sequence[str]) -> Column:
+    """A constant array of strings, built in one call (a literal per word costs a call each)."""
+    return F.expr("array(" + ", ".join(_quoted(v) for v in values) + ")")
+
+
+def constant_pairs(values: Mapping[str, object]) -> Column:
+    """A constant array<struct<k, v>> of strings and integers or strings."""
+    def item(v: object) -> str:
+        return str(v) if isinstance(v, int) else _quoted(str(v))
+    return F.expr("array(" + ", ".join(f"struct({_quoted(k)} AS k, {item(v)} AS v)" for k, v in values.items()) + ")")
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

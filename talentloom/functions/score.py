@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 
 from talentloom import rules
 from talentloom.functions import text as T
-from talentloom.functions.numeric import round1
-
-
-def _words(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+from talentloom.functions.numeric import constant_list, round1
 
 
 def _message(key: str, value: Column | None = None) -> Column:
@@ -33,16 +29,16 @@ def _messages(*conditions: tuple[Column, Column]) -> Column:
 
 def with_synonyms(found: Column) -> Column:
     """Having a summary or an objective counts as having both."""
-    either = _words(["summary", "objective"])
+    either = constant_list(["summary", "objective"])
     return F.when(F.arrays_overlap(found, either), F.array_union(found, either)).otherwise(found)
 
 
 def missing_sections(found: Column, expected: Sequence[str] = rules.EXPECTED_SECTIONS) -> Column:
-    return F.sort_array(F.array_except(_words(expected), with_synonyms(found)))
+    return F.sort_array(F.array_except(constant_list(expected), with_synonyms(found)))
 
 
 def section_score(found: Column, expected: Sequence[str] = rules.EXPECTED_SECTIONS) -> Column:
-    hit = F.size(F.array_intersect(_words(expected), with_synonyms(found)))
+    hit = F.size(F.array_intersect(constant_list(expected), with_synonyms(found)))
     return hit.cast("double") / F.lit(float(max(len(expected), 1))) * F.lit(100.0)
 
 
@@ -108,7 +104,7 @@ def density_feedback(density: Column) -> Column:
 
 
 def action_verb_count(resume_keywords: Column, verbs: Sequence[str] = rules.ACTION_VERBS) -> Column:
-    return F.size(F.array_intersect(_words(verbs), resume_keywords))
+    return F.size(F.array_intersect(constant_list(verbs), resume_keywords))
 
 
 def richness(has_words: Column, verbs: Column, numbers: Column, keyword_count: Column) -> Column:

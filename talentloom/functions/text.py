@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentloom import rules
-from talentloom.functions.numeric import bind
+from talentloom.functions.numeric import bind, constant_list
 
 
 def blank_if_null(c: Column) -> Column:
@@ -94,7 +94,7 @@ def long_words(c: Column) -> Column:
 
 def keywords(c: Column, stopwords: Sequence[str] = rules.STOPWORDS) -> Column:
     """Distinct long words without stopwords."""
-    return F.array_except(long_words(c), F.array(*[F.lit(w) for w in stopwords]))
+    return F.array_except(long_words(c), constant_list(stopwords))
 
 
 def tokens(c: Column) -> Column:

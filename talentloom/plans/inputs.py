@@ -174,7 +174,7 @@ BASE_TABLES = (
 ).split()
 
 
-WIDE_TABLES = {"documents", "customer", "conversations", "pages"}
+WIDE_TABLES = {"documents", "customer", "supplier", "conversations", "pages"}
 
 
 class Inputs:
