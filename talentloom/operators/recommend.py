@@ -37,7 +37,8 @@ def recommend(texts: DataFrame, catalogue: DataFrame, text_id: str, text: str, t
     items = padded(catalogue.select("role"), V.indexed_vectors(jobs, vocab, "role"), "role", "item_id")
     counts = V.term_counts(texts, text_id, text)
     queries = padded(texts.select(text_id), V.indexed_vectors(counts, vocab, text_id), text_id, "query_id")
-    best = topk.top_n(queries, items, top_n, max_features, sparse=True)
+    best = topk.top_n(queries, items, top_n, max_features, sparse=True,
+                      query_rows=texts.count(), item_rows=catalogue.count())
     named = best.join(catalogue, best["item_id"] == catalogue["role"])
     return named.select(F.col("query_id").alias(text_id), "rank", "role", score(F.col("similarity")).alias("score"),
                         T.snippet(F.col("features")).alias("snippet"))

@@ -51,14 +51,16 @@ def _best(query_ids: np.ndarray, queries: pd.Series, item_ids: np.ndarray, items
 
 
 def top_n(queries: DataFrame, items: DataFrame, n: int, dims: int, sparse: bool = False,
-          chunk_rows: int = QUERY_CHUNK_ROWS, block_rows: int = ITEM_BLOCK_ROWS) -> DataFrame:
+          chunk_rows: int = QUERY_CHUNK_ROWS, block_rows: int = ITEM_BLOCK_ROWS,
+          query_rows: int | None = None, item_rows: int | None = None) -> DataFrame:
     """(query_id, item_id, similarity, rank) from ``queries(query_id, vector)``, ``items(item_id, vector)``.
 
     Similarity is rounded to six digits, then ties go to the smaller item id.  ``sparse`` vectors
-    are arrays of struct(i, w) with i < dims.  The two counts read no vector column.
+    are arrays of struct(i, w) with i < dims.  Pass the row counts where they are known or cheaper to
+    get than by counting the vectors.
     """
-    chunks = max(1, math.ceil(queries.count() / chunk_rows))
-    blocks = max(1, math.ceil(items.count() / block_rows))
+    chunks = max(1, math.ceil((queries.count() if query_rows is None else query_rows) / chunk_rows))
+    blocks = max(1, math.ceil((items.count() if item_rows is None else item_rows) / block_rows))
     to_matrix = _sparse if sparse else _dense
 
     def kernel(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:

@@ -16,16 +16,22 @@ def bigrams(words: Column) -> Column:
     return F.filter(pairs, lambda p: p.isNotNull())
 
 
-def term_counts(docs: DataFrame, doc_id: str, text: str, with_bigrams: bool = False) -> DataFrame:
+def place(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Texts placed by document: the one shuffle of the texts."""
+    return docs.select(doc_id, text).repartition(doc_id)
+
+
+def term_counts(docs: DataFrame, doc_id: str, text: str, with_bigrams: bool = False, placed: bool = False) -> DataFrame:
     """(doc, term, tf).
 
-    The texts are placed by document first; explode and both groupings by document then stay on
-    their partition, so the wide (doc, term) table is never shuffled as a whole.
+    The texts are placed by document first (unless ``docs`` came from :func:`place`); explode and
+    both groupings by document then stay on their partition, so the wide (doc, term) table is never
+    shuffled as a whole.
     """
     words = T.tokens(F.col(text))
     terms = F.concat(words, bigrams(words)) if with_bigrams else words
-    placed = docs.select(doc_id, text).repartition(doc_id)
-    return placed.select(doc_id, F.explode(terms).alias("term")).groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
+    at = docs if placed else place(docs, doc_id, text)
+    return at.select(doc_id, F.explode(terms).alias("term")).groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, docs: DataFrame, max_features: int | None = None) -> DataFrame:

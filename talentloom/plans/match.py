@@ -68,19 +68,21 @@ def match(applications: DataFrame, resumes: DataFrame, jds: DataFrame, skills: S
     """One scored row per application.
 
     ``resumes(resume_id, text)``, ``jds(jd_id, text)``.  The small side of a pair (the opening) is
-    attached first, so the long texts are shuffled once, for the join that needs them, and leave it
-    as scores.  Both joins spread hot keys.
+    attached first.  Texts are placed by résumé once; facts, vectors and their join stay there, and a
+    second shuffle brings them to their applications, where they become scores.  Both joins with the
+    applications spread hot keys.
     """
     tune = {} if hot_rows is None else {"min_rows": hot_rows}
     wanted = jds.select("jd_id", F.col("text"))
     jd_terms = V.term_counts(wanted, "jd_id", "text")
-    resume_terms = V.term_counts(resumes, "resume_id", "text")
+    texts = V.place(resumes, "resume_id", "text")
+    resume_terms = V.term_counts(texts, "resume_id", "text", placed=True)
     vocab = V.vocabulary(resume_terms, resumes)
     jd_vectors = V.tfidf(jd_terms, vocab, "jd_id").toDF("jd_id", "jd_terms", "jd_weights")
     resume_vectors = V.tfidf(resume_terms, vocab, "resume_id")
 
     openings = opening_facts(wanted, "jd_id", "text", skills).join(jd_vectors, "jd_id", "left")
-    people = structure(facts(resumes, "resume_id", "text", skills, as_of_year)).join(resume_vectors, "resume_id", "left")
+    people = structure(facts(texts, "resume_id", "text", skills, as_of_year)).join(resume_vectors, "resume_id", "left")
     pairs = skew_join(applications, openings, "jd_id", "application_id", "left", **tune)
     return score_pairs(skew_join(pairs, people, "resume_id", "application_id", "inner", count_on=applications, **tune))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from talentloom import rules
 from talentloom.functions import extract as X
 from talentloom.functions import text as T
+from talentloom.functions.numeric import bind
 from talentloom.operators import metrics
-from talentloom.operators.skills import phrases  # noqa: F401
 from talentloom.plans.queries import sql as Q
 from talentloom.plans.queries.registry import joined, joined_sql, query
 
@@ -86,9 +86,9 @@ def flt_nonempty_sections(t):
     WITH {SECTION_ROWS} SELECT resume_id, n::BIGINT AS line_no, sid::BIGINT AS section_no FROM ids""")
 def win_section_ids(t):
     heading = "(?iU)" + rules.SPLIT_HEADING
-    flags = F.transform(T.lines(C), lambda l: l.rlike(heading).cast("int"))
-    # one text is one row: the running count stays inside it, no window and no shuffle
-    running = F.aggregate(flags, F.array().cast("array<int>"), lambda acc, f: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + f)))
+    at = F.filter(F.transform(T.lines(C), lambda l, i: F.when(l.rlike(heading), i)), lambda i: i.isNotNull())
+    # one text is one row: headings up to a line are counted inside it, no window and no shuffle
+    running = bind(at, lambda heads: F.transform(T.lines(C), lambda l, i: F.size(F.filter(heads, lambda h: h <= i))))
     return t.resumes.select("resume_id", F.posexplode(running).alias("n", "sid")).select(
         "resume_id", (F.col("n") + 1).cast("long").alias("line_no"), F.col("sid").cast("long").alias("section_no"))
 
