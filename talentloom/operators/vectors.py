@@ -17,8 +17,13 @@ def bigrams(words: Column) -> Column:
 
 
 def place(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Texts placed by document: the one shuffle of the texts."""
-    return docs.select(doc_id, text).repartition(doc_id)
+    """Texts placed by document: the one shuffle of the texts.
+
+    The number of partitions is the session's, stated outright: what follows is heavy on the
+    processor, and partitions merged for their small size would leave cores idle.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(doc_id, text).repartition(partitions, doc_id)
 
 
 def term_counts(docs: DataFrame, doc_id: str, text: str, with_bigrams: bool = False, placed: bool = False) -> DataFrame:
