@@ -12,45 +12,43 @@ from talentloom.plans.inputs import AS_OF_YEAR
 from talentloom.plans.queries import sql as Q
 from talentloom.plans.queries.registry import joined, joined_sql, query
 
-C = F.col("text")
 
-
-def _one(name, column, check):
-    """A query that shows one extracted value per résumé."""
-    query(name, f"SELECT resume_id, {check} AS found FROM resumes")(lambda t: t.resumes.select("resume_id", column.alias("found")))
+def _one(name, value, check):
+    """A query that shows ``value(text)`` of every résumé."""
+    query(name, f"SELECT resume_id, {check} AS found FROM resumes")(lambda t: t.resumes.select("resume_id", value(F.col("text")).alias("found")))
 
 
 @query("ext_email", f"""
     SELECT 'r' AS kind, resume_id AS id, {Q.email('text')} AS found FROM resumes
     UNION ALL SELECT 'd', doc_id, {Q.email('text')} FROM documents""")
 def ext_email(t):
-    return t.resumes.select(F.lit("r").alias("kind"), F.col("resume_id").alias("id"), X.email(C).alias("found")).unionByName(
-        t.documents.select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), X.email(C).alias("found")))
+    return t.resumes.select(F.lit("r").alias("kind"), F.col("resume_id").alias("id"), X.email(F.col("text")).alias("found")).unionByName(
+        t.documents.select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), X.email(F.col("text")).alias("found")))
 
 
 @query("ext_phone", f"""
     SELECT 'r' AS kind, resume_id AS id, {Q.phone('text')} AS found FROM resumes
     UNION ALL SELECT 'd', doc_id, {Q.phone('text')} FROM documents""")
 def ext_phone(t):
-    return t.resumes.select(F.lit("r").alias("kind"), F.col("resume_id").alias("id"), X.phone(C).alias("found")).unionByName(
-        t.documents.select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), X.phone(C).alias("found")))
-
-
-_one("ext_phone_us", X.phone_us(C), f"nullif(regexp_extract(text, {Q.q(rules.PHONE_US)}), '')")
-_one("ext_name", X.name(C), Q.name("text"))
-_one("ext_name_bigram", X.name_bigram(C), f"nullif(regexp_extract(text, {Q.q(rules.NAME_BIGRAM)}), '')")
-_one("ext_sections", joined(X.sections(C)), joined_sql(Q.sections("text")))
-_one("ext_degrees", joined(X.degrees(C)), joined_sql(Q.degrees("text")))
-_one("ext_fields", joined(X.study_fields(C)), joined_sql(Q.fields("text")))
-_one("ext_institutions", joined(X.institutions(C)), joined_sql(Q.institutions("text")))
-_one("ext_titles", joined(X.job_titles(C)), joined_sql(Q.titles("text")))
-_one("ext_highest_degree", X.highest_degree(X.education(C)).cast("long"),
+    return t.resumes.select(F.lit("r").alias("kind"), F.col("resume_id").alias("id"), X.phone(F.col("text")).alias("found")).unionByName(
+        t.documents.select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), X.phone(F.col("text")).alias("found")))
+
+
+_one("ext_phone_us", lambda c: X.phone_us(c), f"nullif(regexp_extract(text, {Q.q(rules.PHONE_US)}), '')")
+_one("ext_name", lambda c: X.name(c), Q.name("text"))
+_one("ext_name_bigram", lambda c: X.name_bigram(c), f"nullif(regexp_extract(text, {Q.q(rules.NAME_BIGRAM)}), '')")
+_one("ext_sections", lambda c: joined(X.sections(c)), joined_sql(Q.sections("text")))
+_one("ext_degrees", lambda c: joined(X.degrees(c)), joined_sql(Q.degrees("text")))
+_one("ext_fields", lambda c: joined(X.study_fields(c)), joined_sql(Q.fields("text")))
+_one("ext_institutions", lambda c: joined(X.institutions(c)), joined_sql(Q.institutions("text")))
+_one("ext_titles", lambda c: joined(X.job_titles(c)), joined_sql(Q.titles("text")))
+_one("ext_highest_degree", lambda c: X.highest_degree(X.education(c)).cast("long"),
      f"({Q.degree_level('array_to_string(' + Q.education('text') + ', chr(10))')})::BIGINT")
 
 
 @query("ext_contact", f"SELECT resume_id, {Q.name('text')} AS name, {Q.email('text')} AS email, {Q.phone('text')} AS phone FROM resumes")
 def ext_contact(t):
-    return t.resumes.select("resume_id", X.contact(C).alias("c")).select("resume_id", "c.name", "c.email", "c.phone")
+    return t.resumes.select("resume_id", X.contact(F.col("text")).alias("c")).select("resume_id", "c.name", "c.email", "c.phone")
 
 
 # Whole-word lists: every name and spelling of the taxonomy, and the study fields with a few more.
@@ -67,9 +65,9 @@ def _lit(s: str) -> str:
     return "(" + " || chr(10) || ".join(Q.q(p) for p in s.split("\n")) + ")"
 
 
-_one("ext_skills_list", joined(X.listed_skills(C, SKILL_LIST)), joined_sql("list_filter([" + ", ".join(
+_one("ext_skills_list", lambda c: joined(X.listed_skills(c, SKILL_LIST)), joined_sql("list_filter([" + ", ".join(
     f"CASE WHEN regexp_matches(text, {_lit('(?i)' + chr(92) + 'b' + _escape(s) + chr(92) + 'b')}) THEN {_lit(s)} END" for s in SKILL_LIST) + "], lambda s: s IS NOT NULL)"))
-_one("ext_education_kw", joined(X.listed_keywords(C, KEYWORD_LIST)), joined_sql("list_filter([" + ", ".join(
+_one("ext_education_kw", lambda c: joined(X.listed_keywords(c, KEYWORD_LIST)), joined_sql("list_filter([" + ", ".join(
     f"nullif(regexp_extract(text, {Q.q('(?i)' + chr(92) + 'b' + _escape(k) + chr(92) + 'b')}), '')" for k in KEYWORD_LIST) + "], lambda s: s IS NOT NULL)"))
 
 SECTION = Q.experience_section_ctes("resumes", "resume_id")
@@ -77,7 +75,7 @@ SECTION = Q.experience_section_ctes("resumes", "resume_id")
 
 @query("ext_experience_section", f"WITH {SECTION} SELECT r.resume_id, section FROM (SELECT resume_id FROM resumes) AS r LEFT JOIN es USING (resume_id)")
 def ext_experience_section(t):
-    return t.resumes.select("resume_id", X.experience_section(C).alias("section"))
+    return t.resumes.select("resume_id", X.experience_section(F.col("text")).alias("section"))
 
 
 @query("win_first_span", f"""
@@ -95,16 +93,16 @@ YEARS = f"coalesce({Q.years_max('coalesce(section, text)')}, CASE WHEN section I
 
 @query("ext_years", f"WITH {SECTION} SELECT r.resume_id, {YEARS} AS years FROM (SELECT * FROM resumes) AS r LEFT JOIN es USING (resume_id)")
 def ext_years(t):
-    return t.resumes.select("resume_id", X.experience_years(C, AS_OF_YEAR).alias("years"))
+    return t.resumes.select("resume_id", X.experience_years(F.col("text"), AS_OF_YEAR).alias("years"))
 
 
-_one("agg_years_max", X.years_max(C), Q.years_max("text"))
-_one("agg_years_sum", X.years_sum(C, AS_OF_YEAR), Q.years_sum("text"))
+_one("agg_years_max", lambda c: X.years_max(c), Q.years_max("text"))
+_one("agg_years_sum", lambda c: X.years_sum(c, AS_OF_YEAR), Q.years_sum("text"))
 
 
 @query("ext_jd_years", f"SELECT jd_id, {Q.jd_years('text')} AS years FROM jds")
 def ext_jd_years(t):
-    return t.jds.select("jd_id", X.jd_years(C).alias("years"))
+    return t.jds.select("jd_id", X.jd_years(F.col("text")).alias("years"))
 
 
 @query("ext_skills", f"""

@@ -19,8 +19,6 @@ from talentloom.plans.queries import sql as Q
 from talentloom.plans.queries.extraction import SECTION, YEARS
 from talentloom.plans.queries.registry import joined, joined_sql, query
 
-C = F.col("text")
-
 # --- check side: everything about a pair, as common table expressions ------------------------------------
 
 _VERBS = Q.overlap_count(Q.lit_list(rules.ACTION_VERBS), "kw")
@@ -184,7 +182,7 @@ def _skill_keys(t, table, key):
 
 def _overlaps(t):
     """Applications with an opening and their skill overlap; only key lists travel."""
-    openings = t.skill_rules.with_skills(t.jds.filter(~T.is_blank(C)), "text").select("jd_id", F.col("skill_keys").alias("jd_keys"))
+    openings = t.skill_rules.with_skills(t.jds.filter(~T.is_blank(F.col("text"))), "text").select("jd_id", F.col("skill_keys").alias("jd_keys"))
     pairs = skew_join(t.applications, openings, "jd_id", "application_id", "inner")
     both = skew_join(pairs, _skill_keys(t, "resumes", "resume_id"), "resume_id", "application_id", "inner", count_on=t.applications)
     return both.select("application_id", K.skill_overlap(F.col("skill_keys"), F.col("jd_keys")).alias("gap"))
@@ -209,9 +207,9 @@ def join_alias_normalize(t):
 
 
 def _keyword_pairs(t):
-    openings = t.jds.filter(~T.is_blank(C)).select("jd_id", T.keywords(C).alias("jd_keywords"))
+    openings = t.jds.filter(~T.is_blank(F.col("text"))).select("jd_id", T.keywords(F.col("text")).alias("jd_keywords"))
     pairs = skew_join(t.applications, openings, "jd_id", "application_id", "inner")
-    people = t.resumes.select("resume_id", T.keywords(C).alias("keywords"))
+    people = t.resumes.select("resume_id", T.keywords(F.col("text")).alias("keywords"))
     return skew_join(pairs, people, "resume_id", "application_id", "inner", count_on=t.applications)
 
 
@@ -245,13 +243,13 @@ def _missing_words(t):
     WITH {PAIR_CTES}, {WORD_CTES} SELECT application_id, word FROM pairs JOIN jf0 ON jf0.jd_id = real_jd JOIN resumes r ON r.resume_id = pairs.resume_id
     WHERE freq >= 2 AND NOT contains(lower(r.text), word)""")
 def join_missing_keyword(t):
-    return _missing_words(t).select("application_id", F.explode(G.absent_words(C, F.col("repeated"))).alias("word"))
+    return _missing_words(t).select("application_id", F.explode(G.absent_words(F.col("text"), F.col("repeated"))).alias("word"))
 
 
 @query("agg_missing_keywords", f"""
     WITH {PAIR_CTES}, {MISSING_CTES} SELECT application_id, array_to_string(words, '; ') AS missing_keywords FROM mk""")
 def agg_missing_keywords(t):
-    return _missing_words(t).select("application_id", G.missing_keywords(C, F.col("repeated")).alias("w")).filter(F.size("w") > 0).select(
+    return _missing_words(t).select("application_id", G.missing_keywords(F.col("text"), F.col("repeated")).alias("w")).filter(F.size("w") > 0).select(
         "application_id", joined(F.col("w")).alias("missing_keywords"))
 
 
@@ -266,7 +264,7 @@ def agg_word_freq(t):
     WITH s AS (SELECT {Q.missing_sections('secs')} AS m FROM (SELECT {Q.sections('text')} AS secs FROM resumes)), u AS (SELECT unnest(m) AS section FROM s)
     SELECT section, count(*) AS resumes FROM u GROUP BY section""")
 def agg_missing_sections(t):
-    return t.resumes.select(F.explode(S.missing_sections(X.sections(C))).alias("section")).groupBy("section").agg(F.count("*").alias("resumes"))
+    return t.resumes.select(F.explode(S.missing_sections(X.sections(F.col("text")))).alias("section")).groupBy("section").agg(F.count("*").alias("resumes"))
 
 
 @query("join_role_leakage", """
@@ -284,7 +282,7 @@ def join_role_leakage(t):
     SELECT resume_id, (6 - len(m))::DOUBLE / 6 * 100 AS score, {joined_sql('m')} AS missing, {joined_sql(Q.messages(("len(m) > 0", Q.fb("sections", "array_to_string(m, ', ')"))))} AS feedback
     FROM (SELECT resume_id, {Q.missing_sections('s')} AS m FROM (SELECT resume_id, {Q.sections('text')} AS s FROM resumes))""")
 def sc_sections(t):
-    s = t.resumes.select("resume_id", X.sections(C).alias("s"))
+    s = t.resumes.select("resume_id", X.sections(F.col("text")).alias("s"))
     f = F.col("s")
     return s.select("resume_id", S.section_score(f).alias("score"), joined(S.missing_sections(f)).alias("missing"), joined(S.section_feedback(f)).alias("feedback"))
 
@@ -293,17 +291,17 @@ def sc_sections(t):
     SELECT doc_id AS id, {Q.length_score('text')} AS score FROM documents UNION ALL SELECT -1 - resume_id, {Q.length_score('text')} FROM resumes""")
 def sc_length(t):
     both = t.documents.select(F.col("doc_id").alias("id"), "text").unionByName(t.resumes.select((-1 - F.col("resume_id")).alias("id"), "text"))
-    return both.select("id", S.length_score(C).alias("score"))
+    return both.select("id", S.length_score(F.col("text")).alias("score"))
 
 
 @query("sc_bullets", f"SELECT resume_id, {Q.bullet_score('n', 'b')} AS score FROM (SELECT resume_id, {Q.nonblank_lines('text')} AS n, {Q.bullet_lines('text')} AS b FROM resumes)")
 def sc_bullets(t):
-    return t.resumes.select("resume_id", T.line_counts(C).alias("n")).select("resume_id", S.bullet_score(F.col("n")).alias("score"))
+    return t.resumes.select("resume_id", T.line_counts(F.col("text")).alias("n")).select("resume_id", S.bullet_score(F.col("n")).alias("score"))
 
 
 @query("sc_kw_richness", f"WITH {FACT_CTES} SELECT resume_id, rich AS score, verbs::BIGINT AS verbs, numbers::BIGINT AS numbers, len(kw)::BIGINT AS keywords FROM rf")
 def sc_kw_richness(t):
-    k = t.resumes.select("resume_id", T.keywords(C).alias("kw"), T.has_words(C).alias("has_words"), T.count_numbers(C).alias("numbers"))
+    k = t.resumes.select("resume_id", T.keywords(F.col("text")).alias("kw"), T.has_words(F.col("text")).alias("has_words"), T.count_numbers(F.col("text")).alias("numbers"))
     k = k.withColumn("verbs", S.action_verb_count(F.col("kw")))
     return k.select("resume_id", S.richness(F.col("has_words"), F.col("verbs"), F.col("numbers"), F.size("kw")).alias("score"),
                     F.col("verbs").cast("long").alias("verbs"), F.col("numbers").cast("long").alias("numbers"), F.size("kw").cast("long").alias("keywords"))
@@ -311,14 +309,14 @@ def sc_kw_richness(t):
 
 @query("sc_contact", f"WITH {FACT_CTES} SELECT resume_id, s_con AS score FROM rf")
 def sc_contact(t):
-    return t.resumes.select("resume_id", X.contact(C).alias("c")).select("resume_id", S.contact_score(F.col("c")).alias("score"))
+    return t.resumes.select("resume_id", X.contact(F.col("text")).alias("c")).select("resume_id", S.contact_score(F.col("c")).alias("score"))
 
 
 @query("sc_formatting", f"""
     SELECT doc_id AS id, {Q.formatting_score('text')} AS score FROM documents UNION ALL SELECT -1 - resume_id, {Q.formatting_score('text')} FROM resumes""")
 def sc_formatting(t):
     both = t.documents.select(F.col("doc_id").alias("id"), "text").unionByName(t.resumes.select((-1 - F.col("resume_id")).alias("id"), "text"))
-    return both.select("id", S.format_counts(C).alias("n")).select("id", S.formatting_score(F.col("n")).alias("score"))
+    return both.select("id", S.format_counts(F.col("text")).alias("n")).select("id", S.formatting_score(F.col("n")).alias("score"))
 
 
 @query("sc_experience", f"""
@@ -326,8 +324,8 @@ def sc_formatting(t):
     jf AS (SELECT jd_id, {Q.jd_years('text')} AS jy FROM jreal)
     SELECT application_id, {_EXP} AS score FROM pairs p JOIN y USING (resume_id) LEFT JOIN jf ON jf.jd_id = real_jd""")
 def sc_experience(t):
-    openings = t.jds.filter(~T.is_blank(C)).select("jd_id", X.jd_years(C).alias("jy"), F.lit(True).alias("has_jd"))
-    people = t.resumes.select("resume_id", X.experience_years(C, AS_OF_YEAR).alias("years"))
+    openings = t.jds.filter(~T.is_blank(F.col("text"))).select("jd_id", X.jd_years(F.col("text")).alias("jy"), F.lit(True).alias("has_jd"))
+    people = t.resumes.select("resume_id", X.experience_years(F.col("text"), AS_OF_YEAR).alias("years"))
     pairs = skew_join(t.applications, openings, "jd_id", "application_id")
     both = skew_join(pairs, people, "resume_id", "application_id", "inner", count_on=t.applications)
     return both.select("application_id", S.experience_match(F.col("years"), F.col("jy"), F.coalesce("has_jd", F.lit(False))).alias("score"))
@@ -338,8 +336,8 @@ def sc_experience(t):
     jf AS (SELECT jd_id, {Q.degree_level('text')} AS jl FROM jreal)
     SELECT application_id, {_EDU} AS score FROM pairs p JOIN e USING (resume_id) LEFT JOIN jf ON jf.jd_id = real_jd""")
 def sc_education(t):
-    openings = t.jds.filter(~T.is_blank(C)).select("jd_id", X.degree_level(C).alias("jl"), F.lit(True).alias("has_jd"))
-    people = t.resumes.select("resume_id", X.education(C).alias("education")).select("resume_id", X.highest_degree(F.col("education")).alias("level"))
+    openings = t.jds.filter(~T.is_blank(F.col("text"))).select("jd_id", X.degree_level(F.col("text")).alias("jl"), F.lit(True).alias("has_jd"))
+    people = t.resumes.select("resume_id", X.education(F.col("text")).alias("education")).select("resume_id", X.highest_degree(F.col("education")).alias("level"))
     pairs = skew_join(t.applications, openings, "jd_id", "application_id")
     both = skew_join(pairs, people, "resume_id", "application_id", "inner", count_on=t.applications)
     return both.select("application_id", S.education_match(F.col("level"), F.col("jl"), F.coalesce("has_jd", F.lit(False))).alias("score"))

@@ -12,20 +12,18 @@ from talentloom.operators import metrics
 from talentloom.plans.queries import sql as Q
 from talentloom.plans.queries.registry import joined, joined_sql, query
 
-C = F.col("text")
-
 
 @query("flt_is_empty", f"""
     SELECT doc_id, length({Q.strip('text')}) < 50 AS is_empty, length(text) AS char_count FROM documents""")
 def flt_is_empty(t):
-    return t.documents.select("doc_id", T.is_empty_document(C).alias("is_empty"), F.length("text").cast("long").alias("char_count"))
+    return t.documents.select("doc_id", T.is_empty_document(F.col("text")).alias("is_empty"), F.length("text").cast("long").alias("char_count"))
 
 
 @query("flt_has_jd", """
     SELECT application_id, jd_id IS NOT NULL AND regexp_matches(coalesce(j.text, ''), '\\S') AS has_jd
     FROM applications LEFT JOIN (SELECT * FROM jds) AS j USING (jd_id)""")
 def flt_has_jd(t):
-    real = t.jds.filter(~T.is_blank(C)).select("jd_id", F.lit(True).alias("has_jd"))
+    real = t.jds.filter(~T.is_blank(F.col("text"))).select("jd_id", F.lit(True).alias("has_jd"))
     return t.applications.join(real, "jd_id", "left").select("application_id", F.coalesce("has_jd", F.lit(False)).alias("has_jd"))
 
 
@@ -59,7 +57,7 @@ def flt_valid_range(t):
 
 
 def _sections_rows(t):
-    return t.resumes.select("resume_id", F.inline(T.split_sections(C)))
+    return t.resumes.select("resume_id", F.inline(T.split_sections(F.col("text"))))
 
 
 SECTION_ROWS = f"""
@@ -86,9 +84,9 @@ def flt_nonempty_sections(t):
     WITH {SECTION_ROWS} SELECT resume_id, n::BIGINT AS line_no, sid::BIGINT AS section_no FROM ids""")
 def win_section_ids(t):
     heading = "(?iU)" + rules.SPLIT_HEADING
-    at = F.filter(F.transform(T.lines(C), lambda l, i: F.when(l.rlike(heading), i)), lambda i: i.isNotNull())
+    at = F.filter(F.transform(T.lines(F.col("text")), lambda l, i: F.when(l.rlike(heading), i)), lambda i: i.isNotNull())
     # one text is one row: headings up to a line are counted inside it, no window and no shuffle
-    running = bind(at, lambda heads: F.transform(T.lines(C), lambda l, i: F.size(F.filter(heads, lambda h: h <= i))))
+    running = bind(at, lambda heads: F.transform(T.lines(F.col("text")), lambda l, i: F.size(F.filter(heads, lambda h: h <= i))))
     return t.resumes.select("resume_id", F.posexplode(running).alias("n", "sid")).select(
         "resume_id", (F.col("n") + 1).cast("long").alias("line_no"), F.col("sid").cast("long").alias("section_no"))
 
@@ -99,7 +97,7 @@ def win_section_ids(t):
       OR len(list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda w: list_contains({Q.lit_list(rules.NOT_A_NAME)}, w))) > 0)
     GROUP BY resume_id, line""")
 def flt_contact_line(t):
-    rows = t.resumes.select("resume_id", F.explode(F.transform(T.lines(C), T.strip)).alias("line"))
+    rows = t.resumes.select("resume_id", F.explode(F.transform(T.lines(F.col("text")), T.strip)).alias("line"))
     kept = rows.filter((F.col("line") != "") & ~X.is_contact_line(F.col("line")))
     return kept.groupBy("resume_id", "line").agg(F.count("*").alias("times"))
 
@@ -118,7 +116,7 @@ def _clean_sql(x: str, trailing: bool = False, bounded: bool = False) -> str:
     SELECT 'page' AS kind, page_id AS id, md5({_clean_sql('html')}) AS cleaned, length({_clean_sql('html')}) AS chars FROM pages
     UNION ALL SELECT 'resume', resume_id, md5({_clean_sql('text')}), length({_clean_sql('text')}) FROM resumes""")
 def txt_clean(t):
-    cleaned = T.clean(C)
+    cleaned = T.clean(F.col("text"))
     both = t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")).unionByName(
         t.resumes.select(F.lit("resume").alias("kind"), F.col("resume_id").alias("id"), "text"))
     return both.select("kind", "id", cleaned.alias("c")).select("kind", "id", F.md5("c").alias("cleaned"), F.length("c").cast("long").alias("chars"))
@@ -135,14 +133,14 @@ def txt_clean_nb(t):
 def txt_sanitize_latin1(t):
     both = t.documents.select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(
         t.resumes.select(F.lit("r").alias("kind"), F.col("resume_id").alias("id"), "text"))
-    return both.select("kind", "id", F.md5(T.to_latin1(C)).alias("plain"))
+    return both.select("kind", "id", F.md5(T.to_latin1(F.col("text"))).alias("plain"))
 
 
 @query("txt_keywords", f"""
     SELECT doc_id, len(k)::BIGINT AS keywords, md5(array_to_string(list_sort(k), ' ')) AS digest
     FROM (SELECT doc_id, {Q.keywords('text')} AS k FROM documents)""")
 def txt_keywords(t):
-    k = t.documents.select("doc_id", T.keywords(C).alias("k"))
+    k = t.documents.select("doc_id", T.keywords(F.col("text")).alias("k"))
     return k.select("doc_id", F.size("k").cast("long").alias("keywords"), F.md5(F.array_join(F.sort_array("k"), " ")).alias("digest"))
 
 
@@ -162,7 +160,7 @@ def txt_capitalize_words(t):
     SELECT doc_id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS snippet,
            md5(text[1:500]) AS first_500, md5(text[1:4000]) AS first_4000 FROM documents""")
 def txt_truncate(t):
-    return t.documents.select("doc_id", T.snippet(C).alias("snippet"), F.md5(F.substring("text", 1, 500)).alias("first_500"),
+    return t.documents.select("doc_id", T.snippet(F.col("text")).alias("snippet"), F.md5(F.substring("text", 1, 500)).alias("first_500"),
                               F.md5(F.substring("text", 1, 4000)).alias("first_4000"))
 
 
@@ -177,14 +175,14 @@ def txt_count_pattern(t):
     from talentloom.functions.score import format_counts
     both = t.documents.select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(
         t.resumes.select(F.lit("r").alias("kind"), F.col("resume_id").alias("id"), "text"))
-    n = both.select("kind", "id", format_counts(C).alias("n"))
+    n = both.select("kind", "id", format_counts(F.col("text")).alias("n"))
     return n.select("kind", "id", *[F.col(f"n.{k}").cast("long").alias(k) for k in ("unusual", "pipes", "capitals", "paragraphs", "blank_runs")])
 
 
 @query("txt_bullets", f"""
     SELECT resume_id, {Q.nonblank_lines('text')} AS total, {Q.bullet_lines('text')} AS bullets FROM resumes""")
 def txt_bullets(t):
-    n = t.resumes.select("resume_id", T.line_counts(C).alias("n"))
+    n = t.resumes.select("resume_id", T.line_counts(F.col("text")).alias("n"))
     return n.select("resume_id", F.col("n.total").cast("long").alias("total"), F.col("n.bullets").cast("long").alias("bullets"))
 
 
@@ -195,7 +193,7 @@ def txt_bullets(t):
     FROM (SELECT doc_id, {Q.words('text')} AS w FROM documents)""")
 def set_intersect(t):
     listed = F.array(*[F.lit(v) for v in rules.ACTION_VERBS + rules.STOPWORDS])
-    return t.documents.select("doc_id", joined(F.sort_array(F.array_intersect(listed, T.long_words(C)))).alias("shared"))
+    return t.documents.select("doc_id", joined(F.sort_array(F.array_intersect(listed, T.long_words(F.col("text"))))).alias("shared"))
 
 
 @query("set_except", f"""
@@ -203,7 +201,7 @@ def set_intersect(t):
     FROM (SELECT resume_id, {Q.sections('text')} AS s FROM resumes)""")
 def set_except(t):
     expected = F.array(*[F.lit(v) for v in rules.EXPECTED_SECTIONS])
-    return t.resumes.select("resume_id", joined(F.sort_array(F.array_except(expected, X.sections(C)))).alias("absent"))
+    return t.resumes.select("resume_id", joined(F.sort_array(F.array_except(expected, X.sections(F.col("text"))))).alias("absent"))
 
 
 @query("set_add_synonyms", f"""
@@ -211,5 +209,5 @@ def set_except(t):
     FROM (SELECT resume_id, {Q.sections('text')} AS s FROM resumes)""")
 def set_add_synonyms(t):
     from talentloom.functions.score import with_synonyms
-    s = t.resumes.select("resume_id", X.sections(C).alias("s"))
+    s = t.resumes.select("resume_id", X.sections(F.col("text")).alias("s"))
     return s.select("resume_id", joined(F.sort_array(with_synonyms(F.col("s")))).alias("found"))
