@@ -41,3 +41,19 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def with_group_facts(rows: DataFrame, key: list[str], part: dict[str, Column], whole: dict[str, Column], spread_by: list[str]) -> DataFrame:
+    """``rows`` with the facts of their group, without bringing a group together.
+
+    ``part`` aggregates the rows of a group that share a salt (as many salts as shuffle
+    partitions, from a hash of ``spread_by``), ``whole`` aggregates those parts, so a task holds at
+    most one row for each key and salt besides its share of the rows. Rows come back by key and
+    salt: a group of any size is dealt over all partitions.
+    """
+    salt = fresh(rows, "salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*spread_by), F.lit(partitions(rows.sparkSession))).cast("int"))
+    parts = salted.groupBy(*key, salt).agg(*[c.alias(n) for n, c in part.items()])
+    facts = parts.groupBy(*key).agg(*[c.alias(n) for n, c in whole.items()])
+    by_salt = parts.select(*key, salt).join(facts, key)
+    return salted.join(by_salt, [*key, salt]).drop(salt)

@@ -6,18 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import quality_rules
+from talentloom.llm import exact_dedup, quality_rules
 from talentloom.llm.common import table
 
 
+def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the group of equal texts it belongs to."""
+    return exact_dedup.decision_rows(table(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.judged_rows(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_exact_dedup": op4_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 CHECKS: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
