@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import exact_dedup, quality_rules
+from talentloom.llm import exact_dedup, mixing, quality_rules, sharding
 from talentloom.llm.common import table
 
 
@@ -15,16 +15,30 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.decision_rows(table(spark, folder, "documents"))
 
 
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its shard of at most 64 MiB of text."""
+    return sharding.shard_rows(table(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.judged_rows(table(spark, folder, "documents"))
 
 
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the words that the mix of sources takes of it."""
+    return mixing.mix_rows(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_sharding": op5_sharding,
     "op9_quality_rules": op9_quality_rules,
+    "op10_mixing": op10_mixing,
 }
 CHECKS: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_sharding": sharding.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
