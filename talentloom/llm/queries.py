@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import exact_dedup, mixing, quality_rules, sharding
+from talentloom.llm import exact_dedup, host_trust, mixing, packing, pii, quality_rules, sharding
 from talentloom.llm.common import table
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document, in sequences of at most 2048 tokens."""
+    return packing.packed(table(spark, folder, "documents"), with_ids=False)
+
+
+def op2_host_trust(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with the rule that fits it and its verdict."""
+    return host_trust.verdict_rows(table(spark, folder, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the group of equal texts it belongs to."""
     return exact_dedup.decision_rows(table(spark, folder, "documents"))
@@ -20,6 +30,11 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(table(spark, folder, "documents"))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the personal data found in it."""
+    return pii.digest_rows(table(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.judged_rows(table(spark, folder, "documents"))
@@ -31,8 +46,11 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_host_trust": op2_host_trust,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op7_pii": op7_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
