@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import exact_dedup, host_trust, mixing, packing, pii, quality_rules, sharding
+from talentloom.llm import exact_dedup, host_trust, mixing, packing, phrases, pii, quality_rules, sharding, suffixes
 from talentloom.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_host_trust(spark: SparkSession, folder: str) -> DataFrame:
     return host_trust.verdict_rows(table(spark, folder, "pages"))
 
 
+def op3_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with what stays once repeated phrases of 20 words are removed."""
+    return phrases.phrase_rows(table(spark, folder, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the group of equal texts it belongs to."""
     return exact_dedup.decision_rows(table(spark, folder, "documents"))
@@ -30,6 +35,11 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(table(spark, folder, "documents"))
 
 
+def op6_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with what stays once repeated strings of 50 bytes are removed."""
+    return suffixes.suffix_rows(table(spark, folder, "documents"))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the personal data found in it."""
     return pii.digest_rows(table(spark, folder, "documents"))
@@ -48,8 +58,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_host_trust": op2_host_trust,
+    "op3_phrases": op3_phrases,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op6_suffixes": op6_suffixes,
     "op7_pii": op7_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
