@@ -47,6 +47,7 @@ SEGMENT = 1 << 20
 RUN = 64
 #: An anchor with more places than this counts as very frequent.
 FREQUENT = 4096
+NO_RUNS = np.array([], np.uint64), *(np.array([], np.int64) for _ in range(4))
 LAST = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
 REPORT = ["n_units long", "n_removed long", "n_spans long", "kept_sha256 string"]
@@ -149,20 +150,21 @@ class Block:
         self.count = np.diff(np.append(self.first, len(self.start)))
         self.first = np.where(self.count > 0, self.first, 0)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, document, first unit, number of windows) of each run."""
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, document, first unit, number of windows, times) of each run.
+
+        ``times`` is how often the run itself holds its anchor, where windows of one document count: in
+        text of a short period, a window can start again within its own run.
+        """
         found = [self._runs(a, min(a + SEGMENT, len(self.start))) for a in range(0, len(self.start), SEGMENT)]
-        if not found:
-            return np.array([], np.uint64), np.array([], np.int64), np.array([], np.int64), np.array([], np.int64)
-        return tuple(np.concatenate(x) for x in zip(*found))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else NO_RUNS
 
     def _runs(self, a: int, z: int):
         """Runs of the windows that start in units [a, z)."""
         size, gram = self.kind.window, self.kind.gram
         last = min(z + size - 1, len(self.start))  # units looked at: [a, last)
-        none = np.array([], np.uint64), np.array([], np.int64), np.array([], np.int64), np.array([], np.int64)
         if last - a < size:
-            return none
+            return NO_RUNS
         low, high = int(self.start[a]), int(self.end[last - 1])
         n = 1 << max(16, (high - low).bit_length())
         up, down = _powers(n)
@@ -172,7 +174,7 @@ class Block:
             s = self.start[a: last - gram + 1] - low
             e = self.end[a + gram - 1: last] - low
             h = _mix((total[e] - total[s]) * down[s])
-        w, step = size - gram + 1, 1
+        grams, w, step = h, size - gram + 1, 1
         while step * 2 <= w:
             h = np.minimum(h[:-step], h[step:])
             step *= 2
@@ -185,7 +187,7 @@ class Block:
         ok = self.end[at + size - 1] <= self.doc_end[doc]
         h, at, doc = h[ok], at[ok], doc[ok]
         if not len(h):
-            return none
+            return NO_RUNS
         new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])]))
         length = np.diff(np.append(new, len(h)))
         pieces = -(-length // RUN)
@@ -194,7 +196,13 @@ class Block:
             nth = np.arange(len(base)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             left = np.repeat(length, pieces) - nth * RUN
             new, length = base + nth * RUN, np.minimum(left, RUN)
-        return _mix(h[new]), doc[new], at[new], length
+        times = np.ones(len(new), np.int64)
+        if self.kind.within:
+            span = length + w - 1
+            offset = np.cumsum(span) - span
+            inside = np.repeat(at[new] - a - offset, span) + np.arange(span.sum())
+            times = np.add.reduceat((grams[inside] == np.repeat(h[new], span)).astype(np.int64), offset)
+        return _mix(h[new]), doc[new], at[new], length, times
 
 
 # --- step 2: which anchors recur ------------------------------------------------------------------
@@ -205,8 +213,9 @@ def _anchors(kind: Kind, owners: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 block, ids, lengths, data = (batch.column(i)[row].as_py() for i in range(4))
-                anchor, _, _, _ = Block(kind, ids, lengths, data).runs()
-                distinct, count = np.unique(anchor, return_counts=True)
+                anchor, _, _, _, times = Block(kind, ids, lengths, data).runs()
+                distinct, where = np.unique(anchor, return_inverse=True)
+                count = np.bincount(where, weights=times, minlength=len(distinct))
                 owner = (distinct % np.uint64(owners)).astype(np.int64)
                 by_owner = np.argsort(owner, kind="stable")
                 cuts = np.flatnonzero(np.diff(owner[by_owner], prepend=-1))
@@ -264,7 +273,7 @@ def _fragments(kind: Kind, owners: int, shards: int):
 
 def _sent(b: Block, owners: int, shards: int, replies: list[dict]) -> tuple[bytes, list[tuple[int, bytes]]]:
     kind = b.kind
-    anchor, doc, first, n = b.runs()
+    anchor, doc, first, n, _ = b.runs()
     recurs, often = _flags(anchor, owners, replies)
     anchor, doc, first, n, often = (x[recurs] for x in (anchor, doc, first, n, often))
     # windows of very frequent anchors one by one
