@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,23 @@ def with_group_facts(rows: DataFrame, key: list[str], part: dict[str, Column], w
     facts = parts.groupBy(*key).agg(*[c.alias(n) for n, c in whole.items()])
     by_salt = parts.select(*key, salt).join(facts, key)
     return salted.join(by_salt, [*key, salt]).drop(salt)
+
+
+def pick_rows(docs: DataFrame, decided: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """The rows of ``docs`` that ``decided(doc_id, kept, digest)`` keeps, with all their columns.
+
+    Rows are found again by doc_id. Only ids that stand for several rows need the digest of the text
+    as well; of several rows alike in both, the one with the smallest text stays.
+    """
+    mine, theirs, own, other = (fresh(docs, n) for n in ("id_", "of_", "digest_", "wanted_"))
+    per_id = decided.groupBy(F.col("doc_id").alias(theirs)).agg(F.count("*").alias("n"), F.max("kept").alias("stays"))
+    columns = docs.columns
+    docs = docs.withColumn(mine, F.col("doc_id").cast("long"))
+    same_id = F.col(mine).eqNullSafe(F.col(theirs))
+    single = docs.join(per_id.filter("n = 1 and stays").select(theirs), same_id, "left_semi")
+    several = docs.join(per_id.filter("n > 1 and stays").select(theirs), same_id, "left_semi").withColumn(own, digest(F.col("text")))
+    stay = decided.filter("kept").select(F.col("doc_id").alias(theirs), F.col("digest").alias(other)).distinct()
+    several = several.join(stay, same_id & (F.col(own) == F.col(other)), "left_semi")
+    row = F.struct(*[f"`{c}`" for c in columns])
+    one = several.groupBy(mine, own).agg(F.min_by(row, or_empty(F.col("text"))).alias("row"))
+    return single.drop(mine).unionByName(one.select("row.*"))

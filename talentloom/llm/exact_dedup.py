@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import fresh, kept, partitions, with_group_facts
+from talentloom.llm.common import kept, or_empty, partitions, pick_rows, with_group_facts
 
 CHUNK_ROWS = 65_536
 #: Fingerprints an owner gets, at least as many owners as shuffle partitions.
@@ -189,23 +189,13 @@ def decision_rows(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Rows are found again by doc_id. Only ids that stand for several rows need the hash of the text
-    as well; of several rows alike in both, the one with the smallest text stays.
-    """
-    rows = kept(docs.sparkSession, decisions(docs).select("doc_id", "kept", "sha"), "decided")
-    mine, theirs, sha = fresh(docs, "id_"), fresh(docs, "of_"), fresh(docs, "sha_")
-    per_id = rows.groupBy(F.col("doc_id").alias(theirs)).agg(F.count("*").alias("n"), F.max("kept").alias("stays"))
-    docs = docs.withColumn(mine, F.col("doc_id").cast("long"))
-    same_id = F.col(mine).eqNullSafe(F.col(theirs))
-    single = docs.join(per_id.filter("n = 1 and stays").select(theirs), same_id, "left_semi")
-    several = docs.join(per_id.filter("n > 1").select(theirs), same_id, "left_semi")
-    several = several.withColumn(sha, F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER.decode(), LOWER.decode()).cast("binary"), 256)))
-    stay = rows.filter("kept").select(F.col("doc_id").alias(theirs), F.col("sha").alias(theirs + "sha")).distinct()
-    several = several.join(stay, same_id & (F.col(sha) == F.col(theirs + "sha")), "left_semi")
-    one = several.groupBy(mine, sha).agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns if c != mine]), F.coalesce("text", F.lit(""))).alias("row"))
-    return single.drop(mine).unionByName(one.select("row.*"))
+    """The rows of ``docs`` that stay, with all their columns."""
+    decided = kept(docs.sparkSession, decisions(docs).select("doc_id", "kept", F.col("sha").alias("digest")), "decided")
+    return pick_rows(docs, decided, sha_of)
+
+
+def sha_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.translate(or_empty(text), UPPER.decode(), LOWER.decode()).cast("binary"), 256))
 
 
 ORACLE = """

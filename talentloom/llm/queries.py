@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import exact_dedup, host_trust, mixing, packing, phrases, pii, quality_rules, sharding, suffixes
+from talentloom.llm import exact_dedup, host_trust, mixing, near_dedup, packing, phrases, pii, quality_rules, sharding, suffixes
 from talentloom.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest_rows(table(spark, folder, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its class of near-duplicates."""
+    return near_dedup.class_rows(table(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.judged_rows(table(spark, folder, "documents"))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_suffixes": op6_suffixes,
     "op7_pii": op7_pii,
+    "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
