@@ -25,7 +25,7 @@ def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     can read the same rows without computing them again.
     """
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,7 +33,7 @@ from talentloom.llm.common import kept
 
 WINDOW = 2048
 OPEN = 64
-MERGED = 64
+MERGED = 8
 CLOSE = 1
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256

@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from talentloom.session import scratch_path
 
 BLOCK_BYTES = 2 << 20
 OWNER_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Units hashed at a time, whatever the length of a document.
 SEGMENT = 1 << 20
 #: Windows in a fragment at most; text of one repeated syllable has long runs.
@@ -49,6 +50,7 @@ RUN = 64
 FREQUENT = 4096
 NO_RUNS = np.array([], np.uint64), *(np.array([], np.int64) for _ in range(4))
 LAST = np.iinfo(np.int64).max
+HEAD = np.dtype([("doc", "<i8"), ("start", "<u4"), ("length", "<u4"), ("windows", "u1")])
 BASE = 0x9E3779B97F4A7C15
 REPORT = ["n_units long", "n_removed long", "n_spans long", "kept_sha256 string"]
 
@@ -108,7 +110,7 @@ def blocks(docs: DataFrame, words: bool) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(words), "block long, ids array<long>, lengths array<long>, data binary, n_bytes long")
     name = f"blocks_{uuid.uuid4().hex}"
-    rows.write.bucketBy(max(16, partitions(spark)), "block").option("path", scratch_path(spark, name)).saveAsTable(name)
+    rows.write.option("compression", "zstd").bucketBy(max(16, partitions(spark)), "block").option("path", scratch_path(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 
@@ -313,17 +315,22 @@ def _sent(b: Block, owners: int, shards: int, replies: list[dict]) -> tuple[byte
     for part in np.split(by_shard, cuts[1:]) if len(by_shard) else []:
         at = picked[part]
         bodies = [data[low[i]:high[i]] for i in at.tolist()]
-        head = np.concatenate([[len(part)], b.order[doc[at]], place[at], [len(x) for x in bodies], n[at]]).astype("<i8")
-        messages.append((int(shard[part[0]]), head.tobytes() + b"".join(bodies)))
-    state = {"content": content, "first": first.astype(np.int64), "n": n.astype(np.uint8), "later": later, "shard": shard, "by_shard": by_shard.astype(np.int32), "windows": n[picked].astype(np.uint8)}
-    return pickle.dumps(state, protocol=5), messages
+        head = np.zeros(len(part), HEAD)
+        head["doc"], head["start"], head["length"], head["windows"] = b.order[doc[at]], place[at], [len(x) for x in bodies], n[at]
+        messages.append((int(shard[part[0]]), _packed(len(part).to_bytes(8, "little") + head.tobytes() + b"".join(bodies))))
+    state = {"content": content, "first": first.astype(np.int32), "n": n.astype(np.uint8), "later": later, "shard": shard.astype(np.int32), "by_shard": by_shard.astype(np.int32), "windows": n[picked].astype(np.uint8)}
+    return _packed(pickle.dumps(state, protocol=5)), messages
+
+
+def _packed(data: bytes) -> bytes:
+    return zstandard.compress(data, 1)
 
 
 def _read(payload: bytes) -> list[Fragment]:
-    n = int(np.frombuffer(payload, "<i8", 1)[0])
-    doc, start, length, windows = np.frombuffer(payload, "<i8", 4 * n, 8).reshape(4, n).tolist()
-    at, out = 8 + 32 * n, []
-    for d, s, size, w in zip(doc, start, length, windows):
+    payload = zstandard.decompress(payload)
+    n = int.from_bytes(payload[:8], "little")
+    at, out = 8 + HEAD.itemsize * n, []
+    for d, s, size, w in np.frombuffer(payload, HEAD, n, 8).tolist():
         out.append(Fragment(payload[at:at + size], d, s, w))
         at += size
     return out
@@ -347,7 +354,7 @@ def _judged(kind: Kind):
 
 def removed_units(b: Block, state: dict, replies: dict[int, bytes]) -> np.ndarray:
     """True for each unit of the block that a repeated window covers."""
-    content, first, n, later, windows = state["content"], state["first"], state["n"].astype(np.int64), state["later"], state["windows"].astype(np.int64)
+    content, first, n, later, windows = state["content"], state["first"].astype(np.int64), state["n"].astype(np.int64), state["later"], state["windows"].astype(np.int64)
     # where the bits of each distinct fragment begin, in all replies put end to end
     by_shard, shard = state["by_shard"], state["shard"]
     offset = np.zeros(len(windows), np.int64)
@@ -376,7 +383,7 @@ def _report(kind: Kind, with_text: bool):
                 ids, lengths, data, parts = (batch.column(i)[row].as_py() for i in range(1, 5))
                 b = Block(kind, ids, lengths, data)
                 by_shard = {p["shard"]: p["payload"] for p in parts}
-                gone = removed_units(b, pickle.loads(by_shard.pop(None)), by_shard)
+                gone = removed_units(b, pickle.loads(zstandard.decompress(by_shard.pop(None))), by_shard)
                 rows = [_kept(b, gone, i) for i in range(len(ids))]
                 names = ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256", "spans", "text"]
                 arrays = [pa.array(ids, pa.int64()), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], pa.array([hashlib.sha256(r[4]).hexdigest() for r in rows])]
