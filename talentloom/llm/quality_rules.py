@@ -125,9 +125,13 @@ def judged(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> tu
 
 
 def kept_rows(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass every rule, with their columns unchanged."""
+    """The rows of ``docs`` that pass every rule, with their columns unchanged.
+
+    A filter would be pushed below the projections that build the word lists, and build them anew for each
+    word; a generator of one or no row stays above them.
+    """
     df, flag = judged(docs, text, rules)
-    return df.filter(F.col(f"`{flag}`")).drop(flag)
+    return df.withColumn(flag, F.explode(F.when(F.col(f"`{flag}`"), F.array(F.lit(1))))).drop(flag)
 
 
 def judged_rows(docs: DataFrame) -> DataFrame:
