@@ -9,15 +9,18 @@ is a set of documents that links connect.
 2. A sketch is the ``TUPLE`` smallest labelled shingles under one hash, put back into text order and hashed;
    a node has ``SKETCHES`` of them (texts of fewer than ``SHORT`` shingles have ``SHORT_SKETCHES`` sketches of
    two; between the two bounds a text has both, so a pair that may be linked always shares a form). Nodes
-   with an equal sketch share a bucket. A pair at 0.8 shares none with probability (1 - 0.8**8)**64 = 8e-6.
+   with an equal sketch share a bucket. Candidates share at least ``SHARED`` buckets (one for short texts); a pair
+   at 0.8 does not with a probability of 7e-6 (80 sketches that each agree with 0.8**8), at 0.85 of 1e-9.
 3. No bucket is expanded into its pairs. Each round picks leaders in every bucket that still joins several
    components - first the node with the largest buckets, which is the likely source of a family of copies,
    then four times as many each round by hash - and verifies leaders against members of other components.
-   Found links merge components. The rounds end when every pair of a bucket is connected or verified, so
-   no link between nodes of a bucket is lost, and pairs inside a family that hangs together are never looked at.
+   Found links merge components. Pairs that cannot be linked by their lengths or by their distances to a common
+   leader are left out. The rounds end when every candidate pair is connected, ruled out or verified, so no
+   link between candidates is lost, and pairs inside a family that hangs together are never looked at.
 
 Verification merges the two lists of shingles within the band that a similarity of 0.8 allows, which makes it
-exact: the longest chain of matches in increasing order on both sides, in O(n log n).
+exact: the longest chain of matches in increasing order on both sides, in O(n log n). Shingles are compared by
+32 bits of their hashes; a chance agreement within a pair changes its similarity by one shingle at most.
 
 Defined cases: a null text has no words; all texts without words are one class; a text of one to four words is
 one shingle; a null doc_id is the last in order; rows that repeat are one node and one class; an empty table gives
@@ -40,7 +43,7 @@ from talentloom.llm.common import kept, pick_rows, with_group_facts
 
 WORDS = 5
 SIMILAR = 0.8
-SKETCHES, TUPLE = 64, 8
+SKETCHES, TUPLE, SHARED = 80, 8, 2
 SHORT_SKETCHES, SHORT_TUPLE = 16, 2
 SHORT, OVERLAP = 32, 24
 GROWTH = 4
@@ -125,18 +128,17 @@ def sketches(h: np.ndarray) -> list[int]:
     return out + (_tuples(h, _SEEDS, TUPLE) if len(h) >= OVERLAP else [])
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Matched shingles in text order over all shingles of both; 0 as soon as it cannot reach ``SIMILAR``."""
+def compared(a: np.ndarray, b: np.ndarray) -> tuple[bool, float]:
+    """Is the aligned similarity of two shingle lists at least ``SIMILAR``? And their Jaccard similarity."""
     total = len(a) + len(b)
     need = SIMILAR * total / (1 + SIMILAR) - 1e-9
-    if min(len(a), len(b)) < need:
-        return 0.0
     order = np.argsort(b)
     ranked = b[order]
     at = np.minimum(np.searchsorted(ranked, a), len(b) - 1)
     i = np.flatnonzero(ranked[at] == a)
+    jaccard = len(i) / (total - len(i))
     if len(i) < need:
-        return 0.0
+        return False, jaccard
     j = order[at[i]]
     band = total - 2 * need + 1
     j = j[np.abs(i - j) <= band]
@@ -151,7 +153,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
             else:
                 tails[k] = x
         m = len(tails)
-    return m / (total - m)
+    return m >= need, jaccard
 
 
 # --- tasks ----------------------------------------------------------------------------------------
@@ -176,15 +178,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bodies = [shingles(words_of(t.as_py())).astype("<u8").tobytes() for t in batch.column(1)]
+        bodies = [(shingles(words_of(t.as_py())) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["node", "body"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, left, right = (batch.column(i) for i in range(4))
-        ok = [similarity(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) >= SIMILAR for x, y in zip(left, right)]
-        yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], ["a", "b"])
+        found = [compared(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) for x, y in zip(batch.column(2), batch.column(3))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.float64())], ["a", "b", "linked", "jaccard"])
 
 
 # --- components -----------------------------------------------------------------------------------
@@ -243,45 +244,65 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     sketched = rows.filter("sketches is not null").select(F.explode(F.array_distinct("sketches")).alias("bucket"), "node", "n")
     sizes = sketched.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = kept(spark, sketched.join(sizes, "bucket"), "buckets")
-    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    # where a node's leadership begins: 0 for the heaviest of its bucket, else by hash, evenly over the bucket
+    per_node = shared.groupBy("node").agg(F.sum("size").alias("weight"), F.max("size").alias("largest"))
+    # a node leads in all its buckets at one turn: 0 for the heaviest node of a bucket, else by hash, evenly over its largest one
     even = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    weighed = kept(spark, shared.join(weight, "node").withColumn("turn", 1.0 + even * F.col("size")).drop("size"), "weighed")
-    heaviest = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("head"))
-    members = kept(spark, weighed.join(heaviest, "bucket").withColumn("turn", F.when(F.col("node") == F.col("head"), F.lit(0.0)).otherwise(F.col("turn"))).drop("head", "weight"), "members")
-
+    weighed = kept(spark, shared.drop("size").join(per_node, "node").withColumn("turn", 1.0 + even * F.col("largest")).drop("largest"), "weighed")
+    heads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("head")).select("head").distinct()
+    members = weighed.join(heads, F.col("node") == F.col("head"), "left").withColumn("turn", F.when(F.col("head").isNotNull(), F.lit(0.0)).otherwise(F.col("turn"))).drop("head")
+    members = kept(spark, members, "members")
     bodies = kept(spark, _texts_of(docs, rows, members.select("node").distinct()).mapInArrow(_bodies, "node long, body binary"), "bodies")
 
     found: DataFrame | None = None
     tested: DataFrame | None = None
-    alive = members.withColumn("comp", F.col("node"))
+    alive = members.withColumns({"comp": F.col("node"), "pivot": F.lit(None).cast("long"), "far": F.lit(None).cast("double")})
     low, high = -1.0, 0.5
     while True:
-        leaders = alive.filter((F.col("turn") > low) & (F.col("turn") <= high)).select("bucket", F.col("node").alias("l"), F.col("n").alias("ln"), F.col("comp").alias("lc"), F.col("turn").alias("lt"))
-        # of two leaders, the later one is the member; earlier leaders have been compared with all of the bucket
-        met = alive.filter(F.col("turn") > low).join(leaders, "bucket").filter((F.col("comp") != F.col("lc")) & ((F.col("turn") > F.col("lt")) | (F.col("turn") == F.col("lt")) & (F.col("node") > F.col("l"))))
-        long_enough = F.least("n", "ln") >= SIMILAR * F.greatest("n", "ln")
-        pairs = met.filter(long_enough).select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
+        leaders = alive.filter((F.col("turn") > low) & (F.col("turn") <= high)).select("bucket", *[F.col(c).alias("l_" + c) for c in ("node", "n", "comp", "turn", "pivot", "far")])
+        # of two leaders, the later one is the member; earlier leaders have been compared with all of their buckets
+        later = (F.col("turn") > F.col("l_turn")) | (F.col("turn") == F.col("l_turn")) & (F.col("node") > F.col("l_node"))
+        met = alive.join(leaders, "bucket").filter((F.col("comp") != F.col("l_comp")) & later & _may_link())
+        pairs = met.groupBy(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).agg(F.count("*").alias("times"), F.first(F.greatest("n", "l_n")).alias("longer"))
+        pairs = pairs.filter(F.col("times") >= F.when(F.col("longer") >= SHORT, SHARED).otherwise(1)).select("a", "b")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = kept(spark, pairs, "pairs")
         right = pairs.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("right")), "b")
         joined = right.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("left")), "a").select("a", "b", "left", "right")
-        linked = joined.mapInArrow(_verify, "a long, b long")
-        found = kept(spark, linked if found is None else found.unionByName(linked), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = components(found)
+        seen = kept(spark, joined.mapInArrow(_verify, "a long, b long, linked boolean, jaccard double"), "compared")
+        linked = seen.filter("linked").select("a", "b")
+        tested = seen.select("a", "b") if tested is None else tested.unionByName(seen.select("a", "b"))
+        if low < 0:
+            members = kept(spark, members.join(_pivots(seen, members), "node", "left"), "members")
+        roots = components(linked if found is None else found.unionByName(linked))
         found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b")  # connects as much
-        comp = members.select("bucket", "node", "n", "turn").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         low, high = high, (1.0 + GROWTH if high < 1 else 1.0 + (high - 1.0) * GROWTH)
-        # a bucket lives while those that have not led yet lie in more than one component, counting what they are compared with
-        left = comp.filter(F.col("turn") > low)
-        open_ = left.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("bucket")
-        alive = kept(spark, left.join(open_, "bucket", "left_semi"), "alive")
+        # a bucket lives while those of its nodes that have not led lie in more than one component
+        left = members.filter(F.col("turn") > low).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        several = left.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("bucket")
+        alive = kept(spark, left.join(several, "bucket", "left_semi"), "alive")
         if alive.isEmpty():
             return found
 
 
+def _may_link() -> Column:
+    """False only where two nodes cannot be linked: by their lengths, or by their distances to a third node.
+
+    One minus the Jaccard similarity obeys the triangle inequality, and the aligned similarity is at most the Jaccard
+    similarity; so two nodes whose distances to one pivot differ by more than 0.2 are more than 0.2 apart.
+    """
+    long_enough = F.least("n", "l_n") >= SIMILAR * F.greatest("n", "l_n")
+    apart = (F.col("pivot") == F.col("l_pivot")) & (F.abs(F.col("far") - F.col("l_far")) > 1 - SIMILAR + 1e-6)
+    return long_enough & ~F.coalesce(apart, F.lit(False))
+
+
+def _pivots(seen: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, pivot, far): of the heads a node was compared with, the heaviest, and the distance to it."""
+    heads = members.filter("turn = 0").select(F.col("node").alias("pivot"), "weight").distinct()
+    both = seen.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "jaccard").unionByName(seen.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "jaccard"))
+    best = both.join(heads, "pivot").groupBy("node").agg(F.max(F.struct("weight", "pivot", (1 - F.col("jaccard")).alias("far"))).alias("best"))
+    return best.select("node", "best.pivot", "best.far")
+
+
 def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the given nodes. Texts are found by doc_id; where an id has several rows, by their words as well."""
     several = rows.groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
