@@ -21,10 +21,11 @@ def role_overlap(role: Column, features: Column) -> Column:
 
 
 def leakage_report(jobs: DataFrame, role: str, features: str, row_id: str,
-                   sample_rows: int = 10_000, seed: int = 42) -> DataFrame:
-    """Mean overlap, percent of rows at or above one half, verdict.  Sampling is part of this check."""
+                   sample_rows: int | None = None, seed: int = 42) -> DataFrame:
+    """Mean overlap, percent of rows at or above one half, verdict; over all rows unless a sample is asked for."""
     score = role_overlap(F.col(role), F.col(features))
-    scored = sample_n(jobs.select(row_id, role, features), row_id, sample_rows, seed).select(score.alias("s"))
+    rows = jobs.select(row_id, role, features)
+    scored = (rows if sample_rows is None else sample_n(rows, row_id, sample_rows, seed)).select(score.alias("s"))
     summary = scored.agg(
         F.count("*").alias("sampled"), F.avg("s").alias("avg_overlap"),
         (F.avg(F.when(F.col("s") >= 0.5, 1.0).otherwise(0.0)) * 100).alias("leaky_percent"))
@@ -68,7 +69,7 @@ def resume_checks(df: DataFrame, category: str, text: str, min_rows: int = rules
     return metrics.union_all([general, classes, per_class])
 
 
-def job_checks(df: DataFrame, role: str, features: str, row_id: str, sample_rows: int = 10_000, seed: int = 42) -> DataFrame:
+def job_checks(df: DataFrame, role: str, features: str, row_id: str, sample_rows: int | None = None, seed: int = 42) -> DataFrame:
     """Rows, roles, the ten most frequent roles, leakage."""
     info = F.lit("info")
     counts = metrics.value_counts(df.filter(F.col(role).isNotNull()), role)

@@ -1,12 +1,9 @@
 """Skill taxonomy: phrases in text, aliases, overlap of two skill lists.
 
-A taxonomy is a table ``(name, aliases, category)``.  It is a dictionary kept by people, so it is
-small; nothing here relies on that unchecked.  Two forms of each step exist:
-
-* in the row (``SkillRules``): the dictionary reaches the tasks as a scalar subquery and the text
-  is never shuffled; a dictionary above ``MAX_FORMS`` stops with an error instead of growing;
-* relational (``phrase_hits``, ``normalize_rows``): ordinary joins for any dictionary size, the
-  optimizer picks broadcast or shuffle from the real size.
+A taxonomy is a table ``(name, aliases, category)``. Everything is an ordinary join for any size of the
+dictionary and any length of its phrases: the runs of tokens of a text, in the lengths that the dictionary
+has, meet its forms, and the found names meet the aliases. The optimizer picks broadcast or shuffle from
+the real sizes.
 """
 
 from __future__ import annotations
@@ -20,9 +17,6 @@ from talentloom import rules
 from talentloom.functions import text as T
 from talentloom.functions.numeric import bind, round1, share
 
-MAX_FORMS = 20_000
-MAX_PHRASE_WORDS = 4
-
 # A token may hold + # . inside and at the front, and + # at the end; a line end is its own token
 # so that no phrase crosses it.  "/" and "-" separate.
 PHRASE_TOKEN = r"[\p{L}\p{N}_+#.]*[\p{L}\p{N}_+#]|\n"
@@ -69,34 +63,22 @@ def alias_table(spark: SparkSession, taxonomy: DataFrame, order: str | None = No
     return every.groupBy("alias").agg(F.min_by("canonical", F.struct("priority", "entry")).alias("canonical"))
 
 
-def resolve_chains(aliases: DataFrame, hops: int = 3) -> DataFrame:
-    """Follow alias chains (option): after each hop a name is looked up once more."""
-    step = aliases
-    for _ in range(hops):
-        nxt = aliases.select(F.col("alias").alias("canonical"), F.col("canonical").alias("next"))
-        step = step.join(nxt, "canonical", "left").select("alias", F.coalesce("next", "canonical").alias("canonical"))
-    return step
-
+# --- phrases in texts ----------------------------------------------------------------------------------
 
-# --- relational forms ---------------------------------------------------------------------------------
+def phrases(words: Column, lengths: Column) -> Column:
+    """The distinct runs of tokens whose number is one of ``lengths``; both are array columns."""
+    def runs(n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-def phrases(c: Column, max_words: int = MAX_PHRASE_WORDS) -> Column:
-    """All runs of one to ``max_words`` tokens of a text (null past the end)."""
-
-    def longer(runs: Column, words: Column, n: int) -> Column:
-        """``runs`` and all longer ones; each length is built once from the one before."""
-        if n > max_words:
-            return runs
-        following = F.slice(words, F.lit(n), F.size(words))
-        extended = F.zip_with(runs, following, lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.concat(runs, bind(extended, lambda more: longer(more, words, n + 1)))
-
-    return bind(T.all_matches(F.lower(T.blank_if_null(c)), PHRASE_TOKEN), lambda words: longer(words, words, 2))
+    return F.array_distinct(F.flatten(F.transform(lengths, runs)))
 
 
 def phrase_hits(docs: DataFrame, doc_id: str, text: str, forms: DataFrame) -> DataFrame:
     """Distinct (doc, canonical): all overlapping phrases count, there is no longest-match rule."""
-    said = docs.select(doc_id, F.explode(F.array_distinct(phrases(F.col(text)))).alias("form")).filter("form IS NOT NULL")
+    lengths = forms.agg(F.coalesce(F.sort_array(F.collect_set(F.size(F.split("form", " ")))), F.array().cast("array<int>")).alias("n")).scalar()
+    tokens = docs.select(doc_id, T.all_matches(F.lower(T.blank_if_null(F.col(text))), PHRASE_TOKEN).alias("_words"), lengths.alias("_lengths"))
+    said = tokens.select(doc_id, F.explode(phrases(F.col("_words"), F.col("_lengths"))).alias("form"))
     return said.join(forms.select("form", "canonical"), "form").select(doc_id, "canonical").distinct()
 
 
@@ -109,49 +91,28 @@ def normalize_rows(rows: DataFrame, skill: str, aliases: DataFrame) -> DataFrame
     )
 
 
-# --- in-row forms ---------------------------------------------------------------------------------------
-
-def _as_map(table: DataFrame, key: str, value: str) -> Column:
-    """The whole table as one map value, evaluated once; refuses to grow past MAX_FORMS."""
-    too_many = F.raise_error(F.lit(f"more than {MAX_FORMS} dictionary rows: use the relational form"))
-    return table.agg(
-        F.when(F.count("*") > MAX_FORMS, too_many.cast("map<string,string>"))
-        .otherwise(F.map_from_entries(F.collect_list(F.struct(key, value)))).alias("m")
-    ).scalar()
+def skill_lists(rows: DataFrame, key: str, skill: str, aliases: DataFrame) -> DataFrame:
+    """(key, skills, skill_keys): sorted distinct names, and array<struct<key, name>> with the first name per normalised key."""
+    named = normalize_rows(rows.select(key, F.col(skill).alias("name")), "name", aliases)
+    first = named.groupBy(key, "skill_key").agg(F.min("name").alias("first"), F.collect_set("name").alias("names"))
+    lists = first.groupBy(key).agg(
+        F.sort_array(F.flatten(F.collect_list("names"))).alias("skills"),
+        F.sort_array(F.collect_list(F.struct(F.col("first").alias("name"), F.col("skill_key").alias("key")))).alias("_keys"))
+    return lists.select(key, "skills", F.transform("_keys", lambda p: F.struct(p["key"].alias("key"), p["name"].alias("name"))).alias("skill_keys"))
 
 
 @dataclass
 class SkillRules:
-    """Dictionary lookups attached to a table of texts; the text stays where it is."""
+    """The dictionary of one analysis: ``forms(form, canonical)`` and ``aliases(alias, canonical)``."""
 
     forms: DataFrame
     aliases: DataFrame
 
-    def with_skills(self, docs: DataFrame, text: str) -> DataFrame:
-        """Add ``skills`` (sorted distinct canonical names) and ``skill_keys`` (see :func:`keyed`)."""
-        lookup = _as_map(self.forms, "form", "canonical").alias("_forms")
-        found = F.array_intersect(phrases(F.col(text)), F.map_keys("_forms"))
-        skills = F.sort_array(F.array_distinct(F.transform(found, lambda f: F.element_at("_forms", f))))
-        named = docs.select("*", lookup).select(*docs.columns, skills.alias("skills"))
-        return self.with_keys(named, "skills")
-
-    def with_keys(self, df: DataFrame, skills: str, out: str = "skill_keys") -> DataFrame:
-        lookup = _as_map(self.aliases, "alias", "canonical").alias("_aliases")
-        return df.select("*", lookup).select(*df.columns, keyed(F.col(skills), F.col("_aliases")).alias(out))
-
-
-def keyed(skills: Column, aliases: Column) -> Column:
-    """array<struct<key, name>>, the first spelling per normalised key."""
-
-    def normal(s: Column) -> Column:
-        low = F.lower(T.strip(s))
-        return F.coalesce(F.try_element_at(aliases, low), low)
-
-    def first_per_key(keys: Column) -> Column:
-        pairs = F.zip_with(keys, skills, lambda k, s: F.struct(k.alias("key"), s.alias("name")))
-        return F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-
-    return bind(F.transform(skills, normal), first_per_key)
+    def with_skills(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """Add ``skills`` (sorted distinct canonical names) and ``skill_keys`` (see :func:`skill_lists`); one row per id."""
+        lists = skill_lists(phrase_hits(docs, doc_id, text, self.forms), doc_id, "canonical", self.aliases)
+        none = {c: F.coalesce(c, F.array().cast(lists.schema[c].dataType)) for c in ("skills", "skill_keys")}
+        return docs.join(lists, doc_id, "left").withColumns(none)
 
 
 def _names(pairs: Column) -> Column:

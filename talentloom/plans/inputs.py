@@ -58,11 +58,11 @@ def _resume_text(k: str = "c_custkey") -> str:
     ])
     summary = (f"(CASE WHEN {k} % 2 = 0 THEN {_s('Summary' + chr(10) + 'Delivery focused professional who enjoys clear goals.' + chr(10))}"
                f" WHEN {k} % 3 = 0 THEN {_s('Objective:' + chr(10) + 'To grow with a learning team.' + chr(10))} ELSE '' END)")
-    skill_a = _pick(k, ["Python, SQL", "python3; ML", "Java and Spring Boot", "JS, reactjs", "C++ / C#", "R, Tableau", "golang"])
-    skill_b = _pick(k, ["machine learning", "k8s", "AWS Lambda", "Power BI", "project management", "Node.js", "data analysis", "deep learning", "Express.js", "vue"])
-    skill_c = _pick(k, ["Docker", "NLP", "communication", "PostgreSQL", "git, Linux", "excel", "natural language\nprocessing", "scikit-learn", "GraphQL", "AWS", "spark"])
+    skill_a = _pick(k, ["Carpentry, forklift", "joinery; Q", "Milling and T++ milling", "K#, plotter", "T++ / K#", "Q, Beekeeping", "reach truck"])
+    skill_b = _pick(k, ["stock count", "inventory", "cold kitchen hygiene", "Bread baking", "route planning", "Lathe.ctl", "first aid for small crews", "rope access", "Plotter.ctl", "adr"])
+    skill_c = _pick(k, ["Payroll", "Welding", "bookkeeping", "Arc welding", "pruning, Soil tests", "sourdough", "dangerous\ngoods by road", "food safety", "Typesetting", "Dangerous goods", "handling of dangerous goods by road"])
     skills = (f"(CASE WHEN {k} % 11 = 0 THEN '' ELSE {_s('Skills' + chr(10))} END || {skill_a} || ', ' || {skill_b} || ', ' || "
-              + skill_c.replace("'natural language\nprocessing'", _s("natural language\nprocessing")) + f" || {NL})")
+              + skill_c.replace("'dangerous\ngoods by road'", _s("dangerous\ngoods by road")) + f" || {NL})")
     start = f"(2000 + {k} % 20)"
     jobs = _pick_sql(k, [
         _cat(_s("Work Experience\n- Developed and deployed data services for "), _num(f"3 + {k} % 9"),
@@ -100,15 +100,15 @@ def _jd_text(s: str = "s_suppkey") -> str:
         _cat(_s("At least "), _num(f"1 + {s} % 12"), _s(" yrs in the field.\n")), _s("All levels welcome.\n"),
     ])
     degree = _pick(s, ["Bachelor degree expected. ", "Master or PhD. ", "", "Diploma or certificate. ", "B.S. or M.S. needed. "])
-    skills = _pick(s, ["Python, machine learning and sql", "java, spring, kubernetes", "JavaScript, React, node", "power bi, Excel",
-                       "AWS Lambda, docker", "NLP and pytorch", "c++ and linux"])
+    skills = _pick(s, ["Carpentry, bread baking and adr", "milling, welding, inventory", "T++, Plotter, lathe control", "cold kitchen, Sourdough",
+                       "Handling of dangerous goods by road, payroll", "Q and stock count", "k# and rope access"])
     repeated = _pick_sql(s, [
         _s("Pipelines: build pipelines, test pipelines. Quality data, quality code.\n"),
         _s("Roadmap, stakeholders, roadmap; the team leads the team.\n"), _s("Services and services; uptime. Costs, costs, costs.\n"),
         _s("Plain text.\n"),
     ])
     whole = _cat(title, NL, years, degree, NL, skills, NL, repeated)
-    return f"(CASE WHEN {s} % 10 = 9 THEN '   ' WHEN {s} % 10 = 8 THEN 'C++ R Go' ELSE {whole} END)"
+    return f"(CASE WHEN {s} % 10 = 9 THEN '   ' WHEN {s} % 10 = 8 THEN 'T++ Q ADR' ELSE {whole} END)"
 
 
 RESUMES_SQL = f"SELECT c_custkey AS resume_id, {_resume_text()} AS text, c_mktsegment AS category FROM customer"
@@ -140,20 +140,21 @@ REPLIES_SQL = (
     f"ELSE '{{{_Q}suggestions{_Q}: [{{{_Q}category{_Q}: {_Q}' || lang || '{_Q}, {_Q}extra{_Q}: 1}}]}}' END AS json FROM documents"
 )
 
-# A small taxonomy of our own, in entry order: name, aliases, category.
+# A dictionary made up for these inputs, in entry order: name, further spellings, category. It has forms of one to
+# six words, forms inside forms, spellings that are names of other entries, marks inside names and a one-letter name.
 TAXONOMY = [
-    ("Python", ["python3", "python 3"], "Languages"), ("Java", ["core java"], "Languages"),
-    ("JavaScript", ["js", "ecmascript"], "Languages"), ("C++", ["cpp"], "Languages"), ("C#", ["c sharp"], "Languages"),
-    ("Go", ["golang"], "Languages"), ("R", ["r language"], "Languages"), ("SQL", ["structured query language"], "Languages"),
-    ("React", ["reactjs", "react.js"], "Web"), ("Vue.js", ["vue", "vuejs"], "Web"), ("Node.js", ["nodejs", "node"], "Web"),
-    ("Express.js", ["express", "expressjs"], "Web"), ("GraphQL", [], "Web"),
-    ("Spring Boot", ["spring", "spring boot"], "Backend"), ("PostgreSQL", ["postgres"], "Data"), ("Apache Spark", ["spark"], "Data"),
-    ("Data Analysis", ["data analytics"], "Data"), ("Machine Learning", ["ml"], "AI"), ("Deep Learning", ["dl"], "AI"),
-    ("Natural Language Processing", ["nlp"], "AI"), ("PyTorch", [], "AI"), ("Scikit-learn", ["sklearn"], "AI"),
-    ("AWS", ["amazon web services"], "Cloud"), ("AWS Lambda", ["lambda"], "Cloud"), ("Kubernetes", ["k8s"], "Cloud"),
-    ("Docker", [], "Cloud"), ("Linux", ["unix"], "Cloud"), ("Git", ["github"], "Tools"), ("Power BI", ["powerbi"], "Tools"),
-    ("Tableau", [], "Tools"), ("Microsoft Office", ["excel", "ms excel", "word"], "Tools"),
-    ("Project Management", ["pm"], "Soft"), ("Communication", [], "Soft"),
+    ("Carpentry", ["joinery", "wood framing"], "workshop"), ("Arc Welding", ["welding", "stick welding"], "workshop"),
+    ("Milling", ["t++ milling", "face milling"], "workshop"), ("T++", ["tpp"], "machines"), ("K#", ["k sharp"], "machines"),
+    ("Q", ["quality circle"], "machines"), ("Lathe.ctl", ["lathe control"], "machines"), ("Plotter.ctl", ["plotter", "plotterctl"], "machines"),
+    ("Stock Keeping", ["inventory"], "warehouse"), ("Inventory", ["stock count"], "warehouse"), ("Stock Count", ["shelf audit"], "warehouse"),
+    ("Forklift", ["reach truck", "forklift driving"], "warehouse"), ("Cold Chain", [], "warehouse"),
+    ("Handling of Dangerous Goods by Road", ["dangerous goods by road", "adr"], "transport"), ("Dangerous Goods", [], "transport"),
+    ("Route Planning", ["tour planning"], "transport"), ("Rail Dispatch", ["dispatch"], "transport"),
+    ("Cold Kitchen", ["garde manger"], "kitchen"), ("Cold Kitchen Hygiene", [], "kitchen"), ("Kitchen Hygiene", ["food safety"], "kitchen"),
+    ("Bread Baking", ["baking", "sourdough"], "kitchen"), ("First Aid for Small Crews", ["first aid"], "safety"),
+    ("Working at Height", ["rope access"], "safety"), ("Bookkeeping", ["ledger work", "double entry"], "office"),
+    ("Payroll", ["wage slips"], "office"), ("Typesetting", ["page layout"], "office"), ("Archive Care", ["records"], "office"),
+    ("Beekeeping", ["apiary"], "field"), ("Orchard Pruning", ["pruning"], "field"), ("Soil Sampling", ["soil tests"], "field"),
 ]
 
 
@@ -174,9 +175,6 @@ BASE_TABLES = (
 ).split()
 
 
-WIDE_TABLES = {"documents", "customer", "supplier", "conversations", "pages"}
-
-
 class Inputs:
     """Lazy access to the given tables and the tables derived from them."""
 
@@ -184,12 +182,7 @@ class Inputs:
         self.spark, self.folder = spark, folder
 
     def base(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in WIDE_TABLES and len(df.inputFiles()) == 1 and cores > 1:
-            # one small file cannot be split; a table of many files is read as it lies
-            return df.repartition(cores)
-        return df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:

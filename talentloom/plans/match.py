@@ -21,14 +21,14 @@ from talentloom.operators.skills import SkillRules, plain_extras, skill_overlap
 
 
 def facts(docs: DataFrame, doc_id: str, text: str, skills: SkillRules, as_of_year: int) -> DataFrame:
-    """Everything a text says about its author.  A projection: no shuffle."""
+    """Everything a text says about its author: a projection, and the skills found by joins on its phrases."""
     c = F.col(text)
     base = docs.select(
         doc_id, c.alias("text"),
         X.contact(c).alias("contact"), X.sections(c).alias("sections"), X.education(c).alias("education"),
         X.experience_years(c, as_of_year).alias("years"), X.job_titles(c).alias("titles"),
     ).withColumn("level", X.highest_degree(F.col("education")))
-    return skills.with_skills(base, "text")
+    return skills.with_skills(base, doc_id, "text")
 
 
 def structure(facts_: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def structure(facts_: DataFrame) -> DataFrame:
 def opening_facts(jds: DataFrame, jd_id: str, text: str, skills: SkillRules) -> DataFrame:
     """What an opening asks for; blank openings drop out (an application to one has no opening)."""
     c = F.col(text)
-    said = skills.with_skills(jds.filter(~T.is_blank(c)), text).select(
+    said = skills.with_skills(jds.filter(~T.is_blank(c)), jd_id, text).select(
         jd_id, T.keywords(c).alias("jd_keywords"), X.jd_years(c).alias("jd_years"), X.degree_level(c).alias("jd_level"),
         F.col("skill_keys").alias("jd_skill_keys"))
     repeated = G.repeated_words(jds, jd_id, text).withColumnRenamed("repeated", "jd_repeated")

@@ -113,9 +113,8 @@ def agg_best_model(t):
 _OVERLAP = """SELECT row_id, len(list_filter(r, lambda w: list_contains(f, w)))::DOUBLE / greatest(len(r), 1)::DOUBLE AS s FROM (
         SELECT row_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(role, '')), '\\s+'), lambda w: w <> '')) AS r,
                regexp_split_to_array(lower(coalesce(features, '')), '\\s+') AS f FROM jobs)"""
-_SAMPLE = "(SELECT * FROM ov0 ORDER BY md5('42:' || row_id::VARCHAR), row_id LIMIT 10000)"
 _VERDICT = "CASE WHEN leaky_percent > 50 THEN 'confirmed' WHEN leaky_percent > 20 THEN 'possible' ELSE 'none' END"
-_LEAK = f"""ov0 AS ({_OVERLAP}), lk0 AS (SELECT count(*) AS sampled, avg(s) AS avg_overlap, avg((s >= 0.5)::INT) * 100 AS leaky_percent FROM {_SAMPLE}),
+_LEAK = f"""ov0 AS ({_OVERLAP}), lk0 AS (SELECT count(*) AS sampled, avg(s) AS avg_overlap, avg((s >= 0.5)::INT) * 100 AS leaky_percent FROM ov0),
     lk AS (SELECT *, {_VERDICT} AS verdict FROM lk0)"""
 
 

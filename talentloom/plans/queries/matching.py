@@ -177,12 +177,12 @@ def agg_skill_counts(t):
 
 def _skill_keys(t, table, key):
     texts = getattr(t, table).select(key, "text")
-    return t.skill_rules.with_skills(texts, "text").select(key, "skill_keys")
+    return t.skill_rules.with_skills(texts, key, "text").select(key, "skill_keys")
 
 
 def _overlaps(t):
     """Applications with an opening and their skill overlap; only key lists travel."""
-    openings = t.skill_rules.with_skills(t.jds.filter(~T.is_blank(F.col("text"))), "text").select("jd_id", F.col("skill_keys").alias("jd_keys"))
+    openings = t.skill_rules.with_skills(t.jds.filter(~T.is_blank(F.col("text"))), "jd_id", "text").select("jd_id", F.col("skill_keys").alias("jd_keys"))
     pairs = skew_join(t.applications, openings, "jd_id", "application_id", "inner")
     both = skew_join(pairs, _skill_keys(t, "resumes", "resume_id"), "resume_id", "application_id", "inner", count_on=t.applications)
     return both.select("application_id", K.skill_overlap(F.col("skill_keys"), F.col("jd_keys")).alias("gap"))

@@ -14,7 +14,6 @@ from talentloom.functions import text as T
 from talentloom.operators import skills as K
 from talentloom.operators.encode import encode_texts
 from talentloom.operators.recommend import job_catalogue
-from talentloom.plans.inputs import BASE_TABLES
 from talentloom.plans.queries import sql as Q
 from talentloom.plans.queries.registry import joined, joined_sql, query
 from talentloom.session import scratch_path
@@ -149,11 +148,6 @@ def src_taxonomy(t):
     return K.taxonomy_forms(entries, "p_partkey")
 
 
-@query("src_file_inventory")
-def src_file_inventory(t):
-    return S.file_inventory(t.spark, t.folder, [f"{n}.parquet" for n in BASE_TABLES] + ["resumes.csv"])
-
-
 @query("sink_artifacts", "SELECT role, coalesce(arg_min(features, row_id) FILTER (WHERE features IS NOT NULL), '') AS features FROM jobs WHERE role IS NOT NULL GROUP BY role")
 def sink_artifacts(t):
     """The catalogue is built on first use, stored, and read back on the next."""
@@ -162,10 +156,18 @@ def sink_artifacts(t):
     return B.load_or_build(t.spark, path, lambda: 1 / 0)
 
 
-@query("udf_encoder")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_COUNTS = ", ".join(f"(length(t) - length(replace(t, '{ch}', '')))::DOUBLE" for ch in LETTERS)
+
+
+@query("udf_encoder", f"""
+    WITH c AS (SELECT doc_id, [{_COUNTS}] AS v FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE regexp_matches(text, '\\S'))),
+    n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM c)
+    SELECT doc_id, list_transform(v, lambda x: round(x / CASE WHEN norm = 0 THEN 1 ELSE norm END, 4)) AS embedding FROM n""")
 def udf_encoder(t):
-    """The encoder hook with a toy encoder: letter counts."""
+    """The encoder hook with a toy encoder: letter counts at unit length, shown to four digits."""
     def load():
         import numpy as np
-        return lambda texts: np.array([[s.lower().count(ch) for ch in "abcdefghijklmnopqrstuvwxyz"] for s in texts], dtype=float)
-    return encode_texts(t.documents, "doc_id", "text", load)
+        return lambda texts: np.array([[s.lower().count(ch) for ch in LETTERS] for s in texts], dtype=float)
+    vectors = encode_texts(t.documents, "doc_id", "text", load)
+    return vectors.select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from talentloom import rules
-from talentloom.plans.inputs import AS_OF_YEAR, CTES
+from talentloom.plans.inputs import AS_OF_YEAR, CTES, TAXONOMY
 
 
 def q(text: str) -> str:
@@ -163,6 +163,7 @@ def jd_years(x: str) -> str:
 
 
 PHRASE_TOKEN = "[\\p{L}\\p{N}_+#.]*[\\p{L}\\p{N}_+#]"
+LONGEST_FORM = max(len(form.split()) for name, others, _ in TAXONOMY for form in (name, *others))
 
 
 def forms_ctes() -> str:
@@ -181,10 +182,10 @@ def forms_ctes() -> str:
 
 
 def skills_ctes(table: str, key: str, out: str) -> str:
-    """CTE text: out(key, skill) by exploding lines into tokens and joining 1..4-grams."""
+    """CTE text: out(key, skill) by exploding lines into tokens and joining runs of all lengths of the taxonomy."""
     grams = " UNION ALL ".join(
         f"SELECT DISTINCT {key}, array_to_string(toks[i:i+{n}], ' ') AS form FROM (SELECT {key}, toks, unnest(range(1, len(toks) + 1 - {n})) AS i FROM {out}_tok)"
-        for n in range(4))
+        for n in range(LONGEST_FORM))
     return f"""
         {out}_tok AS (SELECT {key}, regexp_extract_all(line, {q(PHRASE_TOKEN)}) AS toks FROM (
             SELECT {key}, unnest(string_split(lower(text), chr(10))) AS line FROM {table})),

@@ -73,14 +73,17 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 # --- artefacts ----------------------------------------------------------------------------------------
 
 def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:
-    """A stored table, or ``build()`` stored there first when it is missing or unreadable.
+    """A stored table, or ``build()`` stored there first when nothing lies at the path.
 
-    Later use reads the file, so a lost executor never repeats the build.
+    Later use reads the file, so a lost executor never repeats the build. A path that holds something
+    else, or nothing readable, is an error: it may be a good table that this reader cannot open.
     """
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        build().write.mode("errorifexists").parquet(path)
         return spark.read.parquet(path)
 
 

@@ -16,7 +16,7 @@ from talentloom.operators.joins import hot_keys, skew_join
 
 def test_hot_keys_are_bounded(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("k"))
-    assert hot_keys(df, "k", min_rows=50, limit=4).count() == 4
+    assert hot_keys(df, "k", min_rows=50, share=0.2).count() == 0
     assert hot_keys(df, "k", min_rows=100).count() == 0
 
 
@@ -24,12 +24,28 @@ def test_hot_keys_are_bounded(spark):
 def test_skew_join_equals_join(spark, how):
     many = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 == 1, None).otherwise(F.col("id") % 50).alias("k"))
     one = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    a = skew_join(many, one, "k", "id", how, min_rows=100, salts=8)
+    a = skew_join(many, one, "k", "id", how, min_rows=100)
     b = many.join(one, "k", how)
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(a.select("id", "k", "v").collect(), key=key) == sorted(b.select("id", "k", "v").collect(), key=key)
 
 
+def test_hot_and_null_keys_are_spread(spark):
+    """Two fifths of the rows without a key and half of them with one key: no partition above twice the mean."""
+    many = spark.range(40_000).select("id", F.when(F.col("id") % 5 < 2, None).when(F.col("id") % 10 < 9, 7).otherwise(F.col("id") % 500).alias("k"))
+    one = spark.range(500).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "-1")
+        sizes = [r["count"] for r in skew_join(many, one, "k", "id", min_rows=400).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert sum(sizes) == 40_000 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_top_n_over_many_blocks(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(90, 8))

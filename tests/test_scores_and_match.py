@@ -55,15 +55,24 @@ def test_bands(value):
     assert [value(S.band, x) for x in (75.0, 50.0, 25.0, 24.9)] == [1, 2, 3, 4]
 
 
+def small_rules(spark):
+    entries = [("AWS", [], "c"), ("AWS Lambda", ["lambda"], "c"), ("C++", ["cpp"], "c"), ("C#", [], "c"), ("Spring Boot", ["spring"], "c"), ("Python", [], "c"), ("Java", [], "c"), ("SQL", [], "c"), ("Docker", [], "c"),
+               ("React", [], "c"), ("Machine Learning", ["ml"], "c"), ("JavaScript", ["js"], "c"), ("Natural Language Processing", ["nlp"], "c"),
+               ("Care of the very old at home", ["very old at home care"], "c")]
+    table = spark.createDataFrame([(i, *e) for i, e in enumerate(entries)], "entry int, name string, aliases array<string>, category string")
+    return K.SkillRules(K.taxonomy_forms(table, "entry"), K.alias_table(spark, table, "entry"))
+
+
 @pytest.fixture(scope="module")
 def rules(spark):
-    return Inputs(spark, SMALL).skill_rules
+    return small_rules(spark)
 
 
 def overlap(spark, rules, mine, theirs):
-    df = spark.createDataFrame([(mine, theirs)], "a array<string>, b array<string>")
-    keyed = rules.with_keys(rules.with_keys(df, "a", "ka"), "b", "kb")
-    return keyed.select(K.skill_overlap(F.col("ka"), F.col("kb")).alias("o")).first()["o"]
+    rows = spark.createDataFrame([("a", s) for s in mine] + [("b", s) for s in theirs], "side string, skill string")
+    keyed = {r["side"]: r["skill_keys"] for r in K.skill_lists(rows, "side", "skill", rules.aliases).collect()}
+    both = spark.createDataFrame([(keyed["a"], keyed["b"])], "a array<struct<key: string, name: string>>, b array<struct<key: string, name: string>>")
+    return both.select(K.skill_overlap(F.col("a"), F.col("b")).alias("o")).first()["o"]
 
 
 def test_overlap_through_aliases(spark, rules):
@@ -83,23 +92,24 @@ def test_alias_precedence(spark):
     assert m["api"] == "api"
 
 
-def test_alias_chain_option(spark):
-    table = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "x")], "alias string, canonical string")
-    m = {r["alias"]: r["canonical"] for r in K.resolve_chains(table).collect()}
-    assert m == {"a": "c", "b": "c", "x": "x"}
-
-
 def test_phrases_overlap_and_stop_at_line_ends(spark, rules):
     df = spark.createDataFrame([(1, "AWS Lambda, C++ & c#; spring\nboot. natural-language processing")], "id int, text string")
-    assert rules.with_skills(df, "text").first()["skills"] == ["AWS", "AWS Lambda", "C#", "C++", "Natural Language Processing", "Spring Boot"]
+    assert rules.with_skills(df, "id", "text").first()["skills"] == ["AWS", "AWS Lambda", "C#", "C++", "Natural Language Processing", "Spring Boot"]
     rows = K.phrase_hits(df, "id", "text", rules.forms)
     assert sorted(r["canonical"] for r in rows.collect()) == ["AWS", "AWS Lambda", "C#", "C++", "Natural Language Processing", "Spring Boot"]
 
 
-def test_dictionary_guard(spark, rules, monkeypatch):
-    monkeypatch.setattr(K, "MAX_FORMS", 3)
-    with pytest.raises(Exception, match="relational form"):
-        rules.with_skills(spark.createDataFrame([("x",)], "text string"), "text").collect()
+def test_long_phrases_and_texts_without_any(spark, rules):
+    df = spark.createDataFrame([(1, "Care of the very old at home, and more"), (2, "very old at home care"), (3, None), (4, "care of the very old")], "id int, text string")
+    got = {r["id"]: r["skills"] for r in rules.with_skills(df, "id", "text").collect()}
+    assert got == {1: ["Care of the very old at home"], 2: ["Care of the very old at home"], 3: [], 4: []}
+
+
+def test_large_dictionary(spark):
+    table = spark.range(50_000).select(F.col("id").alias("entry"), F.concat(F.lit("trade number "), "id").alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit("c").alias("category"))
+    big = K.SkillRules(K.taxonomy_forms(table, "entry"), K.alias_table(spark, table, "entry"))
+    df = spark.createDataFrame([(1, "trade number 49999 or Trade number 7")], "id int, text string")
+    assert big.with_skills(df, "id", "text").first()["skills"] == ["trade number 49999", "trade number 7"]
 
 
 def test_missing_keywords(spark):
@@ -113,7 +123,7 @@ def test_missing_keywords(spark):
 def _match(spark, apps, resumes, jds, **kw):
     return M.match(spark.createDataFrame(apps, "application_id long, resume_id long, jd_id long"),
                    spark.createDataFrame(resumes, "resume_id long, text string"),
-                   spark.createDataFrame(jds, "jd_id long, text string"), Inputs(spark, SMALL).skill_rules, AS_OF_YEAR, **kw)
+                   spark.createDataFrame(jds, "jd_id long, text string"), small_rules(spark), AS_OF_YEAR, **kw)
 
 
 GOOD = ("John Doe\njohn@example.com\n123-456-7890\n\nSummary\nExperienced developer.\n\nExperience\n- Developed scalable APIs and microservices for 5 years."
