@@ -13,8 +13,6 @@ each to the order of places, so neither removes the other; an empty table gives
 
 from __future__ import annotations
 
-from collections import Counter
-
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,38 +41,54 @@ def spelled(fragments: list[Fragment]) -> tuple[list[str], int]:
 
 
 def judge(fragments: list[Fragment]) -> list[np.ndarray]:
-    """For each window of each fragment: does its phrase also start earlier?"""
-    texts, width = spelled(fragments)
+    """For each window of each fragment: does its phrase also start earlier?
+
+    Blocks often send the same fragment; its text passes the automaton once, for its earliest place.
+    """
+    copies: dict[bytes, int] = {}
+    earliest: dict[bytes, Fragment] = {}
+    for f in fragments:
+        copies[f.content] = copies.get(f.content, 0) + 1
+        known = earliest.get(f.content)
+        if known is None or (f.doc, f.start) < (known.doc, known.start):
+            earliest[f.content] = f
+    distinct = list(earliest.values())
+    texts, width = spelled(distinct)
     size = WINDOW * width
-    seen = Counter(t[j * width: j * width + size] for f, t in zip(fragments, texts) for j in range(f.windows))
+    seen: dict[str, int] = {}
+    for f, t in zip(distinct, texts):
+        n = copies[f.content]
+        for j in range(0, f.windows * width, width):
+            phrase = t[j: j + size]
+            seen[phrase] = seen.get(phrase, 0) + n
     automaton = ahocorasick.Automaton()
-    n = 0
-    for phrase, count in seen.items():
-        if count > 1:
-            automaton.add_word(phrase, n)
-            n += 1
+    known = [phrase for phrase, count in seen.items() if count > 1]
     del seen
-    marks = [np.zeros(f.windows, bool) for f in fragments]
-    if not n:
-        return marks
+    if not known:
+        return [np.zeros(f.windows, bool) for f in fragments]
+    for i, phrase in enumerate(known):
+        automaton.add_word(phrase, i)
     automaton.make_automaton()
-    first: list[tuple[int, int] | None] = [None] * n
-    hits: list[list[tuple[int, int]]] = []
-    for f, t in zip(fragments, texts):
-        mine = []
-        for end, phrase in automaton.iter(t):
-            at = end + 1 - size
-            if at % width == 0:
-                j = at // width
-                mine.append((j, phrase))
-                place = (f.doc, f.start + j)
-                if first[phrase] is None or place < first[phrase]:
-                    first[phrase] = place
-        hits.append(mine)
-    for f, mine, mark in zip(fragments, hits, marks):
-        for j, phrase in mine:
-            mark[j] = first[phrase] < (f.doc, f.start + j)
-    return marks
+    # for every hit its phrase and place; places are put in order once, then compared as numbers
+    hits = [[(end + 1 - size, i) for end, i in automaton.iter(t)] for t in texts]
+    n_hits = np.array([len(x) for x in hits])
+    at, phrase = np.array([x for h in hits for x in h], np.int64).reshape(-1, 2).T
+    owner = np.repeat(np.arange(len(distinct)), n_hits)
+    aligned = at % width == 0
+    at, phrase, owner = at[aligned] // width, phrase[aligned], owner[aligned]
+    docs = np.unique(np.array([f.doc for f in fragments], np.int64))
+    base = np.searchsorted(docs, np.array([f.doc for f in distinct], np.int64)) << 32 | np.array([f.start for f in distinct], np.int64)
+    first = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(first, phrase, base[owner] + at)
+    # the first place of each window's phrase; windows without a hit have none but their own
+    windows = np.array([f.windows for f in distinct])
+    offset = np.cumsum(windows) - windows
+    place = np.full(windows.sum(), np.iinfo(np.int64).max)
+    place[offset[owner] + at] = first[phrase]
+    per_text = dict(zip(earliest, np.split(place, offset[1:])))
+    own = (np.searchsorted(docs, np.array([f.doc for f in fragments], np.int64)) << 32 | np.array([f.start for f in fragments], np.int64)).tolist()
+    steps = np.arange(max(f.windows for f in fragments))
+    return [per_text[f.content] < o + steps[: f.windows] for f, o in zip(fragments, own)]
 
 
 KIND = Kind(words=True, window=WINDOW, gram=GRAM, within=True, judge=judge)

@@ -130,6 +130,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def _marked(n: int, *places: np.ndarray) -> np.ndarray:
+    """The given places below ``n``, in order."""
+    mark = np.zeros(n, bool)
+    for p in places:
+        mark[p] = True
+    return np.flatnonzero(mark)
+
+
 class Block:
     """A block's units, and its windows grouped into runs of one anchor."""
 
@@ -140,10 +148,11 @@ class Block:
         self.doc_start = self.doc_end - np.array(lengths, np.int64)
         self.order = np.array([LAST if i is None else i for i in ids], np.int64)
         if kind.words:
-            ends = np.union1d(np.flatnonzero(self.buf == 32), self.doc_end[self.doc_end > self.doc_start])
             # a word starts behind a space or where a document starts
-            starts = np.union1d(np.flatnonzero(self.buf == 32) + 1, self.doc_start[self.doc_end > self.doc_start])
-            self.start, self.end = starts.astype(np.int64), ends.astype(np.int64)
+            space = np.flatnonzero(self.buf == 32)
+            filled = self.doc_end > self.doc_start
+            self.start = _marked(len(data), space + 1, self.doc_start[filled])
+            self.end = _marked(len(data) + 1, space, self.doc_end[filled])
         else:
             self.start = np.arange(len(self.buf), dtype=np.int64)
             self.end = self.start + 1
@@ -151,6 +160,7 @@ class Block:
         self.first = np.searchsorted(self.start, self.doc_start)
         self.count = np.diff(np.append(self.first, len(self.start)))
         self.first = np.where(self.count > 0, self.first, 0)
+        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), self.count)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(anchor, document, first unit, number of windows, times) of each run.
@@ -185,8 +195,8 @@ class Block:
         n_windows = min(n_windows, z - a)
         h = h[:n_windows]
         at = np.arange(a, a + n_windows)
-        doc = np.searchsorted(self.doc_end, self.start[at], side="right")
-        ok = self.end[at + size - 1] <= self.doc_end[doc]
+        doc = self.doc[a: a + n_windows]
+        ok = doc == self.doc[a + size - 1: a + size - 1 + n_windows]
         h, at, doc = h[ok], at[ok], doc[ok]
         if not len(h):
             return NO_RUNS
