@@ -150,7 +150,7 @@ def test_classes_equal_brute_force(docs):
         rows += family(rng, [f"f{f}w{i}" for i in range([30, 120, 250, 600][f])], 40, 1000 * f)
     rows += [(9000 + i, f"single text number {i} " + " ".join(f"s{i}_{k}" for k in range(60))) for i in range(30)]
     rows += [(9100 + i, " ".join(f"t{k}" for k in range(n))) for i, n in enumerate([1, 2, 4, 5, 6, 9, 10, 24, 29, 31, 33, 40])]
-    rows += [(1, "f0w0"), (2, None), (3, ""), (4, " \n")]
+    rows += [(20_001, "f0w0"), (20_002, None), (20_003, ""), (20_004, " \n")]
     want = brute_classes(rows)
     got = near_dedup.class_rows(docs(rows)).collect()
     assert {r.doc_id: r.class_id for r in got} == want
