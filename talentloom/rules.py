@@ -31,26 +31,29 @@ MIN_CLASS_ROWS = 30
 EARLIEST_YEAR = 1970
 
 # --- fixed values: words that carry no meaning in keyword matching --------------------------------
-STOPWORDS = (
-    "the and for are but not you all can had her was one our out has have been from they will "
-    "with this that each make like into some them than its over such also more other their which "
-    "about would these should through experience work working ability strong including using "
-    "years required preferred responsibilities qualifications"
-).split()
+STOPWORDS = [
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has",
+    "have", "been", "from", "they", "will", "with", "this", "that", "each", "make", "like", "into", "some", "them",
+    "than", "its", "over", "such", "also", "more", "other", "their", "which", "about", "would", "these", "should",
+    "through", "experience", "work", "working", "ability", "strong", "including", "using", "years", "required",
+    "preferred", "responsibilities", "qualifications",
+]
 
 # --- fixed values: verbs that mark an achievement -------------------------------------------------
-ACTION_VERBS = (
-    "developed designed implemented managed created built improved optimized analyzed reduced "
-    "increased established delivered achieved automated coordinated executed generated launched "
-    "maintained resolved spearheaded streamlined supervised trained collaborated contributed "
-    "engineered integrated migrated deployed architected mentored facilitated evaluated"
-).split()
+ACTION_VERBS = [
+    "developed", "designed", "implemented", "managed", "created", "built", "improved", "optimized", "analyzed",
+    "reduced", "increased", "established", "delivered", "achieved", "automated", "coordinated", "executed",
+    "generated", "launched", "maintained", "resolved", "spearheaded", "streamlined", "supervised", "trained",
+    "collaborated", "contributed", "engineered", "integrated", "migrated", "deployed", "architected", "mentored",
+    "facilitated", "evaluated",
+]
 
 # --- fixed values: words that rule a line out as a person's name ----------------------------------
-NOT_A_NAME = (
-    "resume curriculum vitae cv profile summary contact email phone address mobile linkedin "
-    "github portfolio page developer engineer manager experience education skills projects languages"
-).split()
+NOT_A_NAME = [
+    "resume", "curriculum", "vitae", "cv", "profile", "summary", "contact", "email", "phone", "address", "mobile",
+    "linkedin", "github", "portfolio", "page", "developer", "engineer", "manager", "experience", "education",
+    "skills", "projects", "languages",
+]
 
 # --- fixed values: contact patterns -----------------------------------------------------------------
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
