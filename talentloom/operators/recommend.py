@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentloom.functions import text as T
 from talentloom.functions.numeric import clamp, round1
-from talentloom.operators import metrics, topk
+from talentloom.operators import metrics
 from talentloom.operators import vectors as V
 
-MAX_FEATURES = 10_000
-
 
 def job_catalogue(jobs: DataFrame, role: str, features: str, row_id: str) -> DataFrame:
     """(role, features): duplicates go before anything costly is computed.  A role without features stays, as empty text."""
@@ -19,29 +17,29 @@ def job_catalogue(jobs: DataFrame, role: str, features: str, row_id: str) -> Dat
     return first.select(F.col(role).alias("role"), F.coalesce(F.col(features), F.lit("")).alias("features"))
 
 
-def recommend(texts: DataFrame, catalogue: DataFrame, text_id: str, text: str, top_n: int = 10,
-              max_features: int = MAX_FEATURES) -> DataFrame:
+def recommend(texts: DataFrame, catalogue: DataFrame, text_id: str, text: str, top_n: int = 10) -> DataFrame:
     """(text_id, rank, role, score, snippet): the roles nearest to each text.
 
-    The vocabulary comes from the catalogue and is cut to ``max_features``, which bounds the width
-    of the product; the product itself is exact and blocked (see ``topk``).  A text that shares no
-    term with the catalogue gets zero scores, roles in name order, like any other text.
+    The vocabulary is the catalogue's, whole. Texts meet roles through the terms they share (an inverted index):
+    products are added up by (text, role) where they arise and once more after the shuffle. Roles that
+    share no term have a similarity of zero; only the first ``top_n`` of them by name can be needed.
     """
     jobs = V.term_counts(catalogue, "role", "features")
-    vocab = V.indexed_vocabulary(V.vocabulary(jobs, catalogue, max_features))
-    empty = F.array().cast("array<struct<i: int, w: double>>")
-
-    def padded(df: DataFrame, vectors: DataFrame, key: str, out: str) -> DataFrame:
-        return df.join(vectors, key, "left").select(F.col(key).alias(out), F.coalesce("vector", empty).alias("vector"))
-
-    items = padded(catalogue.select("role"), V.indexed_vectors(jobs, vocab, "role"), "role", "item_id")
-    counts = V.term_counts(texts, text_id, text)
-    queries = padded(texts.select(text_id), V.indexed_vectors(counts, vocab, text_id), text_id, "query_id")
-    best = topk.top_n(queries, items, top_n, max_features, sparse=True,
-                      query_rows=texts.count(), item_rows=catalogue.count())
-    named = best.join(catalogue, best["item_id"] == catalogue["role"])
-    return named.select(F.col("query_id").alias(text_id), "rank", "role", score(F.col("similarity")).alias("score"),
-                        T.snippet(F.col("features")).alias("snippet"))
+    vocab = V.vocabulary(jobs, catalogue)
+    roles = _entries(V.tfidf(jobs, vocab, "role"), "role", "in_role")
+    said = _entries(V.tfidf(V.term_counts(texts, text_id, text), vocab, text_id), text_id, "in_text")
+    dots = said.join(roles, "term").groupBy(text_id, "role").agg(F.sum(F.col("in_text") * F.col("in_role")).alias("dot"))
+    first = catalogue.select("role").orderBy("role").limit(top_n).agg(F.collect_list("role").alias("roles")).scalar()
+    fill = texts.select(text_id, first.alias("roles")).select(text_id, F.explode("roles").alias("role"), F.lit(0.0).alias("dot"))
+    every = dots.unionByName(fill).groupBy(text_id, "role").agg(F.round(F.max("dot"), 6).alias("similarity"))
+    best = Window.partitionBy(text_id).orderBy(F.desc("similarity"), F.asc("role"))
+    ranked = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n)
+    return ranked.join(catalogue, "role").select(text_id, "rank", "role", score(F.col("similarity")).alias("score"), T.snippet(F.col("features")).alias("snippet"))
+
+
+def _entries(vectors: DataFrame, key: str, weight: str) -> DataFrame:
+    """(key, term, weight): one row for each entry of sparse vectors."""
+    return vectors.select(key, F.explode(F.arrays_zip("terms", "weights")).alias("e")).select(key, F.col("e.terms").alias("term"), F.col("e.weights").alias(weight))
 
 
 def score(similarity):

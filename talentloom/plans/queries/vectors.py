@@ -28,28 +28,31 @@ def sim_cosine(t):
 
 
 @query("rec_exact", f"""
-    WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round({_DOT}, 6) + 0.0 AS similarity FROM embeddings a, embeddings b)
+    WITH heads AS (SELECT arg_min(struct_pack(vec_id := vec_id, embedding := embedding), vec_id) AS h FROM embeddings GROUP BY label),
+    b AS (SELECT h.vec_id AS vec_id, h.embedding AS embedding FROM heads),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round({_DOT}, 6) + 0.0 AS similarity FROM embeddings a, b)
     SELECT query_id, item_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id)::INT AS rank FROM s) WHERE rank <= 10""")
 def rec_exact(t):
-    v = t.embeddings
-    return topk.top_n(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
-                      v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 10, 64)
+    """All vectors against a catalogue of one vector per label."""
+    heads = t.embeddings.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("h"))
+    return topk.top_n(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
+                      heads.select(F.col("h.vec_id").alias("item_id"), F.col("h.embedding").alias("vector")), 10, 64)
 
 
 _CATALOGUE = "cat AS (SELECT role AS id, coalesce(arg_min(features, row_id) FILTER (WHERE features IS NOT NULL), '') AS text FROM jobs WHERE role IS NOT NULL GROUP BY role)"
 _TOPN = f"""
-    WITH {_CATALOGUE}, posts AS (SELECT 'p' || row_id AS id, features AS text FROM jobs WHERE features IS NOT NULL),
-    {Q.tfidf_ctes('cat', 'id', 'tc', top=10000)}, {Q.tfidf_ctes('posts', 'id', 'tp', corpus='cat', top=10000)},
+    WITH {_CATALOGUE}, posts AS (SELECT 'p' || resume_id AS id, text FROM resumes),
+    {Q.tfidf_ctes('cat', 'id', 'tc')}, {Q.tfidf_ctes('posts', 'id', 'tp', corpus='cat')},
     dots AS (SELECT tp.id AS q, tc.id AS role, sum(tp.w * tc.w) AS d FROM tp JOIN tc USING (term) GROUP BY 1, 2),
     s AS (SELECT p.id AS q, c.id AS role, c.text AS features, round(coalesce(d, 0), 6) AS similarity FROM posts p, cat c LEFT JOIN dots ON dots.q = p.id AND dots.role = c.id),
     best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, role)::INT AS rank FROM s),
-    recs AS (SELECT q[2:]::BIGINT AS row_id, rank, role, {Q.round1('least(greatest(similarity * 100, 0), 100)')} AS score,
+    recs AS (SELECT q[2:]::BIGINT AS resume_id, rank, role, {Q.round1('least(greatest(similarity * 100, 0), 100)')} AS score,
              CASE WHEN length(features) > 200 THEN features[1:200] || '...' ELSE features END AS snippet FROM best WHERE rank <= 10)"""
 
 
 def _recommended(t):
     catalogue = R.job_catalogue(t.jobs, "role", "features", "row_id")
-    return R.recommend(t.jobs.filter("features IS NOT NULL").select("row_id", "features"), catalogue, "row_id", "features")
+    return R.recommend(t.resumes.select("resume_id", "text"), catalogue, "resume_id", "text")
 
 
 @query("rec_topn", f"{_TOPN} SELECT * FROM recs")
@@ -62,10 +65,10 @@ def win_rank_number(t):
     return _recommended(t).groupBy("rank").agg(F.count("*").alias("rows"), F.max("score").alias("best"), F.min("score").alias("worst"))
 
 
-@query("report_jobs", f"""{_TOPN} SELECT row_id AS resume_id, 'jobs' AS section, rank AS ord, role AS label,
+@query("report_jobs", f"""{_TOPN} SELECT resume_id, 'jobs' AS section, rank AS ord, role AS label,
        printf('%d.%d%%', floor(score)::INT, round_even((score - floor(score)) * 10, 0)::INT) AS value, {Q.band('score')} AS band FROM recs WHERE rank <= 8""")
 def report_jobs(t):
-    return job_lines(_recommended(t).withColumnRenamed("row_id", "resume_id"))
+    return job_lines(_recommended(t))
 
 
 @query("rec_build", f"WITH {_CATALOGUE}, {Q.tfidf_ctes('cat', 'id', 'v')} SELECT id AS role, term, round(w, 9) AS weight FROM v")
