@@ -14,8 +14,8 @@ is a set of documents that links connect.
 3. No bucket is expanded into its pairs. Each round picks leaders in every bucket that still joins several
    components - first the node with the largest buckets, which is the likely source of a family of copies,
    then four times as many each round by hash - and verifies leaders against members of other components.
-   Found links merge components. Pairs that cannot be linked by their lengths or by their distances to a common
-   leader are left out. The rounds end when every candidate pair is connected, ruled out or verified, so no
+   Found links merge components. Pairs are left out that cannot be linked because one has too many shingles
+   that no other text has, or by their distances to a common leader. The rounds end when every candidate pair is connected, ruled out or verified, so no
    link between candidates is lost, and pairs inside a family that hangs together are never looked at.
 
 Verification merges the two lists of shingles within the band that a similarity of 0.8 allows, which makes it
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import kept, pick_rows, with_group_facts
+from talentloom.llm.common import kept, partitions, pick_rows, with_group_facts
 
 WORDS = 5
 SIMILAR = 0.8
@@ -47,6 +47,8 @@ SKETCHES, TUPLE, SHARED = 80, 8, 2
 SHORT_SKETCHES, SHORT_TUPLE = 16, 2
 SHORT, OVERLAP = 32, 24
 GROWTH = 4
+CHUNK_BYTES = 2 << 20
+OWNER_BYTES = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([int.from_bytes(hashlib.blake2b(f"sketch {i}".encode(), digest_size=8).digest(), "little") for i in range(SKETCHES)], np.uint64)
 
@@ -176,10 +178,85 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row += n
 
 
+CHUNK = pa.schema([("chunk", pa.int64()), ("nodes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
+CHUNK_SQL = "chunk long, nodes array<long>, lengths array<long>, data binary"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of many nodes in one row, 32 bits each."""
+    chunk = TaskContext.get().partitionId() << 28
+    nodes, bodies, size = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([chunk], [nodes], [[len(x) // 4 for x in bodies]], [b"".join(bodies)]), CHUNK)], schema=CHUNK)
+
+    for batch in batches:
+        for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            nodes.append(node)
+            bodies.append((shingles(words_of(text.as_py())) >> np.uint64(32)).astype("<u4").tobytes())
+            size += len(bodies[-1])
+            if size >= CHUNK_BYTES:
+                yield flush()
+                chunk, nodes, bodies, size = chunk + 1, [], [], 0
+    if nodes:
+        yield flush()
+
+
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bodies = [(shingles(words_of(t.as_py())) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], ["node", "body"])
+        for row in batch.to_pylist():
+            ends = np.cumsum([0, *row["lengths"]]) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(row["nodes"], pa.int64()), pa.array([row["data"][x:y] for x, y in zip(ends[:-1], ends[1:])], pa.binary())], ["node", "body"])
+
+
+def _by_owner(data: bytes, owners: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct shingles of a chunk, how often each occurs, and the places of those that go to one owner."""
+    distinct, count = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
+    owner = distinct % owners
+    order = np.argsort(owner, kind="stable")
+    cuts = np.flatnonzero(np.diff(owner[order].astype(np.int64), prepend=-1))
+    return distinct, count, np.split(order, cuts[1:]) if len(order) else []
+
+
+def _send(owners: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                distinct, count, parts = _by_owner(row["data"], owners)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["chunk"]] * len(parts), pa.int64()), pa.array([int(distinct[p[0]] % owners) for p in parts], pa.int64()),
+                    pa.array([distinct[p].tobytes() for p in parts], pa.binary()), pa.array([np.minimum(count[p], 2).astype(np.uint8).tobytes() for p in parts], pa.binary()),
+                ], ["chunk", "owner", "shingles", "counts"])
+
+    return send
+
+
+def _shared(messages: pa.Table) -> pa.Table:
+    """One owner: a bit for each shingle of a message, set where another node has it too."""
+    lists = [np.frombuffer(x, "<u4") for x in messages["shingles"].to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.uint8) for x in messages["counts"].to_pylist()])
+    _, where = np.unique(np.concatenate(lists), return_inverse=True)
+    total = np.bincount(where, weights=counts)[where]
+    bits = [np.packbits(t > 1).tobytes() for t in np.split(total, np.cumsum([len(x) for x in lists])[:-1])]
+    return pa.table({"chunk": messages["chunk"], "owner": messages["owner"], "bits": pa.array(bits, pa.binary())})
+
+
+def _common(owners: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                distinct, _, parts = _by_owner(row["data"], owners)
+                bits = {r["owner"]: r["bits"] for r in row["replies"] or []}
+                known = np.zeros(len(distinct), bool)
+                for p in parts:
+                    known[p] = np.unpackbits(np.frombuffer(bits[int(distinct[p[0]] % owners)], np.uint8))[: len(p)]
+                mine = known[np.searchsorted(distinct, np.frombuffer(row["data"], "<u4"))]
+                lengths = np.array(row["lengths"], np.int64)
+                total = np.concatenate([[0], np.cumsum(mine)])
+                ends = np.cumsum(lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(row["nodes"], pa.int64()), pa.array(total[ends] - total[ends - lengths], pa.int64())], ["node", "common"])
+
+    return count
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,20 +322,26 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     sizes = sketched.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = kept(spark, sketched.join(sizes, "bucket"), "buckets")
     per_node = shared.groupBy("node").agg(F.sum("size").alias("weight"), F.max("size").alias("largest"))
-    # a node leads in all its buckets at one turn: 0 for the heaviest node of a bucket, else by hash, evenly over its largest one
+    # a node leads in all its buckets at one turn: 0 for the heads below, else by hash, evenly over its largest bucket
     even = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    weighed = kept(spark, shared.drop("size").join(per_node, "node").withColumn("turn", 1.0 + even * F.col("largest")).drop("largest"), "weighed")
-    heads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("head")).select("head").distinct()
-    members = weighed.join(heads, F.col("node") == F.col("head"), "left").withColumn("turn", F.when(F.col("head").isNotNull(), F.lit(0.0)).otherwise(F.col("turn"))).drop("head")
+    weighed = kept(spark, shared.join(per_node, "node").withColumn("turn", 1.0 + even * F.col("largest")).drop("largest"), "weighed")
+    texts = _texts_of(docs, rows, weighed.select("node").distinct())
+    chunks = kept(spark, texts.mapInArrow(_chunks, CHUNK_SQL), "chunks")
+    bodies = chunks.mapInArrow(_bodies, "node long, body binary")
+    weighed = kept(spark, weighed.join(_common_shingles(chunks), "node").filter(F.col("common") >= _least_common(F.col("n"), SIMILAR * F.col("n"))), "able")
+    # first to lead are the nodes that are the heaviest of their own largest bucket
+    heaviest = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("head"))
+    widest = weighed.groupBy("node").agg(F.max(F.struct("size", "bucket")).getField("bucket").alias("bucket"))
+    heads = widest.join(heaviest, "bucket").filter("node = head").select("head").distinct()
+    members = weighed.join(heads, F.col("node") == F.col("head"), "left").withColumn("turn", F.when(F.col("head").isNotNull(), F.lit(0.0)).otherwise(F.col("turn"))).drop("head", "size")
     members = kept(spark, members, "members")
-    bodies = kept(spark, _texts_of(docs, rows, members.select("node").distinct()).mapInArrow(_bodies, "node long, body binary"), "bodies")
 
     found: DataFrame | None = None
     tested: DataFrame | None = None
     alive = members.withColumns({"comp": F.col("node"), "pivot": F.lit(None).cast("long"), "far": F.lit(None).cast("double")})
     low, high = -1.0, 0.5
     while True:
-        leaders = alive.filter((F.col("turn") > low) & (F.col("turn") <= high)).select("bucket", *[F.col(c).alias("l_" + c) for c in ("node", "n", "comp", "turn", "pivot", "far")])
+        leaders = alive.filter((F.col("turn") > low) & (F.col("turn") <= high)).select("bucket", *[F.col(c).alias("l_" + c) for c in ("node", "n", "common", "comp", "turn", "pivot", "far")])
         # of two leaders, the later one is the member; earlier leaders have been compared with all of their buckets
         later = (F.col("turn") > F.col("l_turn")) | (F.col("turn") == F.col("l_turn")) & (F.col("node") > F.col("l_node"))
         met = alive.join(leaders, "bucket").filter((F.col("comp") != F.col("l_comp")) & later & _may_link())
@@ -284,15 +367,31 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
             return found
 
 
+def _common_shingles(chunks: DataFrame) -> DataFrame:
+    """(node, common): how many shingles of a node some other node has as well, found by an exchange of short hashes and bits."""
+    spark = chunks.sparkSession
+    total = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    owners = max(partitions(spark), -(-total // OWNER_BYTES))
+    sent = chunks.mapInArrow(_send(owners), "chunk long, owner long, shingles binary, counts binary")
+    replies = sent.groupBy("owner").applyInArrow(_shared, "chunk long, owner long, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("owner", "bits")).alias("replies"))
+    return chunks.join(replies, "chunk", "left").mapInArrow(_common(owners), "node long, common long")
+
+
+def _least_common(n: Column, m: Column) -> Column:
+    """Matched shingles that two nodes of ``n`` and ``m`` shingles need for a link, and so need to share with others."""
+    return SIMILAR / (1 + SIMILAR) * (n + m) - 1e-6
+
+
 def _may_link() -> Column:
-    """False only where two nodes cannot be linked: by their lengths, or by their distances to a third node.
+    """False only where two nodes cannot be linked: by the shingles they share with any other node, or by their distances to a third.
 
-    One minus the Jaccard similarity obeys the triangle inequality, and the aligned similarity is at most the Jaccard
+    Shingles that no other node has cannot be matched, so a text with many edits of its own is known to have no
+    link without a comparison; this also bounds the lengths. One minus the Jaccard similarity obeys the triangle inequality, and the aligned similarity is at most the Jaccard
     similarity; so two nodes whose distances to one pivot differ by more than 0.2 are more than 0.2 apart.
     """
-    long_enough = F.least("n", "l_n") >= SIMILAR * F.greatest("n", "l_n")
+    enough = F.least("common", "l_common") >= _least_common(F.col("n"), F.col("l_n"))
     apart = (F.col("pivot") == F.col("l_pivot")) & (F.abs(F.col("far") - F.col("l_far")) > 1 - SIMILAR + 1e-6)
-    return long_enough & ~F.coalesce(apart, F.lit(False))
+    return enough & ~F.coalesce(apart, F.lit(False))
 
 
 def _pivots(seen: DataFrame, members: DataFrame) -> DataFrame:
