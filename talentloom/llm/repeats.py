@@ -50,7 +50,8 @@ RUN = 64
 FREQUENT = 4096
 NO_RUNS = np.array([], np.uint64), *(np.array([], np.int64) for _ in range(4))
 LAST = np.iinfo(np.int64).max
-HEAD = np.dtype([("doc", "<i8"), ("start", "<u4"), ("length", "<u4"), ("windows", "u1")])
+#: doc_id, place, bytes and windows of a fragment
+HEAD = "<i8", "<u4", "<u4", "u1"
 BASE = 0x9E3779B97F4A7C15
 REPORT = ["n_units long", "n_removed long", "n_spans long", "kept_sha256 string"]
 
@@ -325,22 +326,26 @@ def _sent(b: Block, owners: int, shards: int, replies: list[dict]) -> tuple[byte
     for part in np.split(by_shard, cuts[1:]) if len(by_shard) else []:
         at = picked[part]
         bodies = [data[low[i]:high[i]] for i in at.tolist()]
-        head = np.zeros(len(part), HEAD)
-        head["doc"], head["start"], head["length"], head["windows"] = b.order[doc[at]], place[at], [len(x) for x in bodies], n[at]
-        messages.append((int(shard[part[0]]), _packed(len(part).to_bytes(8, "little") + head.tobytes() + b"".join(bodies))))
-    state = {"content": content, "first": first.astype(np.int32), "n": n.astype(np.uint8), "later": later, "shard": shard.astype(np.int32), "by_shard": by_shard.astype(np.int32), "windows": n[picked].astype(np.uint8)}
+        # column by column, places only where they count: neighbours are alike, which the compression finds
+        columns = b.order[doc[at]], place[at] if kind.within else np.zeros(len(at)), [len(x) for x in bodies], n[at]
+        head = b"".join(np.asarray(c).astype(t).tobytes() for c, t in zip(columns, HEAD))
+        messages.append((int(shard[part[0]]), _packed(len(part).to_bytes(8, "little") + head + b"".join(bodies))))
+    state = {"content": np.diff(content, prepend=0).astype(np.int32), "first": np.diff(first, prepend=0).astype(np.int32), "n": n.astype(np.uint8), "later": later, "shard": shard.astype(np.int32), "by_shard": by_shard.astype(np.int32), "windows": n[picked].astype(np.uint8)}
     return _packed(pickle.dumps(state, protocol=5)), messages
 
 
 def _packed(data: bytes) -> bytes:
-    return zstandard.compress(data, 1)
+    return zstandard.compress(data, 6)
 
 
 def _read(payload: bytes) -> list[Fragment]:
     payload = zstandard.decompress(payload)
     n = int.from_bytes(payload[:8], "little")
-    at, out = 8 + HEAD.itemsize * n, []
-    for d, s, size, w in np.frombuffer(payload, HEAD, n, 8).tolist():
+    at, out, columns = 8, [], []
+    for kind in HEAD:
+        columns.append(np.frombuffer(payload, kind, n, at).tolist())
+        at += n * np.dtype(kind).itemsize
+    for d, s, size, w in zip(*columns):
         out.append(Fragment(payload[at:at + size], d, s, w))
         at += size
     return out
@@ -364,7 +369,7 @@ def _judged(kind: Kind):
 
 def removed_units(b: Block, state: dict, replies: dict[int, bytes]) -> np.ndarray:
     """True for each unit of the block that a repeated window covers."""
-    content, first, n, later, windows = state["content"], state["first"].astype(np.int64), state["n"].astype(np.int64), state["later"], state["windows"].astype(np.int64)
+    content, first, n, later, windows = np.cumsum(state["content"]), np.cumsum(state["first"].astype(np.int64)), state["n"].astype(np.int64), state["later"], state["windows"].astype(np.int64)
     # where the bits of each distinct fragment begin, in all replies put end to end
     by_shard, shard = state["by_shard"], state["shard"]
     offset = np.zeros(len(windows), np.int64)
