@@ -31,17 +31,21 @@ def hash_of(value: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(value, F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
-def keyed(docs: DataFrame, key: str, size: str) -> DataFrame:
-    """``docs`` with its hash and bytes as the columns ``key`` and ``size``."""
-    part, number, theirs = fresh(docs, "part_"), fresh(docs, "number_"), fresh(docs, "of_")
-    repeated = docs.groupBy(F.col("doc_id").alias(theirs)).agg(F.count("*").alias("n")).filter("n > 1").select(theirs)
-    sized = docs.withColumns({size: F.octet_length(or_empty(F.col("text"))).cast("long"), part: F.spark_partition_id()})
-    same = F.col("doc_id").eqNullSafe(F.col(theirs))
-    once = sized.join(repeated, same, "left_anti").withColumn(key, hash_of(F.col("doc_id").cast("string")))
-    order = Window.partitionBy("doc_id", part).orderBy(F.col(size), F.xxhash64("text"))
-    several = sized.join(repeated, same, "left_semi").withColumn(number, F.row_number().over(order))
-    several = several.withColumn(key, hash_of(F.concat_ws(":", F.col("doc_id").cast("string"), part, number))).drop(number)
-    return once.unionByName(several).drop(part)
+def sized(docs: DataFrame) -> dict[str, Column]:
+    """What a row's hash and place need of its text: bytes, and a hash that orders rows of one id."""
+    return {"size": F.octet_length(or_empty(F.col("text"))).cast("long"), "tie": F.xxhash64("text")}
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows(doc_id, size, tie, …)`` with their hash as ``key`` instead of ``tie``."""
+    repeated = rows.groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("n")).filter("n > 1").select("of")
+    placed_ = rows.withColumn("part", F.spark_partition_id())
+    same = F.col("doc_id").eqNullSafe(F.col("of"))
+    once = placed_.join(repeated, same, "left_anti").withColumn("key", hash_of(F.col("doc_id").cast("string")))
+    order = Window.partitionBy("doc_id", "part").orderBy("size", "tie")
+    several = placed_.join(repeated, same, "left_semi").withColumn("number", F.row_number().over(order))
+    several = several.withColumn("key", hash_of(F.concat_ws(":", F.col("doc_id").cast("string"), "part", "number"))).drop("number")
+    return once.unionByName(several).drop("part", "tie")
 
 
 def prefix(key: Column, depth: Column) -> Column:
@@ -83,14 +87,15 @@ def placed(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def shard_rows(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
-    rows = kept(docs.sparkSession, keyed(docs.select("doc_id", "text"), "key", "size").drop("text"), "keys")
+    light = kept(docs.sparkSession, docs.select("doc_id", *[c.alias(n) for n, c in sized(docs).items()]), "sizes")
+    rows = kept(docs.sparkSession, keyed(light), "keys")
     return placed(rows, limit).select("doc_id", F.col("size").alias("n_bytes"), "shard", "depth", "shard_bytes", "shard_rows")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
     """Writes all columns of ``docs`` as Parquet, one folder per shard (``shard=b0110``)."""
-    held = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "doc_id", "text")
-    rows = kept(docs.sparkSession, keyed(held, "key", "size").drop("doc_id", "text"), "staged")
+    held = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "doc_id", *[c.alias(n) for n, c in sized(docs).items()])
+    rows = kept(docs.sparkSession, keyed(held).drop("doc_id"), "staged")
     out = placed(rows, limit).select("row.*", F.concat(F.lit("b"), "shard").alias(fresh(docs, "shard")))
     name = out.columns[-1]
     out.repartition(F.col(f"`{name}`")).write.partitionBy(name).parquet(path)
