@@ -13,7 +13,7 @@ is a set of documents that links connect.
    at 0.8 does not with a probability of 7e-6 (80 sketches that each agree with 0.8**8), at 0.85 of 1e-9.
 3. No bucket is expanded into its pairs. Each round picks leaders in every bucket that still joins several
    components - first the node with the largest buckets, which is the likely source of a family of copies,
-   then four times as many each round by hash - and verifies leaders against members of other components.
+   then ``GROWTH`` times as many each round by hash - and verifies leaders against members of other components.
    Found links merge components. Pairs are left out that cannot be linked because one has too many shingles
    that no other text has, or by their distances to a common leader. The rounds end when every candidate pair is connected, ruled out or verified, so no
    link between candidates is lost, and pairs inside a family that hangs together are never looked at.
@@ -46,7 +46,7 @@ SIMILAR = 0.8
 SKETCHES, TUPLE, SHARED = 80, 8, 2
 SHORT_SKETCHES, SHORT_TUPLE = 16, 2
 SHORT, OVERLAP = 32, 24
-GROWTH = 4
+GROWTH = 64
 CHUNK_BYTES = 2 << 20
 OWNER_BYTES = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -407,7 +407,7 @@ def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     several = rows.groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
     ids = rows.filter("row = node").join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id"), "print")
     same = F.col("id").eqNullSafe(F.col("of"))
-    once = docs.join(ids.join(several, same, "left_anti"), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    once = docs.join(ids.join(several, same, "left_anti").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
     more = docs.join(ids.join(several, same, "left_semi"), F.col("doc_id").eqNullSafe(F.col("id"))).withColumn("mine", print_of(F.col("text")))
     return once.unionByName(more.filter("mine = print").dropDuplicates(["node"]).select("node", "text"))
 
