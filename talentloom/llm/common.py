@@ -72,7 +72,8 @@ def pick_rows(docs: DataFrame, decided: DataFrame, digest: Callable[[Column], Co
     columns = docs.columns
     docs = docs.withColumn(mine, F.col("doc_id").cast("long"))
     same_id = F.col(mine).eqNullSafe(F.col(theirs))
-    single = docs.join(per_id.filter("n = 1 and stays").select(theirs), same_id, "left_semi")
+    # one id for each document: never a table to broadcast, so the plan is the same at every size
+    single = docs.join(per_id.filter("n = 1 and stays").select(theirs).hint("merge"), same_id, "left_semi")
     several = docs.join(per_id.filter("n > 1 and stays").select(theirs), same_id, "left_semi").withColumn(own, digest(F.col("text")))
     stay = decided.filter("kept").select(F.col("doc_id").alias(theirs), F.col("digest").alias(other)).distinct()
     several = several.join(stay, same_id & (F.col(own) == F.col(other)), "left_semi")

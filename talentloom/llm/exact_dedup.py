@@ -162,7 +162,7 @@ def decisions(docs: DataFrame) -> DataFrame:
 
     suspects = marked.filter("suspect").drop("suspect")
     wanted = suspects.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(_norm, "norm binary")
+    texts = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(_norm, "norm binary")
     # verified by bytes: the group is the whole text; two texts under one SHA-256 would end the run
     by_text = texts.groupBy("norm").agg(F.count("*").alias("n")).select(F.unhex(F.sha2("norm", 256)).alias("sha"), "n")
     by_sha = by_text.groupBy("sha").agg(F.sum("n").alias("group_size"), F.count("*").alias("texts"))

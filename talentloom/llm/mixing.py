@@ -115,7 +115,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken = shares(light).filter("size > 0 and (epochs > 0 or part > 0)").groupBy("doc_id", "source", "size").agg(
         F.sum("epochs").alias("epochs"), F.sum(F.when(F.col("part") == F.col("size"), 1).otherwise(0)).alias("more"), F.max(F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(0)).alias("part"), F.count("*").alias("rows"))
     taken = taken.select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), "epochs", "more", "part", "rows")
-    joined = rows.join(taken, rows["doc_id"].eqNullSafe(F.col("t_id")) & rows["source"].eqNullSafe(F.col("t_source")) & (rows["size"] == F.col("t_size")))
+    joined = rows.join(taken.hint("merge"), rows["doc_id"].eqNullSafe(F.col("t_id")) & rows["source"].eqNullSafe(F.col("t_source")) & (rows["size"] == F.col("t_size")))
     # rows alike in id, source and size: each is repeated for its epochs; what is above them is dealt by number
     number = F.row_number().over(Window.partitionBy("t_id", "t_source", "t_size").orderBy("doc_id"))
     joined = joined.withColumn("number", F.when(F.col("rows") > 1, number).otherwise(F.lit(1)))
