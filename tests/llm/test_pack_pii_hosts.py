@@ -56,6 +56,14 @@ def test_odd_texts_have_the_librarys_ids(docs, tokenizer):
     check_pieces(packing.packed(docs(rows), with_ids=False).collect(), want)
 
 
+def test_long_white_space_has_the_librarys_ids(docs, tokenizer):
+    rows = [(1, "a" + " " * 2_000_000 + "b"), (2, "\n" * 3_000_000 + "7"), (3, "a<|endoftext|>" + "\u3000" * 1_200_000), (4, "\t" * 1_100_000 + "<|endoftext|>" + " \n" * 700_000 + "!"), (5, "x" * 2_000_000)]
+    n = packing.LONG_RUN
+    rows += [(10 + i, pre + w * k + post) for i, (w, k, pre, post) in enumerate((w, k, pre, post) for w in " \n\u00a0" for k in (n - 1, n, n + 1) for pre in ("", "a") for post in ("", "b", "\x1c"))]
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in rows}
+    check_pieces(packing.packed(docs(rows), with_ids=False).collect(), want)
+
+
 def test_packing_empty_repeated_and_null_ids(docs):
     assert packing.packed(docs([])).count() == 0
     got = packing.packed(docs([(None, "a"), (1, "b"), (1, "b")])).collect()
