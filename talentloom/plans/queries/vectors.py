@@ -122,16 +122,22 @@ def sim_text_tfidf(t):
     s AS (SELECT sid, sum(ts.w * tj.w) AS c FROM pr JOIN ts ON ts.id = sid JOIN tj ON tj.id = jid AND tj.term = ts.term GROUP BY sid)
     SELECT resume_id, section, round(least(greatest(coalesce(c, 0), 0), 1) * 100, 2) AS similarity FROM pr LEFT JOIN s USING (sid)""")
 def sim_sections(t):
-    """Every non-blank section of a résumé against the opening it was sent to."""
-    sections = t.resumes.select("resume_id", F.inline(T.split_sections(F.col("text")))).filter(~T.is_blank(F.col("body")))
+    """Every non-blank section of a résumé against every opening it was sent to, one row for each application.
+
+    A text of headings only has no section and is compared as a whole, as section "overall".
+    """
+    from talentloom.operators.joins import skew_join
+    found = T.split_sections(F.col("text"))
+    whole = F.array(F.struct(F.lit("overall").alias("section"), F.col("text").alias("body")))
+    sections = t.resumes.select("resume_id", F.inline(F.when(F.size(found) > 0, found).otherwise(whole))).filter(~T.is_blank(F.col("body")))
     parts = sections.select(F.concat(F.col("resume_id").cast("string"), F.lit(":"), "section").alias("id"), "resume_id", "section", F.col("body").alias("text"))
     corpus = t.resumes.select(F.col("resume_id").cast("string").alias("id"), "text")
     vocab = V.vocabulary(V.term_counts(corpus, "id", "text"), corpus)
     part_vectors = V.tfidf(V.term_counts(parts, "id", "text"), vocab, "id")
     jd_vectors = V.tfidf(V.term_counts(t.jds, "jd_id", "text"), vocab, "jd_id").toDF("jd_id", "h_terms", "h_weights")
-    sent = t.applications.filter("jd_id IS NOT NULL").groupBy("resume_id").agg(F.min("jd_id").alias("jd_id"))
-    pairs = parts.drop("text").join(sent, "resume_id").join(part_vectors, "id", "left")
-    from talentloom.operators.joins import skew_join
-    both = skew_join(pairs, jd_vectors, "jd_id", "id", count_on=sent)
+    sent = t.applications.filter("jd_id IS NOT NULL").select("application_id", "resume_id", "jd_id")
+    with_vectors = parts.drop("text").join(part_vectors, "id", "left").drop("id")
+    pairs = skew_join(sent, with_vectors, "resume_id", "application_id", "inner")
+    both = skew_join(pairs, jd_vectors, "jd_id", "application_id", count_on=sent)
     cosine = V.sparse_dot(F.col("terms"), F.col("weights"), F.col("h_terms"), F.col("h_weights"))
-    return both.select("resume_id", "section", V.similarity_score(cosine).alias("similarity"))
+    return both.select("application_id", "resume_id", "jd_id", "section", V.similarity_score(cosine).alias("similarity"))
