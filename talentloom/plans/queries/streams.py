@@ -49,6 +49,6 @@ def st_dedup_uploads(t):
     SELECT date_trunc('day', ts) AS window_start, {Q.band('value')} AS band, count(*) AS rows FROM events
     WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
 def st_running_bands(t):
-    """Days that the watermark has closed; later days are still open."""
-    closed = _run(t, A.running_bands(_stream(t, "events"), "ts", "value", "1 day", "1 hour"), "bands")
-    return closed.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    """All days with the events that have arrived, the last ones too."""
+    running = A.run_counts(A.running_bands(_stream(t, "events"), "ts", "value", "1 day"), scratch_path(t.spark, "bands-mark"))
+    return running.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -45,3 +45,16 @@ def running_bands(arrivals: DataFrame, ts: str, score: str, window: str = "1 day
         rows.groupBy(F.window(ts, window).alias("w"), S.band(F.col(score)).alias("band")).agg(F.count("*").alias("rows"))
         .select(F.col("w.start").alias("window_start"), "band", "rows")
     )
+
+
+def run_counts(bands: DataFrame, checkpoint: str) -> DataFrame:
+    """Process what has arrived for :func:`running_bands`, then give the counts of all windows, open ones too.
+
+    The counts are the state that the stream keeps in its checkpoint, so they need no sink; each input
+    row counts once, also after a loss. Without a watermark no late row is dropped, and a window keeps one
+    row of state for each band.
+    """
+    bands.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    state = bands.sparkSession.read.format("statestore").load(checkpoint).select("key.*", "value.*")
+    window, band, rows = state.columns
+    return state.select(F.col(f"`{window}`")["start"].alias("window_start"), F.col(f"`{band}`").alias("band"), F.col(f"`{rows}`").alias("rows"))

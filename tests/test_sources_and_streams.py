@@ -99,3 +99,22 @@ def test_stream_dedup_across_batches(spark, tmp_path):
     stream = A.read_arrivals(spark, str(tmp_path / "in"), df.schema, files_per_batch=1)
     A.run_available(A.dedup_uploads(stream, "ts", A.content_key(F.col("k"))), str(tmp_path / "out"), str(tmp_path / "mark"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_running_bands_equal_the_batch_form_over_all_days(spark, tmp_path):
+    """Days in any order over several batches; the last day and late rows count as well."""
+    df = spark.sql("SELECT id, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id * 37 % 100 as int)) AS ts, cast(id % 97 as double) AS v FROM range(400)")
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    bands = lambda: A.running_bands(A.read_arrivals(spark, str(tmp_path / "in"), df.schema, files_per_batch=1), "ts", "v")
+    got = A.run_counts(bands(), str(tmp_path / "mark"))
+    assert sorted(got.collect()) == sorted(A.running_bands(df, "ts", "v").collect())
+    df.limit(7).write.mode("append").parquet(str(tmp_path / "in"))
+    got = A.run_counts(bands(), str(tmp_path / "mark"))
+    assert sum(r["rows"] for r in got.collect()) == 407
+
+
+def test_registered_bands_cover_every_event(spark):
+    import __spark_entry__ as entry
+    events = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = A.running_bands(events, "ts", "value").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    assert sorted(entry.queries()["st_running_bands"](spark, SMALL).collect()) == sorted(want.collect())
