@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import exact_dedup, host_trust, mixing, near_dedup, packing, phrases, pii, quality_rules, sharding, suffixes
+from talentloom.llm import exact_dedup, hnsw, host_trust, merkle, mixing, near_dedup, packing, phrases, pii, quality_rules, runs, sharding, suffixes
 from talentloom.llm.common import table
 
 
@@ -60,6 +60,21 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_rows(table(spark, folder, "documents"))
 
 
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its periodic runs of words."""
+    return runs.run_rows(table(spark, folder, "documents"))
+
+
+def op12_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows found for every row whose id 20 divides."""
+    return hnsw.neighbour_rows(table(spark, folder, "embeddings"))
+
+
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its proof, and the root its tampered version folds to."""
+    return merkle.manifest_rows(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_host_trust": op2_host_trust,
@@ -71,10 +86,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_runs": op11_runs,
+    "op12_neighbours": op12_neighbours,
+    "op13_manifest": op13_manifest,
 }
 CHECKS: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_sharding": sharding.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op13_manifest": merkle.ORACLE,
 }

@@ -31,6 +31,6 @@ def oracle(folder):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return lambda sql: con.execute(sql)
