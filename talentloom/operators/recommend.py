@@ -25,7 +25,7 @@ def recommend(texts: DataFrame, catalogue: DataFrame, text_id: str, text: str, t
     share no term have a similarity of zero; only the first ``top_n`` of them by name can be needed.
     """
     jobs = V.term_counts(catalogue, "role", "features")
-    vocab = V.vocabulary(jobs, catalogue)
+    vocab = V.vocabulary(jobs)
     roles = _entries(V.tfidf(jobs, vocab, "role"), "role", "in_role")
     said = _entries(V.tfidf(V.term_counts(texts, text_id, text), vocab, text_id), text_id, "in_text")
     dots = said.join(roles, "term").groupBy(text_id, "role").agg(F.sum(F.col("in_text") * F.col("in_role")).alias("dot"))

@@ -1,21 +1,20 @@
 """Skill taxonomy: phrases in text, aliases, overlap of two skill lists.
 
-A taxonomy is a table ``(name, aliases, category)``. Everything is an ordinary join for any size of the
-dictionary and any length of its phrases: the runs of tokens of a text, in the lengths that the dictionary
-has, meet its forms, and the found names meet the aliases. The optimizer picks broadcast or shuffle from
-the real sizes.
+A taxonomy is a table ``(name, aliases, category)`` of any size, with phrases of any length. Its forms are indexed by
+their rarest token; texts meet the index token by token, and only where a key stands are phrases compared.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talentloom import rules
 from talentloom.functions import text as T
 from talentloom.functions.numeric import bind, round1, share
+from talentloom.operators.joins import skew_join
 
 # A token may hold + # . inside and at the front, and + # at the end; a line end is its own token
 # so that no phrase crosses it.  "/" and "-" separate.
@@ -65,21 +64,42 @@ def alias_table(spark: SparkSession, taxonomy: DataFrame, order: str | None = No
 
 # --- phrases in texts ----------------------------------------------------------------------------------
 
-def phrases(words: Column, lengths: Column) -> Column:
-    """The distinct runs of tokens whose number is one of ``lengths``; both are array columns."""
-    def runs(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+#: Up to so many forms the index is sent to every executor (some ten MB); a larger one is joined by shuffles.
+INDEX_FORMS = 100_000
 
-    return F.array_distinct(F.flatten(F.transform(lengths, runs)))
 
+def phrase_index(forms: DataFrame) -> DataFrame:
+    """(_key, _nth, _form, canonical): the tokens of every form under the rarest of them, which the fewest forms hold and which is the ``_nth``."""
+    tokens = forms.select("form", "canonical", F.split("form", " ").alias("_form")).select("*", F.posexplode("_form").alias("_nth", "_key"))
+    held = tokens.withColumn("held", F.count("*").over(Window.partitionBy("_key")))
+    rarest = F.min_by(F.struct("_key", "_nth", "_form", "canonical"), F.struct("held", -F.length("_key"), "_nth"))
+    return held.groupBy("form").agg(rarest.alias("entry")).select("entry.*")
 
-def phrase_hits(docs: DataFrame, doc_id: str, text: str, forms: DataFrame) -> DataFrame:
-    """Distinct (doc, canonical): all overlapping phrases count, there is no longest-match rule."""
-    lengths = forms.agg(F.coalesce(F.sort_array(F.collect_set(F.size(F.split("form", " ")))), F.array().cast("array<int>")).alias("n")).scalar()
-    tokens = docs.select(doc_id, T.all_matches(F.lower(T.blank_if_null(F.col(text))), PHRASE_TOKEN).alias("_words"), lengths.alias("_lengths"))
-    said = tokens.select(doc_id, F.explode(phrases(F.col("_words"), F.col("_lengths"))).alias("form"))
-    return said.join(forms.select("form", "canonical"), "form").select(doc_id, "canonical").distinct()
+
+def phrase_hits(docs: DataFrame, doc_id: str, text: str, forms: DataFrame, broadcast_forms: int = INDEX_FORMS) -> DataFrame:
+    """Distinct (doc, canonical): all overlapping phrases count, there is no longest-match rule.
+
+    Only where the key token of a form stands in a text are the tokens around it compared, whatever the number of
+    forms and their lengths. While the index is sent out, tokens meet it where the text lies. A larger one meets the distinct tokens
+    of the texts by shuffles, with frequent tokens spread; then each text is compared with the forms it may hold.
+    """
+    words = docs.select(doc_id, T.all_matches(F.lower(T.blank_if_null(F.col(text))), PHRASE_TOKEN).alias("_words"))
+    index = phrase_index(forms)
+    if forms.limit(broadcast_forms + 1).count() <= broadcast_forms:
+        said = words.select(doc_id, "_words", F.posexplode_outer("_words").alias("_at", "_key"))
+        met = said.join(F.broadcast(index), "_key")  # at most broadcast_forms rows
+        return met.filter(_stands_at(F.col("_at") - F.col("_nth"))).select(doc_id, "canonical").distinct()
+    by_key = index.groupBy("_key").agg(F.collect_list(F.struct("_form", "canonical")).alias("_forms"))
+    said = words.select(F.col(doc_id).alias("_doc"), F.explode(F.array_distinct("_words")).alias("_key"))
+    may = skew_join(said, by_key, "_key", "_doc", "inner").groupBy("_doc").agg(F.flatten(F.collect_list("_forms")).alias("_forms"))
+    met = words.join(may, F.col(doc_id) == F.col("_doc")).select(doc_id, "_words", F.explode("_forms").alias("_entry")).select(doc_id, "_words", "_entry.*")
+    starts = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.element_at("_words", i + 1) == F.element_at("_form", 1))
+    return met.filter(F.exists(starts, _stands_at)).select(doc_id, "canonical").distinct()
+
+
+def _stands_at(start: Column) -> Column:
+    """Do the tokens of the form stand in the text from ``start``, counted from 0?"""
+    return (start >= 0) & (F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.size("_form")) == F.col("_form"))
 
 
 def normalize_rows(rows: DataFrame, skill: str, aliases: DataFrame) -> DataFrame:
@@ -108,11 +128,17 @@ class SkillRules:
     forms: DataFrame
     aliases: DataFrame
 
-    def with_skills(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-        """Add ``skills`` (sorted distinct canonical names) and ``skill_keys`` (see :func:`skill_lists`); one row per id."""
+    def attach(self, rows: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """``rows`` (one for each id) with the ``skills`` (sorted distinct canonical names) and ``skill_keys`` (see :func:`skill_lists`) of ``docs``.
+
+        Only the rows given and the lists meet, so a text need not move.
+        """
         lists = skill_lists(phrase_hits(docs, doc_id, text, self.forms), doc_id, "canonical", self.aliases)
         none = {c: F.coalesce(c, F.array().cast(lists.schema[c].dataType)) for c in ("skills", "skill_keys")}
-        return docs.join(lists, doc_id, "left").withColumns(none)
+        return rows.join(lists, doc_id, "left").withColumns(none)
+
+    def with_skills(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+        return self.attach(docs, docs, doc_id, text)
 
 
 def _names(pairs: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.functions import text as T
 from talentloom.functions.numeric import bind, clamp, round_half_up
+from talentloom.session import stored
 
 HEAD_TERMS = 10_000
 
@@ -16,37 +17,38 @@ def bigrams(words: Column) -> Column:
     return F.filter(pairs, lambda p: p.isNotNull())
 
 
-def place(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Texts placed by document: the one shuffle of the texts.
-
-    The number of partitions is the session's, stated outright: what follows is heavy on the
-    processor, and partitions merged for their small size would leave cores idle.
-    """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select(doc_id, text).repartition(partitions, doc_id)
+def run_counts(words: Column) -> Column:
+    """array<struct<term, tf>> in order of terms: the run lengths of the sorted words, without a shuffle."""
+    def runs(ranked: Column) -> Column:
+        n = F.size(ranked)
+        starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(ranked, i) != F.get(ranked, i - 1)))
+        return bind(starts, lambda at: F.zip_with(
+            F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1),
+            lambda a, b: F.struct(F.get(ranked, a).alias("term"), (b - a).cast("long").alias("tf"))))
 
+    return bind(F.sort_array(words), runs)
 
-def term_counts(docs: DataFrame, doc_id: str, text: str, with_bigrams: bool = False, placed: bool = False) -> DataFrame:
-    """(doc, term, tf).
 
-    The texts are placed by document first (unless ``docs`` came from :func:`place`); explode and
-    both groupings by document then stay on their partition, so the wide (doc, term) table is never
-    shuffled as a whole.
-    """
+def term_counts(docs: DataFrame, doc_id: str, text: str, with_bigrams: bool = False) -> DataFrame:
+    """(doc, counts): every text cut into terms once, where it lies; vocabulary and vectors read the stored counts."""
     words = T.tokens(F.col(text))
-    terms = F.concat(words, bigrams(words)) if with_bigrams else words
-    at = docs if placed else place(docs, doc_id, text)
-    return at.select(doc_id, F.explode(terms).alias("term")).groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
+    terms = bind(words, lambda w: F.concat(w, bigrams(w))) if with_bigrams else words
+    return stored(docs.select(doc_id, run_counts(terms).alias("counts")), "counts")
+
 
+def _entries(counts: DataFrame, doc_id: str) -> DataFrame:
+    return counts.select(doc_id, F.explode("counts").alias("e")).select(doc_id, "e.term", "e.tf")
 
-def vocabulary(counts: DataFrame, docs: DataFrame, max_features: int | None = None) -> DataFrame:
-    """(term, df, idf); smoothed idf ln((1+n)/(1+df)) + 1.  Ties of the cut go by term."""
-    per_term = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+def vocabulary(counts: DataFrame, max_features: int | None = None) -> DataFrame:
+    """(term, df, idf) of :func:`term_counts`; smoothed idf ln((1+n)/(1+df)) + 1.  Ties of the cut go by term."""
+    said = counts.select(F.explode("counts").alias("e")).select("e.term", "e.tf")
+    per_term = said.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     if max_features:
         per_term = per_term.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-    n = docs.agg(F.count("*").alias("n")).scalar()
+    n = counts.agg(F.count("*").alias("n")).scalar()
     idf = F.log((n + F.lit(1)).cast("double") / (F.col("df") + F.lit(1)).cast("double")) + F.lit(1.0)
-    return per_term.select("term", "df", idf.alias("idf"))
+    return stored(per_term.select("term", "df", idf.alias("idf")), "vocabulary")
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, doc_id: str, sublinear: bool = False, bounded: bool = False) -> DataFrame:
@@ -54,24 +56,19 @@ def tfidf(counts: DataFrame, vocab: DataFrame, doc_id: str, sublinear: bool = Fa
 
     Terms outside the vocabulary drop out.  A vocabulary cut to max_features is broadcast.  An open
     one is split: the HEAD_TERMS most common terms, which make up most rows and all the skew, are
-    broadcast and packed where the document lies; only the rare rest is shuffled to meet its idf.
+    broadcast; only the rare rest is shuffled to meet its idf. Texts do not move.
     """
     tf = F.col("tf").cast("double")
     raw = (F.lit(1.0) + F.log(tf) if sublinear else tf) * F.col("idf")
-
-    def packed(rows: DataFrame, out: str) -> DataFrame:
-        return rows.groupBy(doc_id).agg(F.collect_list(F.struct("term", raw.alias("w"))).alias(out))
-
+    rows, idf = _entries(counts, doc_id), vocab.select("term", "idf")
     if bounded:
-        entries = packed(counts.join(F.broadcast(vocab.select("term", "idf")), "term"), "v")  # at most max_features rows
+        met = rows.join(F.broadcast(idf), "term")  # at most max_features rows
     else:
-        head = vocab.orderBy(F.desc("df"), F.asc("term")).limit(HEAD_TERMS).select("term", "idf")
-        common = packed(counts.join(F.broadcast(head), "term"), "c")  # at most HEAD_TERMS rows
-        rare = packed(counts.join(F.broadcast(head), "term", "left_anti").join(vocab.select("term", "idf"), "term"), "r")
-        none = F.array().cast("array<struct<term: string, w: double>>")
-        both = F.concat(F.coalesce("c", none), F.coalesce("r", none))
-        entries = common.join(rare, doc_id, "full").select(doc_id, both.alias("v"))
-    v = entries.select(doc_id, F.sort_array("v").alias("v"))
+        head = vocab.orderBy(F.desc("df"), F.asc("term")).limit(HEAD_TERMS).select("term", F.col("idf").alias("h"))
+        split = rows.join(F.broadcast(head), "term", "left")  # at most HEAD_TERMS rows
+        rare = split.filter("h IS NULL").drop("h").join(idf, "term").select(doc_id, "term", "tf", "idf")
+        met = split.filter("h IS NOT NULL").select(doc_id, "term", "tf", F.col("h").alias("idf")).unionByName(rare)
+    v = met.groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct("term", raw.alias("w")))).alias("v"))
     return v.select(doc_id, F.transform("v", lambda x: x["term"]).alias("terms"), unit_weights(F.col("v")).alias("weights"))
 
 
@@ -85,22 +82,21 @@ def tfidf_vectors(docs: DataFrame, doc_id: str, text: str, *, corpus: DataFrame
                   max_features: int | None = None, with_bigrams: bool = False, sublinear: bool = False) -> DataFrame:
     """Vectors of ``docs`` with the vocabulary of ``corpus`` (same columns), by default their own."""
     counts = term_counts(docs, doc_id, text, with_bigrams)
-    base = docs if corpus is None else corpus
     base_counts = counts if corpus is None else term_counts(corpus, doc_id, text, with_bigrams)
-    vocab = vocabulary(base_counts, base, max_features)
-    return tfidf(counts, vocab, doc_id, sublinear, bounded=bool(max_features))
+    return tfidf(counts, vocabulary(base_counts, max_features), doc_id, sublinear, bounded=bool(max_features))
 
 
 def sparse_dot(terms_a: Column, weights_a: Column, terms_b: Column, weights_b: Column) -> Column:
-    """Dot product of two sparse vectors in one row; only shared terms are looked up."""
-    shared = F.array_intersect(terms_b, terms_a)
+    """Dot product of two sparse vectors in one row whose terms are sorted: one pass over both lists."""
+    def step(at: Column, _: Column) -> Column:
+        a, b = F.get(terms_a, at["i"]), F.get(terms_b, at["j"])
+        ahead, behind = F.coalesce(a <= b, F.lit(True)), F.coalesce(a >= b, F.lit(True))
+        product = F.when(a == b, F.get(weights_a, at["i"]) * F.get(weights_b, at["j"])).otherwise(0.0)
+        return F.struct((at["i"] + ahead.cast("int")).alias("i"), (at["j"] + behind.cast("int")).alias("j"), (at["sum"] + product).alias("sum"))
 
-    def add(acc, t):
-        a = F.element_at(weights_a, F.array_position(terms_a, t).cast("int"))
-        b = F.element_at(weights_b, F.array_position(terms_b, t).cast("int"))
-        return acc + a * b
-
-    return F.coalesce(F.aggregate(shared, F.lit(0.0), add), F.lit(0.0))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("sum"))
+    steps = F.sequence(F.lit(1), F.greatest(F.size(terms_a), F.lit(0)) + F.greatest(F.size(terms_b), F.lit(0)) + 1)
+    return F.coalesce(F.when(F.size(terms_a) * F.size(terms_b) > 0, F.aggregate(steps, start, step, lambda at: at["sum"])), F.lit(0.0))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -111,18 +107,3 @@ def dot(a: Column, b: Column) -> Column:
 def similarity_score(cosine: Column) -> Column:
     """Cosine to 0..100, two decimals."""
     return round_half_up(clamp(cosine, 0.0, 1.0) * F.lit(100.0), 2)
-
-
-def indexed_vocabulary(vocab: DataFrame) -> DataFrame:
-    """Add ``i`` 0…k-1 in term order to a vocabulary cut to max_features (at most that many rows in the window)."""
-    return vocab.withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)
-
-
-def indexed_vectors(counts: DataFrame, vocab: DataFrame, doc_id: str, sublinear: bool = False) -> DataFrame:
-    """(doc, vector): unit-length array<struct<i, w>> over an indexed vocabulary."""
-    tf = F.col("tf").cast("double")
-    raw = (F.lit(1.0) + F.log(tf) if sublinear else tf) * F.col("idf")
-    hits = counts.join(F.broadcast(vocab.select("term", "idf", "i")), "term")  # at most max_features rows
-    packed = hits.groupBy(doc_id).agg(F.sort_array(F.collect_list(F.struct("i", raw.alias("w")))).alias("v"))
-    return packed.select(doc_id, F.zip_with(
-        F.transform("v", lambda x: x["i"]), unit_weights(F.col("v")), lambda i, w: F.struct(i.alias("i"), w.alias("w"))).alias("vector"))

@@ -173,6 +173,7 @@ CTES = {
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
+TEXT_TABLES = {"customer", "supplier", "part", "documents"}
 
 
 class Inputs:
@@ -184,12 +185,17 @@ class Inputs:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose texts take much work, over all cores also where it lies in few files; a large one has splits enough and stays."""
+        df, cores = self.base(name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.base(name)
+            return self.spread(name) if name in TEXT_TABLES else self.base(name)
         if name in CTES:
             sql = CTES[name]
-            used = {t: self.base(t) for t in BASE_TABLES if f" {t}" in sql.replace("(", " ")}
+            used = {t: getattr(self, t) for t in BASE_TABLES if f" {t}" in sql.replace("(", " ")}
             for t in used:
                 sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
             return self.sql(sql, used)

@@ -20,15 +20,19 @@ from talentloom.operators.joins import skew_join
 from talentloom.operators.skills import SkillRules, plain_extras, skill_overlap
 
 
-def facts(docs: DataFrame, doc_id: str, text: str, skills: SkillRules, as_of_year: int) -> DataFrame:
-    """Everything a text says about its author: a projection, and the skills found by joins on its phrases."""
+def text_facts(docs: DataFrame, doc_id: str, text: str, as_of_year: int) -> DataFrame:
+    """What a text alone says about its author: a projection."""
     c = F.col(text)
-    base = docs.select(
+    return docs.select(
         doc_id, c.alias("text"),
         X.contact(c).alias("contact"), X.sections(c).alias("sections"), X.education(c).alias("education"),
         X.experience_years(c, as_of_year).alias("years"), X.job_titles(c).alias("titles"),
     ).withColumn("level", X.highest_degree(F.col("education")))
-    return skills.with_skills(base, doc_id, "text")
+
+
+def facts(docs: DataFrame, doc_id: str, text: str, skills: SkillRules, as_of_year: int) -> DataFrame:
+    """Everything a text says about its author, with the skills found by the phrase index."""
+    return skills.attach(text_facts(docs, doc_id, text, as_of_year), docs, doc_id, text)
 
 
 def structure(facts_: DataFrame) -> DataFrame:
@@ -56,35 +60,40 @@ def structure(facts_: DataFrame) -> DataFrame:
 def opening_facts(jds: DataFrame, jd_id: str, text: str, skills: SkillRules) -> DataFrame:
     """What an opening asks for; blank openings drop out (an application to one has no opening)."""
     c = F.col(text)
-    said = skills.with_skills(jds.filter(~T.is_blank(c)), jd_id, text).select(
-        jd_id, T.keywords(c).alias("jd_keywords"), X.jd_years(c).alias("jd_years"), X.degree_level(c).alias("jd_level"),
-        F.col("skill_keys").alias("jd_skill_keys"))
+    real = jds.filter(~T.is_blank(c))
+    asked = real.select(jd_id, T.keywords(c).alias("jd_keywords"), X.jd_years(c).alias("jd_years"), X.degree_level(c).alias("jd_level"))
+    said = skills.attach(asked, real, jd_id, text).withColumnRenamed("skill_keys", "jd_skill_keys").drop("skills")
     repeated = G.repeated_words(jds, jd_id, text).withColumnRenamed("repeated", "jd_repeated")
     return said.join(repeated, jd_id, "left").withColumn("has_jd", F.lit(True))
 
 
 def match(applications: DataFrame, resumes: DataFrame, jds: DataFrame, skills: SkillRules, as_of_year: int,
-          hot_rows: int | None = None) -> DataFrame:
+          hot_rows: int | None = None, missing_words: bool = True) -> DataFrame:
     """One scored row per application.
 
-    ``resumes(resume_id, text)``, ``jds(jd_id, text)``.  The small side of a pair (the opening) is
-    attached first.  Texts are placed by résumé once; facts, vectors and their join stay there, and a
-    second shuffle brings them to their applications, where they become scores.  Both joins with the
-    applications spread hot keys.
+    ``resumes(resume_id, text)``, ``jds(jd_id, text)``.  Facts, term counts and skills are taken where a text lies. What
+    travels to the applications are facts and vectors; the text itself moves once, and only for ``missing_words``, the words
+    an opening repeats and the text lacks. All joins with applications spread hot keys.
     """
     tune = {} if hot_rows is None else {"min_rows": hot_rows}
     wanted = jds.select("jd_id", F.col("text"))
-    jd_terms = V.term_counts(wanted, "jd_id", "text")
-    texts = V.place(resumes, "resume_id", "text")
-    resume_terms = V.term_counts(texts, "resume_id", "text", placed=True)
-    vocab = V.vocabulary(resume_terms, resumes)
-    jd_vectors = V.tfidf(jd_terms, vocab, "jd_id").toDF("jd_id", "jd_terms", "jd_weights")
+    resume_terms = V.term_counts(resumes, "resume_id", "text")
+    vocab = V.vocabulary(resume_terms)
+    jd_vectors = V.tfidf(V.term_counts(wanted, "jd_id", "text"), vocab, "jd_id").toDF("jd_id", "jd_terms", "jd_weights")
     resume_vectors = V.tfidf(resume_terms, vocab, "resume_id")
 
     openings = opening_facts(wanted, "jd_id", "text", skills).join(jd_vectors, "jd_id", "left")
-    people = structure(facts(texts, "resume_id", "text", skills, as_of_year)).join(resume_vectors, "resume_id", "left")
+    told = structure(text_facts(resumes, "resume_id", "text", as_of_year)).drop("text")
+    people = skills.attach(told, resumes, "resume_id", "text").join(resume_vectors, "resume_id", "left")
     pairs = skew_join(applications, openings, "jd_id", "application_id", "left", **tune)
-    return score_pairs(skew_join(pairs, people, "resume_id", "application_id", "inner", count_on=applications, **tune))
+    scored = score_pairs(skew_join(pairs.drop("jd_repeated"), people, "resume_id", "application_id", "inner", count_on=applications, **tune))
+    if not missing_words:
+        return scored
+    asking = pairs.filter(F.size("jd_repeated") > 0).select("application_id", "resume_id", "jd_repeated")
+    met = skew_join(asking, resumes.select("resume_id", "text"), "resume_id", "application_id", "inner", count_on=applications, **tune)
+    lacking = met.select("application_id", G.missing_keywords(F.col("text"), F.col("jd_repeated")).alias("missing_keywords"))
+    none = F.array().cast("array<string>")
+    return scored.join(lacking, "application_id", "left").withColumn("missing_keywords", F.coalesce("missing_keywords", none))
 
 
 def score_pairs(joined: DataFrame) -> DataFrame:
@@ -101,7 +110,6 @@ def score_pairs(joined: DataFrame) -> DataFrame:
         F.when(has_jd, skill_overlap(F.col("skill_keys"), F.col("jd_skill_keys"))).otherwise(F.struct(
             none.alias("matched"), none.alias("missing"), plain_extras(F.col("skills")).alias("extra"),
             F.lit(0.0).alias("overlap_pct"))).alias("gap"),
-        F.when(has_jd, G.missing_keywords(F.col("text"), F.col("jd_repeated"))).otherwise(none).alias("missing_keywords"),
         S.experience_match(F.col("years"), F.col("jd_years"), has_jd).alias("experience_match"),
         S.education_match(F.col("level"), F.col("jd_level"), has_jd).alias("education_match"),
     )
@@ -120,5 +128,5 @@ def score_pairs(joined: DataFrame) -> DataFrame:
         round1(F.col("keyword_score")).alias("keyword_score"), "contact_score", "formatting_score",
         "missing_sections", F.concat("feedback_head", keyword_feedback, "feedback_tail").alias("feedback"),
         F.col("gap.matched").alias("matched"), F.col("gap.missing").alias("missing"), F.col("gap.extra").alias("extra"),
-        "missing_keywords", "contact", "education", "years", "titles", "level",
+        "contact", "education", "years", "titles", "level",
     )

@@ -110,7 +110,7 @@ def ext_jd_years(t):
     SELECT r.resume_id, coalesce(found, '') AS found FROM (SELECT resume_id FROM resumes) AS r LEFT JOIN (
         SELECT resume_id, string_agg(skill, '; ' ORDER BY skill) AS found FROM rs GROUP BY resume_id) USING (resume_id)""")
 def ext_skills(t):
-    return t.skill_rules.with_skills(t.resumes.select("resume_id", "text"), "resume_id", "text").select("resume_id", joined(F.col("skills")).alias("found"))
+    return t.skill_rules.attach(t.resumes.select("resume_id"), t.resumes, "resume_id", "text").select("resume_id", joined(F.col("skills")).alias("found"))
 
 
 @query("join_taxonomy_phrases", f"""

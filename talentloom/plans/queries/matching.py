@@ -107,8 +107,8 @@ MATCH_CTES = f"""
                      ELSE ats_total END AS overall FROM sc1)"""
 
 
-def matches(t):
-    return M.match(t.applications, t.resumes.select("resume_id", "text"), t.jds, t.skill_rules, AS_OF_YEAR)
+def matches(t, missing_words=False):
+    return M.match(t.applications, t.resumes.select("resume_id", "text"), t.jds, t.skill_rules, AS_OF_YEAR, missing_words=missing_words)
 
 
 # --- whole scores ------------------------------------------------------------------------------------------
@@ -123,7 +123,7 @@ def sc_overall(t):
     WITH {MATCH_CTES} SELECT application_id, overall, ats_total, len(matched)::BIGINT AS matched, len(missing)::BIGINT AS missing, len(extra)::BIGINT AS extra,
            len(missing_keywords)::BIGINT AS missing_keywords, len(feedback)::BIGINT AS messages FROM sc""")
 def join_pairs(t):
-    m = matches(t)
+    m = matches(t, missing_words=True)
     return m.select("application_id", "overall", "ats_total", *[F.size(c).cast("long").alias(n) for c, n in (
         ("matched", "matched"), ("missing", "missing"), ("extra", "extra"), ("missing_keywords", "missing_keywords"), ("feedback", "messages"))])
 
@@ -132,7 +132,7 @@ def join_pairs(t):
     WITH {MATCH_CTES} SELECT application_id, {joined_sql('matched')} AS matched, {joined_sql('missing')} AS missing, {joined_sql('extra')} AS extra,
            {joined_sql('missing_keywords')} AS missing_keywords, skill_pct FROM sc""")
 def sc_gap(t):
-    return matches(t).select("application_id", *[joined(F.col(c)).alias(c) for c in ("matched", "missing", "extra", "missing_keywords")], "skill_pct")
+    return matches(t, missing_words=True).select("application_id", *[joined(F.col(c)).alias(c) for c in ("matched", "missing", "extra", "missing_keywords")], "skill_pct")
 
 
 @query("sc_ats", f"""
@@ -175,14 +175,15 @@ def agg_skill_counts(t):
 
 # --- parts of a pair ---------------------------------------------------------------------------------------
 
-def _skill_keys(t, table, key):
+def _skill_keys(t, table, key, blank=True):
     texts = getattr(t, table).select(key, "text")
-    return t.skill_rules.with_skills(texts, key, "text").select(key, "skill_keys")
+    texts = texts if blank else texts.filter(~T.is_blank(F.col("text")))
+    return t.skill_rules.attach(texts.select(key), texts, key, "text").select(key, "skill_keys")
 
 
 def _overlaps(t):
     """Applications with an opening and their skill overlap; only key lists travel."""
-    openings = t.skill_rules.with_skills(t.jds.filter(~T.is_blank(F.col("text"))), "jd_id", "text").select("jd_id", F.col("skill_keys").alias("jd_keys"))
+    openings = _skill_keys(t, "jds", "jd_id", blank=False).withColumnRenamed("skill_keys", "jd_keys")
     pairs = skew_join(t.applications, openings, "jd_id", "application_id", "inner")
     both = skew_join(pairs, _skill_keys(t, "resumes", "resume_id"), "resume_id", "application_id", "inner", count_on=t.applications)
     return both.select("application_id", K.skill_overlap(F.col("skill_keys"), F.col("jd_keys")).alias("gap"))
@@ -382,4 +383,4 @@ REPORT = f"""
 
 @query("sink_report", f"SELECT application_id, resume_id, jd_id, section, ord::INT AS ord, label, value, band FROM ({REPORT})")
 def sink_report(t):
-    return R.report_lines(matches(t))
+    return R.report_lines(matches(t, missing_words=True))

@@ -46,8 +46,7 @@ def st_dedup_uploads(t):
 
 
 @query("st_running_bands", f"""
-    SELECT date_trunc('day', ts) AS window_start, {Q.band('value')} AS band, count(*) AS rows FROM events
-    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
+    SELECT date_trunc('day', ts) AS window_start, {Q.band('value')} AS band, count(*) AS rows FROM events GROUP BY 1, 2""")
 def st_running_bands(t):
     """All days with the events that have arrived, the last ones too."""
     running = A.run_counts(A.running_bands(_stream(t, "events"), "ts", "value", "1 day"), scratch_path(t.spark, "bands-mark"))

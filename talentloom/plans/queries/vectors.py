@@ -114,13 +114,14 @@ def sim_text_tfidf(t):
 
 
 @query("sim_sections", f"""
-    WITH {SECTION_ROWS}, real AS (SELECT resume_id, section, body FROM secs WHERE regexp_matches(body, '\\S')),
-    apps AS (SELECT min(application_id) AS application_id, resume_id, min(jd_id) AS jd_id FROM applications WHERE jd_id IS NOT NULL GROUP BY resume_id),
-    rdoc AS (SELECT resume_id::VARCHAR AS id, text FROM resumes), sdoc AS (SELECT resume_id || ':' || section AS id, body AS text FROM real), jdoc AS (SELECT jd_id::VARCHAR AS id, text FROM jds),
+    WITH {SECTION_ROWS}, apps AS (SELECT application_id, resume_id, jd_id FROM applications WHERE jd_id IS NOT NULL),
+    parts AS (SELECT resume_id, section, body FROM secs WHERE regexp_matches(body, '\\S') UNION ALL
+              SELECT resume_id, 'overall', text FROM resumes WHERE regexp_matches(text, '\\S') AND resume_id NOT IN (SELECT resume_id FROM secs)),
+    rdoc AS (SELECT resume_id::VARCHAR AS id, text FROM resumes), sdoc AS (SELECT resume_id || ':' || section AS id, body AS text FROM parts), jdoc AS (SELECT jd_id::VARCHAR AS id, text FROM jds),
     {Q.tfidf_ctes('sdoc', 'id', 'ts', corpus='rdoc')}, {Q.tfidf_ctes('jdoc', 'id', 'tj', corpus='rdoc')},
-    pr AS (SELECT r.resume_id AS resume_id, section, r.resume_id || ':' || section AS sid, jd_id::VARCHAR AS jid FROM real r JOIN apps a ON a.resume_id = r.resume_id),
-    s AS (SELECT sid, sum(ts.w * tj.w) AS c FROM pr JOIN ts ON ts.id = sid JOIN tj ON tj.id = jid AND tj.term = ts.term GROUP BY sid)
-    SELECT resume_id, section, round(least(greatest(coalesce(c, 0), 0), 1) * 100, 2) AS similarity FROM pr LEFT JOIN s USING (sid)""")
+    pr AS (SELECT application_id, r.resume_id AS resume_id, jd_id, section, r.resume_id || ':' || section AS sid, jd_id::VARCHAR AS jid FROM parts r JOIN apps a ON a.resume_id = r.resume_id),
+    dots AS (SELECT sid, jid, sum(ts.w * tj.w) AS c FROM (SELECT DISTINCT sid, jid FROM pr) JOIN ts ON ts.id = sid JOIN tj ON tj.id = jid AND tj.term = ts.term GROUP BY sid, jid)
+    SELECT application_id, resume_id, jd_id, section, round(least(greatest(coalesce(c, 0), 0), 1) * 100, 2) AS similarity FROM pr LEFT JOIN dots USING (sid, jid)""")
 def sim_sections(t):
     """Every non-blank section of a résumé against every opening it was sent to, one row for each application.
 
@@ -132,7 +133,7 @@ def sim_sections(t):
     sections = t.resumes.select("resume_id", F.inline(F.when(F.size(found) > 0, found).otherwise(whole))).filter(~T.is_blank(F.col("body")))
     parts = sections.select(F.concat(F.col("resume_id").cast("string"), F.lit(":"), "section").alias("id"), "resume_id", "section", F.col("body").alias("text"))
     corpus = t.resumes.select(F.col("resume_id").cast("string").alias("id"), "text")
-    vocab = V.vocabulary(V.term_counts(corpus, "id", "text"), corpus)
+    vocab = V.vocabulary(V.term_counts(corpus, "id", "text"))
     part_vectors = V.tfidf(V.term_counts(parts, "id", "text"), vocab, "id")
     jd_vectors = V.tfidf(V.term_counts(t.jds, "jd_id", "text"), vocab, "jd_id").toDF("jd_id", "h_terms", "h_weights")
     sent = t.applications.filter("jd_id IS NOT NULL").select("application_id", "resume_id", "jd_id")

@@ -6,9 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: list[str] = []
+_scratch: list[str] = []
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -42,5 +43,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; each call gives a new one."""
-    return os.path.join(shared_folder(spark), "talentloom", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; each call gives a new one, which :func:`drop_scratch` removes."""
+    _scratch.append(os.path.join(shared_folder(spark), "talentloom", f"{name}-{uuid.uuid4().hex}"))
+    return _scratch[-1]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read again: computed once, and safe from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove what this process has put into the scratch folder; for when results are written. Gives the number of paths."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from places import SMALL
 from talentloom.operators import classify, metrics, quality, recommend, sampling, suggestions, topk
 from talentloom.operators import vectors as V
 from talentloom.operators.encode import encode_texts

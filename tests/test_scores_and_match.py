@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from places import SMALL
 from talentloom.functions import score as S
 from talentloom.functions import text as T
 from talentloom.operators import gap as G
@@ -161,3 +161,44 @@ def test_match_invariants_and_report(spark):
     assert lines.filter("value IS NULL").count() == 0
     assert lines.filter("section = 'feedback' AND label NOT IN ('warning', 'info')").count() == 0
     m.unpersist()
+
+
+# --- phrase index and vectors ---
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_phrase_index_equals_a_scan(spark, limit):
+    """Sent out and joined by shuffles; forms inside forms, repeated tokens, line ends, a token that stands everywhere."""
+    import random
+    import re
+
+    from talentloom.operators import skills as K
+
+    rng = random.Random(3)
+    words = ["a", "b", "c", "d+", "e.f", "of"]
+    forms = sorted({" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(60)} | {"of", "a a", "a a a"})
+    texts = [(i, " ".join(rng.choices(words + ["of", "\n", "zz"], k=rng.randint(0, 60)))) for i in range(80)] + [(80, None), (81, ""), (82, "of " * 3000)]
+    table = spark.createDataFrame([(f, f.upper()) for f in forms], "form string, canonical string")
+    got = K.phrase_hits(spark.createDataFrame(texts, "key int, text string"), "key", "text", table, limit).collect()
+
+    def said(text):
+        tokens = re.findall(r"[\w+#.]*[\w+#]|\n", (text or "").lower())
+        return {f.upper() for f in forms for n in [len(f.split())] if any(tokens[i:i + n] == f.split() for i in range(len(tokens)))}
+
+    assert sorted(map(tuple, got)) == sorted((i, f) for i, text in texts for f in said(text))
+
+
+def test_counts_and_cosine_in_the_row(spark):
+    from talentloom.operators import vectors as V
+
+    rows = [(["b", "a", "b"], ["b", "c"]), ([], ["a"]), (["x"] * 400 + [f"t{i}" for i in range(300)], ["x", "t7", "t8", "zz"]), (None, ["a"]), (["é", "e"], ["e", "é", "f"])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").select(V.run_counts(F.col("a")).alias("a"), V.run_counts(F.col("b")).alias("b"))
+
+    def part(c, name):
+        return F.transform(F.col(c), lambda e: e[name].cast("double") if name == "tf" else e[name])
+
+    got = df.select("a", V.sparse_dot(part("a", "term"), part("a", "tf"), part("b", "term"), part("b", "tf")).alias("dot")).collect()
+    for (a, b), r in zip(rows, got):
+        want = {w: (a or []).count(w) for w in a or []}
+        assert a is None or [(e["term"], e["tf"]) for e in r["a"]] == sorted(want.items())
+        assert r["dot"] == sum(n * b.count(w) for w, n in want.items())

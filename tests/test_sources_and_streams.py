@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from places import SMALL
 from talentloom.plans.inputs import Inputs
 from talentloom.sources import files as S
 from talentloom.sources import tables as B

@@ -114,7 +114,7 @@ def test_null_texts(value):
 
 
 def test_facts_do_not_depend_on_partitioning(spark):
-    from conftest import SMALL
+    from places import SMALL
     from talentloom.plans.inputs import Inputs
 
     resumes = Inputs(spark, SMALL).resumes
