@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.functions import text as T
 from talentloom.functions.numeric import clamp, round1
-from talentloom.operators import metrics
+from talentloom.operators import metrics, topk
 from talentloom.operators import vectors as V
 
 
@@ -20,26 +20,16 @@ def job_catalogue(jobs: DataFrame, role: str, features: str, row_id: str) -> Dat
 def recommend(texts: DataFrame, catalogue: DataFrame, text_id: str, text: str, top_n: int = 10) -> DataFrame:
     """(text_id, rank, role, score, snippet): the roles nearest to each text.
 
-    The vocabulary is the catalogue's, whole. Texts meet roles through the terms they share (an inverted index):
-    products are added up by (text, role) where they arise and once more after the shuffle. Roles that
-    share no term have a similarity of zero; only the first ``top_n`` of them by name can be needed.
+    The vocabulary is the catalogue's, whole. Blocks of roles are inverted indexes that give each text its best ``top_n``
+    (:func:`topk.top_n_sparse`); a pair of a text and a role that is not among them leaves no task. A text or a role
+    without a common term has a similarity of zero, where the name decides.
     """
     jobs = V.term_counts(catalogue, "role", "features")
     vocab = V.vocabulary(jobs)
-    roles = _entries(V.tfidf(jobs, vocab, "role"), "role", "in_role")
-    said = _entries(V.tfidf(V.term_counts(texts, text_id, text), vocab, text_id), text_id, "in_text")
-    dots = said.join(roles, "term").groupBy(text_id, "role").agg(F.sum(F.col("in_text") * F.col("in_role")).alias("dot"))
-    first = catalogue.select("role").orderBy("role").limit(top_n).agg(F.collect_list("role").alias("roles")).scalar()
-    fill = texts.select(text_id, first.alias("roles")).select(text_id, F.explode("roles").alias("role"), F.lit(0.0).alias("dot"))
-    every = dots.unionByName(fill).groupBy(text_id, "role").agg(F.round(F.max("dot"), 6).alias("similarity"))
-    best = Window.partitionBy(text_id).orderBy(F.desc("similarity"), F.asc("role"))
-    ranked = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n)
-    return ranked.join(catalogue, "role").select(text_id, "rank", "role", score(F.col("similarity")).alias("score"), T.snippet(F.col("features")).alias("snippet"))
-
-
-def _entries(vectors: DataFrame, key: str, weight: str) -> DataFrame:
-    """(key, term, weight): one row for each entry of sparse vectors."""
-    return vectors.select(key, F.explode(F.arrays_zip("terms", "weights")).alias("e")).select(key, F.col("e.terms").alias("term"), F.col("e.weights").alias(weight))
+    roles = catalogue.select("role").join(V.tfidf(jobs, vocab, "role"), "role", "left").withColumnRenamed("role", "item_id")
+    said = texts.select(text_id).join(V.tfidf(V.term_counts(texts, text_id, text), vocab, text_id), text_id, "left").withColumnRenamed(text_id, "query_id")
+    best = topk.top_n_sparse(said, roles, top_n, query_rows=texts.count(), item_rows=jobs.count()).withColumnsRenamed({"query_id": text_id, "item_id": "role"})
+    return best.join(catalogue, "role").select(text_id, "rank", "role", score(F.col("similarity")).alias("score"), T.snippet(F.col("features")).alias("snippet"))
 
 
 def score(similarity):

@@ -167,3 +167,31 @@ def test_label_index_inverse(spark):
     ix = classify.label_index(df, "y")
     assert sorted(map(tuple, ix.select("y", "label_index").collect())) == [("a", 0), ("b", 1)]
     assert {r["label"] for r in classify.index_to_label(ix, "label_index", ["a", "b"]).collect()} == {"a", "b"}
+
+
+def test_sparse_top_n_equals_all_products(spark):
+    """Terms that every item holds, ties at the cut, empty vectors, several blocks."""
+    import random
+
+    from talentloom.operators import topk
+
+    rng = random.Random(8)
+    rare = [f"t{i}" for i in range(40)]
+
+    def vector(k):
+        return {"all": round(rng.random(), 2), **{t: round(rng.random(), 2) for t in rng.sample(rare, k)}}
+
+    items = {f"i{k:03}": vector(rng.randint(0, 4)) for k in range(300)} | {"none": {}} | {f"same{k}": {"all": 0.99, "t1": 0.5} for k in range(30)}
+    queries = {k: vector(rng.randint(0, 6)) for k in range(60)} | {60: {}, 61: {"all": 1.0}, 62: {"unknown": 1.0}}
+
+    def table(d, kind):
+        return spark.createDataFrame([(k, sorted(v) or None, [v[t] for t in sorted(v)] or None) for k, v in d.items()], f"{kind}, terms array<string>, weights array<double>")
+
+    got = {}
+    for r in topk.top_n_sparse(table(queries, "query_id int"), table(items, "item_id string"), 10, chunk_rows=20, block_rows=64).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.item_id, r.similarity)
+    for k, q in queries.items():
+        want = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 6), i) for i, v in items.items())[:10]
+        mine = [got[k][r] for r in range(1, 11)]
+        assert [i for _, i in want] == [i for i, _ in mine], k
+        assert [-s for s, _ in want] == pytest.approx([s for _, s in mine])
