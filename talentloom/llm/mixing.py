@@ -9,7 +9,7 @@ below the level left over by those before it gives the level of all that follow.
 A source takes every document ``epochs = floor(target / size of the source)`` times and then, for the
 words left, documents in the order of their keys ``-ln(u) / quality``, where u comes from a hash of
 doc_id: the sum of sizes before a document in that order says how much of it is taken, and the document
-at the boundary gives only the words that are left. Keys fall into buckets of the key's range, so a
+at the boundary counts with the words that are left (``mixed`` takes it whole or not at all, whichever is nearer). Keys fall into buckets of the key's range, so a
 source's order is summed bucket by bucket: no task sees more than one bucket of rows, or one source's
 list of buckets.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import SPACE, WORD, fresh, kept, or_empty, partitions
+from talentloom.llm.common import WORD, fresh, kept, or_empty, partitions
 
 MAX_EPOCHS = 3
 WEIGHTS = [1, 2, 3]
@@ -103,38 +103,26 @@ def mix_rows(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs`` repeated for each epoch, the last document of a source cut to the words left.
+    """The mix itself: rows of ``docs`` repeated for each epoch, and those that the fractional selection adds.
 
-    A cut document ends with its last whole word; a column ``n_chars`` follows the cut.
+    No text is cut: the document at a source's budget is taken whole where at least half of it fits, else left out, so a source
+    misses its target by half a document at most.
     """
     held = fresh(docs, "row_")
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias(held), "doc_id", "source", size_of(F.col("text")).alias("size"))
     rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"))) / length_quality(F.col("size")))
     # decisions are made on ids and sizes; texts only meet them at the end, by id, size and key
     light = kept(docs.sparkSession, rows.drop(held), "sizes")
+    added = F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     taken = shares(light).filter("size > 0 and (epochs > 0 or part > 0)").groupBy("doc_id", "source", "size").agg(
-        F.sum("epochs").alias("epochs"), F.sum(F.when(F.col("part") == F.col("size"), 1).otherwise(0)).alias("more"), F.max(F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(0)).alias("part"), F.count("*").alias("rows"))
-    taken = taken.select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), "epochs", "more", "part", "rows")
+        F.sum("epochs").alias("epochs"), F.sum(added).alias("more"), F.count("*").alias("rows"))
+    taken = taken.select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), "epochs", "more", "rows")
     joined = rows.join(taken.hint("merge"), rows["doc_id"].eqNullSafe(F.col("t_id")) & rows["source"].eqNullSafe(F.col("t_source")) & (rows["size"] == F.col("t_size")))
     # rows alike in id, source and size: each is repeated for its epochs; what is above them is dealt by number
     number = F.row_number().over(Window.partitionBy("t_id", "t_source", "t_size").orderBy("doc_id"))
     joined = joined.withColumn("number", F.when(F.col("rows") > 1, number).otherwise(F.lit(1)))
-    whole = (F.col("epochs") / F.col("rows")).cast("int") + F.when(F.col("number") <= F.col("more"), 1).otherwise(0)
-    piece = F.when((F.col("number") == F.col("more") + 1) & (F.col("part") > 0), F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>"))
-    words = F.explode(F.concat(F.array_repeat(F.col("size"), whole), piece)).alias("words")
-    out = joined.select(F.col(held), "size", words)
-    text = F.col(held)["text"]
-    trimmed = F.regexp_replace(text, "^" + SPACE, "")
-    rest = F.element_at(F.split(trimmed, SPACE, (F.col("words") + 1).cast("int")), -1)
-    cut = F.regexp_replace(F.expr(f"substring(`text_`, 1, char_length(`text_`) - char_length(`rest_`))"), SPACE + "$", "")
-    out = out.withColumn("text_", trimmed).withColumn("rest_", rest).withColumn("cut_", F.when(F.col("words") < F.col("size"), cut).otherwise(text))
-    columns = [F.col(held)[c].alias(c) for c in docs.columns]
-    for i, c in enumerate(docs.columns):
-        if c == "text":
-            columns[i] = F.col("cut_").alias(c)
-        elif c == "n_chars":
-            columns[i] = F.when(F.col("words") < F.col("size"), F.char_length("cut_")).otherwise(F.col(held)[c]).cast(docs.schema[c].dataType).alias(c)
-    return out.select(*columns)
+    times = (F.col("epochs") / F.col("rows")).cast("int") + F.when(F.col("number") <= F.col("more"), 1).otherwise(0)
+    return joined.select(held, F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(held)[c].alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -114,14 +114,22 @@ def test_mix_takes_its_targets_and_repeats(docs):
     for rs in by.values():
         assert abs(sum(r.taken for r in rs) - rs[0].target) <= 1 and sum(r.size for r in rs) == rs[0].source_size
     mix = mixing.mixed(docs(rows)).collect()
-    assert sum(len(r.text.split()) for r in mix) == sum(r.taken for r in got)
-    assert all(r.n_chars == len(r.text) for r in mix)
+    text = {i: t for i, t, _ in rows}
+    assert all(r.text == text[r.doc_id] and r.n_chars == len(r.text) for r in mix)  # nothing is cut
+    times = {i: sum(r.doc_id == i for r in mix) for i in text}
+    for source, rs in by.items():
+        assert all(times[r.doc_id] in (r.taken // r.size, -(-r.taken // r.size)) for r in rs if r.size)
+        assert abs(sum(r.size * times[r.doc_id] for r in rs) - rs[0].target) <= max(r.size for r in rs) / 2 + 1, source
 
 
 def test_mix_with_repeated_rows(docs):
     rows = [(1, "a b c d", "s")] * 5 + [(2, "e f", "t")] * 3 + [(3, "long " * 40, "u")]
     d = docs(rows)
-    assert sum(len(r.text.split()) for r in mixing.mixed(d).collect()) == sum(r.taken for r in mixing.mix_rows(d).collect())
+    target = {r.source: r.target for r in mixing.mix_rows(d).collect()}
+    for source, half in (("s", 2), ("t", 1), ("u", 20)):
+        assert abs(sum(len(r.text.split()) for r in mixing.mixed(d).collect() if r.source == source) - target[source]) <= half + 1
+    clash = d.withColumn("row_", F.lit(1)).withColumn("times", F.lit(2)).withColumn("part", F.lit(3))
+    assert mixing.mixed(clash).columns == clash.columns
 
 
 # --- sharding ---
