@@ -15,7 +15,8 @@ is a set of documents that links connect.
    components - first the node with the largest buckets, which is the likely source of a family of copies,
    then ``GROWTH`` times as many each round by hash - and verifies leaders against members of other components.
    Found links merge components. Pairs are left out that cannot be linked because one has too many shingles
-   that no other text has, or by their distances to a common leader. The rounds end when every candidate pair is connected, ruled out or verified, so no
+   that no other text has, by their distances to a common leader, or (after the first round) because the counts of their common
+   shingles, by classes of their hashes, differ too much. The rounds end when every candidate pair is connected, ruled out or verified, so no
    link between candidates is lost, and pairs inside a family that hangs together are never looked at.
 
 Verification merges the two lists of shingles within the band that a similarity of 0.8 allows, which makes it
@@ -46,7 +47,8 @@ SIMILAR = 0.8
 SKETCHES, TUPLE, SHARED = 80, 8, 2
 SHORT_SKETCHES, SHORT_TUPLE = 16, 2
 SHORT, OVERLAP = 32, 24
-GROWTH = 64
+GROWTH = 16
+COUNTERS = 128
 CHUNK_BYTES = 2 << 20
 OWNER_BYTES = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -254,7 +256,9 @@ def _common(owners: int):
                 lengths = np.array(row["lengths"], np.int64)
                 total = np.concatenate([[0], np.cumsum(mine)])
                 ends = np.cumsum(lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(row["nodes"], pa.int64()), pa.array(total[ends] - total[ends - lengths], pa.int64())], ["node", "common"])
+                parts = np.split(np.frombuffer(row["data"], "<u4"), ends[:-1])
+                counters = [np.bincount(x[k] % COUNTERS, minlength=COUNTERS) for x, k in zip(parts, np.split(mine, ends[:-1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(row["nodes"], pa.int64()), pa.array(total[ends] - total[ends - lengths], pa.int64()), pa.array(counters, pa.list_(pa.int32()))], ["node", "common", "counters"])
 
     return count
 
@@ -328,7 +332,8 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     texts = _texts_of(docs, rows, weighed.select("node").distinct())
     chunks = kept(spark, texts.mapInArrow(_chunks, CHUNK_SQL), "chunks")
     bodies = chunks.mapInArrow(_bodies, "node long, body binary")
-    weighed = kept(spark, weighed.join(_common_shingles(chunks), "node").filter(F.col("common") >= _least_common(F.col("n"), SIMILAR * F.col("n"))), "able")
+    common = kept(spark, _common_shingles(chunks), "common")
+    weighed = kept(spark, weighed.join(common.drop("counters"), "node").filter(F.col("common") >= _least_common(F.col("n"), SIMILAR * F.col("n"))), "able")
     # first to lead are the nodes that are the heaviest of their own largest bucket
     heaviest = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("head"))
     widest = weighed.groupBy("node").agg(F.max(F.struct("size", "bucket")).getField("bucket").alias("bucket"))
@@ -341,10 +346,11 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     alive = members.withColumns({"comp": F.col("node"), "pivot": F.lit(None).cast("long"), "far": F.lit(None).cast("double")})
     low, high = -1.0, 0.5
     while True:
-        leaders = alive.filter((F.col("turn") > low) & (F.col("turn") <= high)).select("bucket", *[F.col(c).alias("l_" + c) for c in ("node", "n", "common", "comp", "turn", "pivot", "far")])
+        counted = [c for c in ("counters",) if c in alive.columns]
+        leaders = alive.filter((F.col("turn") > low) & (F.col("turn") <= high)).select("bucket", *[F.col(c).alias("l_" + c) for c in ("node", "n", "common", "comp", "turn", "pivot", "far", *counted)])
         # of two leaders, the later one is the member; earlier leaders have been compared with all of their buckets
         later = (F.col("turn") > F.col("l_turn")) | (F.col("turn") == F.col("l_turn")) & (F.col("node") > F.col("l_node"))
-        met = alive.join(leaders, "bucket").filter((F.col("comp") != F.col("l_comp")) & later & _may_link())
+        met = alive.join(leaders, "bucket").filter((F.col("comp") != F.col("l_comp")) & later & _may_link() & (_enough_alike() if counted else F.lit(True)))
         pairs = met.groupBy(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).agg(F.count("*").alias("times"), F.first(F.greatest("n", "l_n")).alias("longer"))
         pairs = pairs.filter(F.col("times") >= F.when(F.col("longer") >= SHORT, SHARED).otherwise(1)).select("a", "b")
         if tested is not None:
@@ -362,19 +368,22 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         # a bucket lives while those of its nodes that have not led lie in more than one component
         left = members.filter(F.col("turn") > low).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         several = left.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("bucket")
-        alive = kept(spark, left.join(several, "bucket", "left_semi"), "alive")
+        alive = kept(spark, left.join(several, "bucket", "left_semi").join(common.select("node", "counters"), "node"), "alive")
         if alive.isEmpty():
             return found
 
 
 def _common_shingles(chunks: DataFrame) -> DataFrame:
-    """(node, common): how many shingles of a node some other node has as well, found by an exchange of short hashes and bits."""
+    """(node, common, counters): how many shingles of a node some other node has as well, in all and by ``COUNTERS`` classes of their hashes.
+
+    They are found by an exchange of short hashes and bits.
+    """
     spark = chunks.sparkSession
     total = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     owners = max(partitions(spark), -(-total // OWNER_BYTES))
     sent = chunks.mapInArrow(_send(owners), "chunk long, owner long, shingles binary, counts binary")
     replies = sent.groupBy("owner").applyInArrow(_shared, "chunk long, owner long, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("owner", "bits")).alias("replies"))
-    return chunks.join(replies, "chunk", "left").mapInArrow(_common(owners), "node long, common long")
+    return chunks.join(replies, "chunk", "left").mapInArrow(_common(owners), "node long, common long, counters array<int>")
 
 
 def _least_common(n: Column, m: Column) -> Column:
@@ -394,6 +403,15 @@ def _may_link() -> Column:
     return enough & ~F.coalesce(apart, F.lit(False))
 
 
+def _enough_alike() -> Column:
+    """False only where two nodes cannot be linked, since they share too few shingles of each class that other nodes have too.
+
+    Matched shingles are of one class, and common, on both sides; so there are at most as many as the smaller counters add up to.
+    """
+    at_most = F.aggregate(F.zip_with("counters", "l_counters", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return at_most >= _least_common(F.col("n"), F.col("l_n"))
+
+
 def _pivots(seen: DataFrame, members: DataFrame) -> DataFrame:
     """(node, pivot, far): of the heads a node was compared with, the heaviest, and the distance to it."""
     heads = members.filter("turn = 0").select(F.col("node").alias("pivot"), "weight").distinct()
