@@ -68,17 +68,17 @@ def opening_facts(jds: DataFrame, jd_id: str, text: str, skills: SkillRules) ->
 
 
 def match(applications: DataFrame, resumes: DataFrame, jds: DataFrame, skills: SkillRules, as_of_year: int,
-          hot_rows: int | None = None, missing_words: bool = True) -> DataFrame:
+          hot_rows: int | None = None, missing_words: bool = True, vocab: DataFrame | None = None) -> DataFrame:
     """One scored row per application.
 
     ``resumes(resume_id, text)``, ``jds(jd_id, text)``.  Facts, term counts and skills are taken where a text lies. What
     travels to the applications are facts and vectors; the text itself moves once, and only for ``missing_words``, the words
-    an opening repeats and the text lacks. All joins with applications spread hot keys.
+    an opening repeats and the text lacks. ``vocab`` is that of the résumés given unless a fitted one is passed. All joins with applications spread hot keys.
     """
     tune = {} if hot_rows is None else {"min_rows": hot_rows}
     wanted = jds.select("jd_id", F.col("text"))
     resume_terms = V.term_counts(resumes, "resume_id", "text")
-    vocab = V.vocabulary(resume_terms)
+    vocab = V.vocabulary(resume_terms) if vocab is None else vocab
     jd_vectors = V.tfidf(V.term_counts(wanted, "jd_id", "text"), vocab, "jd_id").toDF("jd_id", "jd_terms", "jd_weights")
     resume_vectors = V.tfidf(resume_terms, vocab, "resume_id")
 

@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,37 +85,94 @@ def test_load_or_build_builds_once(spark, tmp_path):
     assert len(calls) == 1
 
 
-def test_stream_equals_batch_over_several_files(spark, tmp_path):
-    from talentloom.plans.queries.streams import score_documents
+def test_stream_equals_batch_and_goes_on_after_a_failure(spark, tmp_path):
     docs = Inputs(spark, SMALL).documents
     docs.repartition(5).write.parquet(str(tmp_path / "in"))
-    stream = A.read_arrivals(spark, str(tmp_path / "in"), docs.schema, files_per_batch=2)
-    A.run_available(A.score_arrivals(stream, score_documents), str(tmp_path / "out"), str(tmp_path / "mark"))
-    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, score_documents(docs).collect()))
+    plan = lambda df: df.select("doc_id", F.length("text").alias("n"))
+    state = {"batches": 0}
 
+    def breaks(batch):
+        state["batches"] += 1
+        if state["batches"] == 2:
+            plan(batch).write.parquet(str(tmp_path / "half"))  # work that a lost batch leaves behind
+            raise RuntimeError("lost")
+        return plan(batch)
 
-def test_stream_dedup_across_batches(spark, tmp_path):
-    df = spark.sql("SELECT id, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id as int)) AS ts, id % 4 AS k FROM range(40)")
-    df.repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = A.read_arrivals(spark, str(tmp_path / "in"), df.schema, files_per_batch=1)
-    A.run_available(A.dedup_uploads(stream, "ts", A.content_key(F.col("k"))), str(tmp_path / "out"), str(tmp_path / "mark"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    def run(f):
+        A.score_arrivals(A.read_arrivals(spark, str(tmp_path / "in"), docs.schema, files_per_batch=2), f, str(tmp_path / "out"), str(tmp_path / "mark"))
 
+    with pytest.raises(Exception, match="lost"):
+        run(breaks)
+    run(plan)
+    run(plan)  # nothing new
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.select("batch").distinct().count() == 3
+    assert sorted(map(tuple, got.select("doc_id", "n").collect())) == sorted(map(tuple, plan(docs).collect()))
 
-def test_running_bands_equal_the_batch_form_over_all_days(spark, tmp_path):
-    """Days in any order over several batches; the last day and late rows count as well."""
-    df = spark.sql("SELECT id, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id * 37 % 100 as int)) AS ts, cast(id % 97 as double) AS v FROM range(400)")
-    df.repartition(4).write.parquet(str(tmp_path / "in"))
-    bands = lambda: A.running_bands(A.read_arrivals(spark, str(tmp_path / "in"), df.schema, files_per_batch=1), "ts", "v")
-    got = A.run_counts(bands(), str(tmp_path / "mark"))
-    assert sorted(got.collect()) == sorted(A.running_bands(df, "ts", "v").collect())
-    df.limit(7).write.mode("append").parquet(str(tmp_path / "in"))
-    got = A.run_counts(bands(), str(tmp_path / "mark"))
-    assert sum(r["rows"] for r in got.collect()) == 407
+
+def test_registered_stream_scores_equal_the_table(spark):
+    import __spark_entry__ as entry
+    queries = entry.queries()
+    got, want = (sorted(map(tuple, queries[k](spark, SMALL).collect())) for k in ("st_score_arrivals", "sc_overall"))
+    assert got == want
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [3, 1, 0, 2]])
+def test_the_earliest_upload_stays_whatever_the_order(spark, tmp_path, order):
+    df = spark.sql("SELECT id, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id / 2 as int)) AS ts, id % 4 AS k FROM range(40)")
+    told = str(tmp_path / "out")
+    for part in order:
+        df.filter(F.floor(F.col("id") / 10) == part).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = A.read_arrivals(spark, str(tmp_path / "in"), df.schema)
+        A.run_batches(A.dedup_uploads(stream, "ts", "id", F.col("k").cast("string")), lambda b, _: b, told, str(tmp_path / "mark"), "update")
+    got = A.survivors(spark.read.schema("upload_key string, ts_us long, row_id long").parquet(told)).collect()
+    assert sorted((r.upload_key, r.row_id) for r in got) == [("0", 0), ("1", 1), ("2", 2), ("3", 3)]
+
+
+def test_state_of_a_key_ends_with_its_timer():
+    class State:
+        exists, hasTimedOut, get, removed, until = False, False, None, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.removed = True
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def setTimeoutTimestamp(self, ms):
+            self.until = ms
+
+    state = State()
+    rows = lambda *r: iter([pd.DataFrame(r, columns=["ts_us", "row_id"])])
+    (out,) = A._earliest(("k",), rows((5_000_000, 9), (5_000_000, 7)), state)
+    assert out.values.tolist() == [["k", 5_000_000, 7]] and state.until == 5_000 + 1 + A._HORIZON_MS
+    assert list(A._earliest(("k",), rows((6_000_000, 1)), state)) == []
+    (out,) = A._earliest(("k",), rows((1, 99)), state)
+    assert out.values.tolist() == [["k", 1, 99]]
+    state.hasTimedOut = True
+    assert list(A._earliest(("k",), iter([]), state)) == [] and state.removed
+
+
+def test_bands_are_final_provisional_or_late(spark, tmp_path):
+    """Four days in three batches; the last batch brings a row of a closed day, one of the open day and a new day."""
+    out = str(tmp_path / "out")
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, {})"
+    batches = [[1, 2, 20, 30], [50, 60], [3, 61, 80]]
+    for hours in batches:
+        rows = spark.sql(" UNION ALL ".join(f"SELECT {at.format(h)} AS ts, 80.0D AS v" for h in hours))
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        A.run_bands(A.read_arrivals(spark, str(tmp_path / "in"), rows.schema), "ts", "v", out, str(tmp_path / "mark"))
+    got = {r.window_start.day: (r.rows, r.late, r.final) for r in A.running_bands(A.read_bands(spark, out)).collect()}
+    assert got == {1: (3, 1, True), 2: (1, 0, True), 3: (3, 0, True), 4: (1, 0, False)}
 
 
 def test_registered_bands_cover_every_event(spark):
     import __spark_entry__ as entry
     events = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    want = A.running_bands(events, "ts", "value").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-    assert sorted(entry.queries()["st_running_bands"](spark, SMALL).collect()) == sorted(want.collect())
+    want = A.bands(events, "ts", "value").select(F.col("window_start").cast("timestamp_ntz"), "band", "rows")
+    got = entry.queries()["st_running_bands"](spark, SMALL).collect()
+    assert sorted((r.window_start, r.band, r["rows"] + r["late"]) for r in got) == sorted(map(tuple, want.collect()))
+    assert any(r["late"] for r in got) and any(r["final"] for r in got) and not all(r["final"] for r in got)
