@@ -104,3 +104,17 @@ def class_weights(df: DataFrame, key: str) -> DataFrame:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+#: A sketch of 2**12 registers; its estimate is off by more than 5 % (three standard errors) once in several hundred cases.
+SKETCH_BITS, SKETCH_ERROR = 12, 0.05
+
+
+def distinct_sketches(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by…, sketch): a mergeable distinct count of each group, a few KB whatever its rows; for storing by day or source."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(value, F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, distinct): estimates of coarser groups from stored sketches, without the rows."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))

@@ -15,6 +15,7 @@ from talentloom import rules
 from talentloom.functions import text as T
 from talentloom.functions.numeric import bind, round1, share
 from talentloom.operators.joins import skew_join
+from talentloom.session import stored
 
 # A token may hold + # . inside and at the front, and + # at the end; a line end is its own token
 # so that no phrase crosses it.  "/" and "-" separate.
@@ -62,6 +63,36 @@ def alias_table(spark: SparkSession, taxonomy: DataFrame, order: str | None = No
     return every.groupBy("alias").agg(F.min_by("canonical", F.struct("priority", "entry")).alias("canonical"))
 
 
+def alias_links(spark: SparkSession, taxonomy: DataFrame, order: str | None = None, builtin: dict[str, str] | None = None) -> DataFrame:
+    """(alias, to): each spelling points to the name it stands for, also where it is the name of another entry; built-in aliases first."""
+    builtin = rules.SKILL_ALIASES if builtin is None else builtin
+    entry = F.lpad(F.col(order).cast("string"), 20, "0") if order else F.col("name").cast("string")
+    fixed = spark.createDataFrame(list(builtin.items()), "alias string, to string").select("alias", "to", F.lit(1).alias("priority"), F.lit("").alias("entry"))
+    other = taxonomy.select(F.explode("aliases").alias("alias"), F.lower(T.strip(F.col("name"))).alias("to"), F.lit(2).alias("priority"), entry.alias("entry"))
+    every = fixed.unionByName(other.withColumn("alias", F.lower(T.strip(F.col("alias"))))).filter("alias != to")
+    return every.groupBy("alias").agg(F.min_by("to", F.struct("priority", "entry", "to")).alias("to"))
+
+
+def alias_closure(links: DataFrame) -> DataFrame:
+    """(alias, canonical): the end of every chain of ``links(alias, to)``, one row an alias; the smallest name of a circle that it runs into.
+
+    Pointers double: after k rounds each alias knows the name 2**k steps on and the smallest name on the way, so the rounds grow with the
+    logarithm of the longest chain. An alias that never ends has run into a circle after as many steps as there are links;
+    from there the way holds the whole circle and nothing else.
+    """
+    ways = stored(links.select("alias", "to", F.col("alias").alias("least")), "aliases")
+    steps, total = 1, ways.count()
+    while True:
+        on = ways.select(F.col("alias").alias("to"), F.col("to").alias("further"), F.col("least").alias("next"))
+        if ways.join(on, "to", "left_semi").isEmpty():
+            return ways.select("alias", F.col("to").alias("canonical"))
+        if steps > total:
+            circle = ways.select(F.col("alias").alias("to"), F.col("least").alias("smallest"))
+            return ways.join(circle, "to", "left").select("alias", F.coalesce("smallest", "to").alias("canonical"))
+        further = ways.join(on, "to", "left").select("alias", F.coalesce("further", "to").alias("to"), F.least("least", "next").alias("least"))
+        ways, steps = stored(further, "aliases"), 2 * steps
+
+
 # --- phrases in texts ----------------------------------------------------------------------------------
 
 #: Up to so many forms the index is sent to every executor (some ten MB); a larger one is joined by shuffles.
@@ -102,18 +133,15 @@ def _stands_at(start: Column) -> Column:
     return (start >= 0) & (F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.size("_form")) == F.col("_form"))
 
 
-def normalize_rows(rows: DataFrame, skill: str, aliases: DataFrame) -> DataFrame:
-    """Add ``skill_key``: one alias hop, else the lower-cased name itself."""
-    low = F.lower(T.strip(F.col(skill)))
-    return (
-        rows.withColumn("alias", low).join(aliases, "alias", "left")
-        .withColumn("skill_key", F.coalesce("canonical", "alias")).drop("alias", "canonical")
-    )
+def normalize_rows(rows: DataFrame, skill: str, aliases: DataFrame, row_id: str) -> DataFrame:
+    """Add ``skill_key``: what ``aliases`` says, one hop or closed, else the lower-cased name itself. Frequent names are spread by ``row_id``."""
+    keyed = rows.withColumn("alias", F.lower(T.strip(F.col(skill))))
+    return skew_join(keyed, aliases, "alias", row_id).withColumn("skill_key", F.coalesce("canonical", "alias")).drop("alias", "canonical")
 
 
 def skill_lists(rows: DataFrame, key: str, skill: str, aliases: DataFrame) -> DataFrame:
     """(key, skills, skill_keys): sorted distinct names, and array<struct<key, name>> with the first name per normalised key."""
-    named = normalize_rows(rows.select(key, F.col(skill).alias("name")), "name", aliases)
+    named = normalize_rows(rows.select(key, F.col(skill).alias("name")), "name", aliases, key)
     first = named.groupBy(key, "skill_key").agg(F.min("name").alias("first"), F.collect_set("name").alias("names"))
     lists = first.groupBy(key).agg(
         F.sort_array(F.flatten(F.collect_list("names"))).alias("skills"),

@@ -15,6 +15,7 @@ from talentloom.operators import suggestions as G
 from talentloom.plans.report import suggestion_lines
 from talentloom.plans.queries import sql as Q
 from talentloom.plans.queries.registry import query
+from talentloom.session import stored
 
 
 @query("agg_value_counts", "SELECT source, count(*) AS rows FROM documents GROUP BY source ORDER BY rows DESC, source")
@@ -33,6 +34,13 @@ def agg_nunique(t):
     return t.documents.agg(F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("langs"))
 
 
+@query("agg_nunique_sketches")
+def agg_nunique_sketches(t):
+    """Distinct customers of each month and order status, merged from one stored sketch a day."""
+    daily = stored(A.distinct_sketches(t.orders.withColumn("day", F.to_date("o_orderdate")), ["day", "o_orderstatus"], "o_custkey"), "sketches")
+    return A.merged_distinct(daily.withColumn("month", F.date_trunc("month", "day").cast("date")), ["month", "o_orderstatus"])
+
+
 @query("agg_shape_nulls", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM jobs" for c in ("row_id", "role", "features")))
 def agg_shape_nulls(t):

@@ -173,6 +173,17 @@ def agg_skill_counts(t):
     return o.select(F.inline(sizes)).groupBy("kind").agg(F.sum("n").alias("skills"))
 
 
+@query("agg_skill_summary", f"""
+    WITH {Q.forms_ctes()}, {Q.skills_ctes('resumes', 'resume_id', 'rs')}, names AS (SELECT DISTINCT canonical AS skill, category FROM forms)
+    SELECT category, skill, grouping_id(category, skill)::BIGINT AS level, count(*) AS resumes FROM rs JOIN names USING (skill) GROUP BY GROUPING SETS ((category, skill), (category), ())""")
+def agg_skill_summary(t):
+    """How many résumés name each skill, the skills of each category, any skill: three levels in one aggregation."""
+    forms = K.taxonomy_forms(t.taxonomy_entries, "entry")
+    hits = K.phrase_hits(t.resumes, "resume_id", "text", forms)
+    named = hits.join(forms.select("canonical", "category").distinct(), "canonical").withColumnRenamed("canonical", "skill")
+    return named.groupingSets([["category", "skill"], ["category"], []], "category", "skill").agg(F.grouping_id().alias("level"), F.count("*").alias("resumes"))
+
+
 # --- parts of a pair ---------------------------------------------------------------------------------------
 
 def _skill_keys(t, table, key, blank=True):
@@ -202,11 +213,31 @@ def join_skill_overlap(t):
     SELECT id, skill, coalesce(canonical, lower(skill)) AS skill_key, count(*) AS times FROM spelled LEFT JOIN am ON am.alias = lower(skill) WHERE skill <> ''
     GROUP BY ALL""")
 def join_alias_normalize(t):
+    return _normalized(t, K.alias_table(t.spark, t.taxonomy_entries, "entry"))
+
+
+def _normalized(t, aliases):
     spelled = t.resumes.select(F.col("resume_id").alias("id"), F.explode(F.split("text", r"[,;/\n]")).alias("skill")).withColumn("skill", F.trim("skill"))
-    keyed = K.normalize_rows(spelled.filter("skill <> ''"), "skill", K.alias_table(t.spark, t.taxonomy_entries, "entry"))
+    keyed = K.normalize_rows(spelled.filter("skill <> ''"), "skill", aliases, "id")
     return keyed.groupBy("id", "skill", "skill_key").agg(F.count("*").alias("times"))
 
 
+@query("join_alias_closure", f"""
+    WITH RECURSIVE links AS (SELECT alias, target FROM (
+            SELECT a AS alias, c AS target, 1 AS p, 0 AS e FROM (VALUES {", ".join(f"({Q.q(k)}, {Q.q(v)})" for k, v in rules.SKILL_ALIASES.items())}) AS b(a, c)
+            UNION ALL SELECT lower(trim(raw)), lower(trim(name)), 2, entry FROM taxonomy WHERE pos > 0)
+        WHERE alias <> target QUALIFY row_number() OVER (PARTITION BY alias ORDER BY p, e) = 1),
+    walk AS (SELECT alias, target, 1 AS depth FROM links UNION ALL
+             SELECT w.alias, l.target, depth + 1 FROM walk w JOIN links l ON l.alias = w.target WHERE depth <= (SELECT count(*) FROM links)),
+    ends AS (SELECT alias, arg_max(target, depth) AS canonical FROM walk GROUP BY alias),
+    spelled AS (SELECT resume_id AS id, trim(unnest(regexp_split_to_array(text, '[,;/\\n]'))) AS skill FROM resumes)
+    SELECT id, skill, coalesce(canonical, lower(skill)) AS skill_key, count(*) AS times FROM spelled LEFT JOIN ends ON ends.alias = lower(skill) WHERE skill <> ''
+    GROUP BY ALL""")
+def join_alias_closure(t):
+    """As join_alias_normalize, along whole chains of aliases."""
+    return _normalized(t, K.alias_closure(K.alias_links(t.spark, t.taxonomy_entries, "entry")))
+
+
 def _keyword_pairs(t):
     openings = t.jds.filter(~T.is_blank(F.col("text"))).select("jd_id", T.keywords(F.col("text")).alias("jd_keywords"))
     pairs = skew_join(t.applications, openings, "jd_id", "application_id", "inner")

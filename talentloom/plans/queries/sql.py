@@ -23,6 +23,8 @@ def with_inputs(sql: str) -> str:
         return sql
     heads = ", ".join(f"{n} AS ({CTES[n]})" for n in used)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {heads}, {body[5:]}"
     return f"WITH {heads} {body}"

@@ -195,3 +195,22 @@ def test_sparse_top_n_equals_all_products(spark):
         mine = [got[k][r] for r in range(1, 11)]
         assert [i for _, i in want] == [i for i, _ in mine], k
         assert [-s for s, _ in want] == pytest.approx([s for _, s in mine])
+
+
+def test_alias_chains_and_circles(spark):
+    from talentloom.operators import skills as K
+
+    links = [("a", "b"), ("b", "c"), ("c", "end"), ("x", "y"), ("y", "z"), ("z", "x"), ("into", "y"), ("far", "into"), ("p", "q")] + [(f"n{i}", f"n{i + 1}") for i in range(100)]
+    got = dict(map(tuple, K.alias_closure(spark.createDataFrame(links, "alias string, to string")).collect()))
+    want = {"a": "end", "b": "end", "c": "end", "x": "x", "y": "x", "z": "x", "into": "x", "far": "x", "p": "q"} | {f"n{i}": "n100" for i in range(100)}
+    assert got == want
+    assert K.alias_closure(spark.createDataFrame([], "alias string, to string")).collect() == []
+
+
+def test_sketches_merge_like_one_pass(spark):
+    from talentloom.operators import metrics as A
+
+    rows = spark.range(200_000).select((F.col("id") % 50).alias("day"), (F.col("id") % 2).alias("kind"), F.pmod(F.xxhash64("id"), F.lit(30_000)).alias("user"))
+    merged = {r.kind: r.distinct for r in A.merged_distinct(A.distinct_sketches(rows, ["day", "kind"], "user"), ["kind"]).collect()}
+    for r in rows.groupBy("kind").agg(F.countDistinct("user").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("user", A.SKETCH_BITS)).alias("once")).collect():
+        assert abs(merged[r.kind] - r.n) <= A.SKETCH_ERROR * r.n and abs(merged[r.kind] - r.once) <= A.SKETCH_ERROR * r.n
