@@ -1,5 +1,6 @@
 """Packing, personal data and host trust, against plain Python."""
 
+import collections
 import hashlib
 import re
 import zlib
@@ -150,34 +151,61 @@ def test_hosts_paths_and_rules(spark):
     assert got == {i: u[1:4] for i, u in enumerate(URLS)}
 
 
-def brute_rank(edges, seeds, steps=host_trust.STEPS, d=host_trust.DAMPING):
-    out = {}
-    for s, _, w in edges:
-        out[s] = out.get(s, 0) + w
-    rank = {h: (1 - d) * m for h, m in seeds.items()}
-    start = dict(rank)
-    for _ in range(steps):
-        new = dict(start)
-        for s, t, w in edges:
-            if s in rank:
-                new[t] = new.get(t, 0) + d * w / out[s] * rank[s]
-        rank = new
-    return rank
+def brute_rank(edges, seeds):
+    """Power iteration with a matrix, until nothing moves."""
+    hosts = sorted({h for s, t, _ in edges for h in (s, t)} | set(seeds))
+    move = np.zeros((len(hosts), len(hosts)))
+    for s, t, w in edges:
+        move[hosts.index(t), hosts.index(s)] += w
+    move = 0.85 * move / np.maximum(move.sum(0), 1)
+    start = 0.15 * np.array([seeds.get(h, 0.0) for h in hosts])
+    return dict(zip(hosts, np.linalg.solve(np.eye(len(hosts)) - move, start)))
+
+
+def links(*hosts):
+    return "".join(f'<a href="http://{h}/p">x</a><a href="/own">y</a>' for h in hosts)
+
+
+WEB = [("http://good.com/", links("friend.org")), ("http://friend.org/", links("pal.org")), ("http://pal.org/", links("good.com")), ("http://bad.net/es/1", links("victim.org")),
+       ("http://spam.org/", links("bad.net", "bad.net")), ("http://victim.org/", None), ("http://farm.org/", links("spam.org")), ("http://farm.org/", links("spam.org")), ("http://lone.org/", ""),
+       ("http://mixed.org/", links("good.com", "bad.net", "friend.org")), ("http://half.net/fr/", ""), ("http://half.net/de/", ""), ("no host", links("bad.net"))]
+
+
+def verdicts(spark, pages):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.host: r for r in host_trust.verdict_rows(df).filter("rule is null").collect()}
 
 
 def test_trust_follows_links_and_distrust_goes_back(spark):
-    link = lambda *hosts: "".join(f'<a href="http://{h}/p">x</a><a href="/own">y</a>' for h in hosts)
-    pages = [(1, "http://good.com/", link("friend.org")), (2, "http://friend.org/", link("pal.org")), (3, "http://pal.org/", ""), (4, "http://bad.net/es/1", link("victim.org")), (5, "http://spam.org/", link("bad.net", "bad.net")), (6, "http://victim.org/", None), (7, "http://farm.org/", link("spam.org")), (7, "http://farm.org/", link("spam.org"))]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r.host: r for r in host_trust.verdict_rows(df).collect()}
-    edges = [("good.com", "friend.org", 1), ("friend.org", "pal.org", 1), ("bad.net", "victim.org", 1), ("spam.org", "bad.net", 1), ("farm.org", "spam.org", 2)]
-    trust, distrust = brute_rank(edges, {"good.com": 1}), brute_rank([(t, s, w) for s, t, w in edges], {"bad.net": 1})
+    got = verdicts(spark, WEB)
+    edges = collections.Counter()
+    pages = collections.Counter()
+    for url, html in WEB:
+        host = url.split("/")[2] if "://" in url else ""
+        pages[host] += bool(host)
+        for other in {h for h in re.findall(r"http://([^/]+)", html or "")}:
+            if host and other != host:
+                edges[host, other] += 1
+    forth = [(s, t, w) for (s, t), w in edges.items()]
+    back = [(t, s, w) for s, t, w in forth]
+    share = lambda seeds: {h: n / sum(seeds.values()) for h, n in seeds.items()}
+    allowed, blocked, everywhere = share({"good.com": 1}), share({"bad.net": 1, "half.net": 1}), share(pages)
+    trust, distrust, base_forth, base_back = brute_rank(forth, allowed), brute_rank(back, blocked), brute_rank(forth, everywhere), brute_rank(back, everywhere)
     for h, r in got.items():
-        assert r.trust == pytest.approx(trust.get(h, 0)) and r.distrust == pytest.approx(distrust.get(h, 0))
-    n = len(got)
-    for h in ("friend.org", "pal.org", "victim.org", "spam.org", "farm.org"):
-        assert got[h].verdict == ("block" if distrust.get(h, 0) > trust.get(h, 0) + 1 / n else "allow")
-    assert got["victim.org"].verdict == "allow" and got["bad.net"].verdict == "block"
+        assert r.trust == pytest.approx(trust.get(h, 0), abs=1e-5) and r.distrust == pytest.approx(distrust.get(h, 0), abs=1e-5)
+        if h:
+            suspect, trusted = distrust.get(h, 0) / base_back[h], trust.get(h, 0) / base_forth[h]
+            assert r.verdict == ("block" if suspect > trusted * (1 + 1e-4) else "allow"), h
+    assert {h for h, r in got.items() if r.verdict == "block"} >= {"spam.org", "farm.org", "half.net"}
+    assert all(got[h].verdict == "allow" for h in ("friend.org", "pal.org", "victim.org", "lone.org", ""))
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_table(spark):
+    want = {h: r.verdict for h, r in verdicts(spark, WEB).items()}
+    assert {h: r.verdict for h, r in verdicts(spark, WEB * 3).items()} == want
+    others = [(f"http://other{i}.org/", links(f"other{(i + 1) % 40}.org")) for i in range(40)]
+    more = {h: r.verdict for h, r in verdicts(spark, WEB + others).items()}
+    assert {h: more[h] for h in want} == want and all(v == "allow" for h, v in more.items() if h.startswith("other"))
 
 
 def test_hosts_empty_and_clashing_columns(spark):
