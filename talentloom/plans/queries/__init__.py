@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["sources", "texts", "extraction", "matching", "aggregates", "vectors", "sampled", "streams"]
+MODULES = ["sources", "texts", "extraction", "matching", "aggregates", "vectors", "sampled", "streams", "reports"]
 
 
 def load() -> None:

@@ -190,7 +190,7 @@ def llm_prompt_rows(t):
     return both.select("application_id", F.md5(G.prompt(F.col("text"), F.col("jd_text"))).alias("prompt"))
 
 
-_PARSED = """
+PARSED = """
     ok AS (SELECT reply_id, json, json_valid(json) AS valid FROM replies),
     s AS (SELECT reply_id, json, unnest(range(1, least(3, coalesce(json_array_length(json, '$.suggestions'), 0))::BIGINT + 1)) AS ord FROM ok WHERE valid),
     e AS (SELECT reply_id, ord, json_extract(json, '$.suggestions[' || (ord - 1) || ']') AS x FROM s),
@@ -201,20 +201,20 @@ _PARSED = """
         FROM ok LEFT JOIN e USING (reply_id))"""
 
 
-@query("llm_parse_rows", f"WITH {_PARSED} SELECT reply_id, ord::INT AS ord, summary, category, severity, original, suggestion, explanation, error FROM p")
+@query("llm_parse_rows", f"WITH {PARSED} SELECT reply_id, ord::INT AS ord, summary, category, severity, original, suggestion, explanation, error FROM p")
 def llm_parse_rows(t):
     return G.parse_replies(t.replies, "reply_id", "json", 3)
 
 
 @query("llm_severity_rank", f"""
-    WITH {_PARSED} SELECT CASE lower(severity) WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS severity_rank, count(*) AS rows FROM p WHERE ord IS NOT NULL GROUP BY 1""")
+    WITH {PARSED} SELECT CASE lower(severity) WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS severity_rank, count(*) AS rows FROM p WHERE ord IS NOT NULL GROUP BY 1""")
 def llm_severity_rank(t):
     rows = G.parse_replies(t.replies, "reply_id", "json", 3).filter("ord IS NOT NULL")
     return rows.groupBy(S.severity_rank(F.col("severity")).alias("severity_rank")).agg(F.count("*").alias("rows"))
 
 
 @query("report_suggestions", f"""
-    WITH {_PARSED} SELECT reply_id, 'suggestions' AS section, ord::INT AS ord, '[' || category || '] ' || upper(severity) AS label, suggestion AS value,
+    WITH {PARSED} SELECT reply_id, 'suggestions' AS section, ord::INT AS ord, '[' || category || '] ' || upper(severity) AS label, suggestion AS value,
         CASE lower(severity) WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS band FROM p WHERE ord IS NOT NULL""")
 def report_suggestions(t):
     return suggestion_lines(G.parse_replies(t.replies, "reply_id", "json", 3), "reply_id")

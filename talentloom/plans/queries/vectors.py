@@ -40,7 +40,7 @@ def rec_exact(t):
 
 
 _CATALOGUE = "cat AS (SELECT role AS id, coalesce(arg_min(features, row_id) FILTER (WHERE features IS NOT NULL), '') AS text FROM jobs WHERE role IS NOT NULL GROUP BY role)"
-_TOPN = f"""
+TOPN = f"""
     WITH {_CATALOGUE}, posts AS (SELECT 'p' || resume_id AS id, text FROM resumes),
     {Q.tfidf_ctes('cat', 'id', 'tc')}, {Q.tfidf_ctes('posts', 'id', 'tp', corpus='cat')},
     dots AS (SELECT tp.id AS q, tc.id AS role, sum(tp.w * tc.w) AS d FROM tp JOIN tc USING (term) GROUP BY 1, 2),
@@ -50,25 +50,25 @@ _TOPN = f"""
              CASE WHEN length(features) > 200 THEN features[1:200] || '...' ELSE features END AS snippet FROM best WHERE rank <= 10)"""
 
 
-def _recommended(t):
+def recommended(t):
     catalogue = R.job_catalogue(t.jobs, "role", "features", "row_id")
     return R.recommend(t.resumes.select("resume_id", "text"), catalogue, "resume_id", "text")
 
 
-@query("rec_topn", f"{_TOPN} SELECT * FROM recs")
+@query("rec_topn", f"{TOPN} SELECT * FROM recs")
 def rec_topn(t):
-    return _recommended(t)
+    return recommended(t)
 
 
-@query("win_rank_number", f"{_TOPN} SELECT rank, count(*) AS rows, max(score) AS best, min(score) AS worst FROM recs GROUP BY rank")
+@query("win_rank_number", f"{TOPN} SELECT rank, count(*) AS rows, max(score) AS best, min(score) AS worst FROM recs GROUP BY rank")
 def win_rank_number(t):
-    return _recommended(t).groupBy("rank").agg(F.count("*").alias("rows"), F.max("score").alias("best"), F.min("score").alias("worst"))
+    return recommended(t).groupBy("rank").agg(F.count("*").alias("rows"), F.max("score").alias("best"), F.min("score").alias("worst"))
 
 
-@query("report_jobs", f"""{_TOPN} SELECT resume_id, 'jobs' AS section, rank AS ord, role AS label,
+@query("report_jobs", f"""{TOPN} SELECT resume_id, 'jobs' AS section, rank AS ord, role AS label,
        printf('%d.%d%%', floor(score)::INT, round_even((score - floor(score)) * 10, 0)::INT) AS value, {Q.band('score')} AS band FROM recs WHERE rank <= 8""")
 def report_jobs(t):
-    return job_lines(_recommended(t))
+    return job_lines(recommended(t))
 
 
 @query("rec_build", f"WITH {_CATALOGUE}, {Q.tfidf_ctes('cat', 'id', 'v')} SELECT id AS role, term, round(w, 9) AS weight FROM v")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talentloom.functions import score as S
 from talentloom.functions import text as T
+from talentloom.operators.joins import skew_join
 
 # --- fixed values: how many items of a list a report shows
 SHOWN = {"education": 3, "titles": 5, "jobs": 8}
@@ -75,12 +76,40 @@ def job_lines(jobs: DataFrame) -> DataFrame:
         F.concat(F.col("score").cast("decimal(5,1)").cast("string"), F.lit("%")).alias("value"), S.band(F.col("score")).alias("band"))
 
 
+def _suggestion(section: str = "suggestions") -> dict[str, Column]:
+    return {"section": F.lit(section), "ord": F.col("ord").cast("int"), "label": T.to_latin1(F.concat(F.lit("["), "category", F.lit("] "), F.upper("severity"))),
+            "value": T.to_latin1(F.col("suggestion")), "band": S.severity_rank(F.col("severity"))}
+
+
 def suggestion_lines(parsed: DataFrame, reply_id: str) -> DataFrame:
     """Report lines of parsed suggestions."""
-    return parsed.filter(F.col("ord").isNotNull()).select(
-        reply_id, F.lit("suggestions").alias("section"), F.col("ord").cast("int").alias("ord"),
-        T.to_latin1(F.concat(F.lit("["), "category", F.lit("] "), F.upper("severity"))).alias("label"),
-        T.to_latin1(F.col("suggestion")).alias("value"), S.severity_rank(F.col("severity")).alias("band"))
+    return parsed.filter(F.col("ord").isNotNull()).select(reply_id, *[c.alias(n) for n, c in _suggestion().items()])
+
+
+def advice_lines(parsed: DataFrame, reply_id: str) -> DataFrame:
+    """Report lines of whole replies: the summary as line 0, then each suggestion and, where one is given, its reason. A reply without suggestions has none."""
+    none = F.lit(None).cast("int")
+    told = F.struct(*[c.alias(n) for n, c in _suggestion().items()])
+    why = F.struct(F.lit("suggestions").alias("section"), F.col("ord").cast("int").alias("ord"), F.lit("Why").alias("label"), T.to_latin1(F.col("explanation")).alias("value"), none.alias("band"))
+    summary = F.struct(F.lit("suggestions").alias("section"), F.lit(0).alias("ord"), F.lit("Summary").alias("label"), T.to_latin1(F.col("summary")).alias("value"), none.alias("band"))
+    lines = F.array(F.when((F.col("ord") == 1) & (F.col("summary") != ""), summary), told, F.when(F.col("explanation") != "", why))
+    return parsed.filter(F.col("ord").isNotNull()).select(reply_id, F.inline(F.filter(lines, lambda r: r.isNotNull())))
+
+
+def application_report(matches: DataFrame, applications: DataFrame, jobs: DataFrame, parsed: DataFrame, reply_id: str) -> DataFrame:
+    """One report for each application: its own lines, the jobs recommended to its résumé, and the reply about that résumé.
+
+    Lines of a résumé are packed first - a handful each - and then meet its applications, with résumés of many applications spread.
+    """
+    def packed(lines: DataFrame, key: str) -> DataFrame:
+        return lines.groupBy(F.col(key).alias("resume_id")).agg(F.collect_list(F.struct("section", "ord", "label", "value", "band")).alias("lines"))
+
+    ids = ["application_id", "resume_id", "jd_id"]
+    parts = [report_lines(matches)]
+    for lines, key in ((job_lines(jobs), "resume_id"), (advice_lines(parsed, reply_id), reply_id)):
+        met = skew_join(applications.select(*ids), packed(lines, key), "resume_id", "application_id", "inner")
+        parts.append(met.select(*ids, F.inline("lines")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def write_report(lines: DataFrame, path: str, file_format: str = "parquet") -> None:

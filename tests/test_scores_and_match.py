@@ -202,3 +202,22 @@ def test_counts_and_cosine_in_the_row(spark):
         want = {w: (a or []).count(w) for w in a or []}
         assert a is None or [(e["term"], e["tf"]) for e in r["a"]] == sorted(want.items())
         assert r["dot"] == sum(n * b.count(w) for w, n in want.items())
+
+
+def test_a_report_belongs_to_one_application(spark):
+    """Jobs and the reply of a résumé stand in the report of each of its applications; empty summary and reason leave no line."""
+    t = Inputs(spark, SMALL)
+    few = t.applications.filter("resume_id IN (1, 2, 4)")
+    scored = M.match(few, t.resumes.select("resume_id", "text"), t.jds, t.skill_rules, AS_OF_YEAR)
+    jobs = spark.createDataFrame([(1, k, f"role {k}", 90.0 - k, "") for k in range(1, 11)], "resume_id long, rank int, role string, score double, snippet string")
+    columns = "reply_id long, ord int, summary string, category string, severity string, original string, suggestion string, explanation string, error string"
+    parsed = spark.createDataFrame([(1, 1, "good", "Skills", "high", "", "add x", "since y", None), (1, 2, "good", "Impact", "low", "", "cut z", "", None), (2, 1, "", "General", "medium", "", "say w", "", None),
+                                    (4, None, "only", None, None, None, None, None, None)], columns)
+    rows = R.application_report(scored, few, jobs, parsed, "reply_id").collect()
+    assert {r.application_id for r in rows} == {r.application_id for r in scored.collect()}
+    for a in few.collect():
+        mine = [r for r in rows if r.application_id == a.application_id]
+        assert all((r.resume_id, r.jd_id) == (a.resume_id, a.jd_id) for r in mine) and any(r.section == "scores" for r in mine)
+        assert sum(r.section == "jobs" for r in mine) == (8 if a.resume_id == 1 else 0)
+        told = sorted((r.ord, r.label, r.value, r.band) for r in mine if r.section == "suggestions")
+        assert told == {1: [(0, "Summary", "good", None), (1, "Why", "since y", None), (1, "[Skills] HIGH", "add x", 1), (2, "[Impact] LOW", "cut z", 3)], 2: [(1, "[General] MEDIUM", "say w", 2)], 4: []}[a.resume_id]
