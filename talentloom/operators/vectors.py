@@ -72,6 +72,23 @@ def tfidf(counts: DataFrame, vocab: DataFrame, doc_id: str, sublinear: bool = Fa
     return v.select(doc_id, F.transform("v", lambda x: x["term"]).alias("terms"), unit_weights(F.col("v")).alias("weights"))
 
 
+def sparse_rows(counts: DataFrame, vocab: DataFrame, row: str, size: int, sublinear: bool = True) -> DataFrame:
+    """All columns of ``counts`` but the counts, and ``unit``: the vector of :func:`tfidf` in the form of a sparse ML vector.
+
+    ``vocab`` is (ix, term, idf) of at most ``size`` terms, which bounds its broadcast, with places in the order of terms; ``row`` tells the rows apart.
+    A row without known terms keeps an empty vector. Only counts and the other columns move, no texts.
+    """
+    others = [c for c in counts.columns if c not in ("counts", row)]
+    said = counts.select(row, *others, F.explode_outer("counts").alias("e")).select(row, *others, "e.term", "e.tf")
+    met = said.join(F.broadcast(vocab), "term", "left")
+    tf = F.col("tf").cast("double")
+    raw = (F.lit(1.0) + F.log(tf) if sublinear else tf) * F.col("idf")
+    known = F.when(F.col("ix").isNotNull(), F.struct("ix", raw.alias("w")))
+    v = met.groupBy(row).agg(F.sort_array(F.collect_list(known)).alias("v"), *[F.first(c).alias(c) for c in others])
+    unit = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.transform("v", lambda x: x["ix"]).alias("indices"), unit_weights(F.col("v")).alias("values"))
+    return v.select(*others, unit.alias("unit"))
+
+
 def unit_weights(entries: Column) -> Column:
     """Weights of array<struct<…, w>> at length one; the norm is bound, not evaluated per element."""
     norm = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))

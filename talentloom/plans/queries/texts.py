@@ -104,7 +104,7 @@ def flt_contact_line(t):
 
 # --- text functions -------------------------------------------------------------------------------
 
-def _clean_sql(x: str, trailing: bool = False, bounded: bool = False) -> str:
+def clean_sql(x: str, trailing: bool = False, bounded: bool = False) -> str:
     tail = "\\s" if trailing else "\\s?"
     for p in [f"http\\S+{tail}", "\\b(?:RT|cc)\\b" if bounded else "RT|cc", f"#\\S+{tail}", "@\\S+", rules.PUNCTUATION, "[^\\x00-\\x7f]"]:
         x = f"regexp_replace({x}, {Q.q(p)}, ' ', 'g')"
@@ -113,8 +113,8 @@ def _clean_sql(x: str, trailing: bool = False, bounded: bool = False) -> str:
 
 
 @query("txt_clean", f"""
-    SELECT 'page' AS kind, page_id AS id, md5({_clean_sql('html')}) AS cleaned, length({_clean_sql('html')}) AS chars FROM pages
-    UNION ALL SELECT 'resume', resume_id, md5({_clean_sql('text')}), length({_clean_sql('text')}) FROM resumes""")
+    SELECT 'page' AS kind, page_id AS id, md5({clean_sql('html')}) AS cleaned, length({clean_sql('html')}) AS chars FROM pages
+    UNION ALL SELECT 'resume', resume_id, md5({clean_sql('text')}), length({clean_sql('text')}) FROM resumes""")
 def txt_clean(t):
     cleaned = T.clean(F.col("text"))
     both = t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")).unionByName(
@@ -122,7 +122,7 @@ def txt_clean(t):
     return both.select("kind", "id", cleaned.alias("c")).select("kind", "id", F.md5("c").alias("cleaned"), F.length("c").cast("long").alias("chars"))
 
 
-@query("txt_clean_nb", f"SELECT page_id, md5({_clean_sql('html', trailing=True)}) AS cleaned FROM pages")
+@query("txt_clean_nb", f"SELECT page_id, md5({clean_sql('html', trailing=True)}) AS cleaned FROM pages")
 def txt_clean_nb(t):
     return t.pages.select("page_id", F.md5(T.clean_trailing(F.col("html"))).alias("cleaned"))
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _local_folder: list[str] = []
 _scratch: list[str] = []
@@ -48,11 +49,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _scratch[-1]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared scratch folder and read again: computed once, and safe from lost executors."""
+def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """``df`` written to the shared scratch folder and read again: computed once, and safe from lost executors.
+
+    ``schema`` may name types that have the same form on disk, such as vectors for their structs.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> int:
