@@ -109,11 +109,10 @@ def src_page_concat(t):
 
 @query("src_wholetext", "SELECT item_id, md5(text || chr(10)) AS digest, length(text) + 1 AS chars FROM benchmark")
 def src_wholetext(t):
-    """Openings stored as one text file each, read back whole."""
+    """Openings stored as text files of bounded size, read back whole and taken apart."""
     path = scratch_path(t.spark, "openings")
-    t.benchmark.select("item_id", "text").write.partitionBy("item_id").text(path)
-    back = B.read_whole_texts(t.spark, path)
-    return back.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"))
+    B.write_texts(t.benchmark.select("item_id", F.concat("text", F.lit("\n")).alias("text")), "item_id", "text", path)
+    return B.read_texts(t.spark, path, "item_id").select("item_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"))
 
 
 @query("src_csv", "SELECT doc_id, source, lang, n_chars, md5(text) AS digest FROM documents")

@@ -12,15 +12,19 @@ from talentloom import rules
 TAXONOMY_SCHEMA = "skills array<struct<name: string, aliases: array<string>, category: string>>"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with header, texts over several lines, doubled quotes.  The schema spares a pass over the data."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"')
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """CSV with header, texts over several lines, doubled quotes.  The schema spares a pass over the data.
+
+    A file whose texts may hold line breaks cannot be split: one task reads it whole, so such tables should lie in files
+    of some megabytes, as :func:`write_csv` makes them. Without line breaks in texts, ``multi_line=False`` splits files of any size.
+    """
+    return spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, quote='"', escape='"')
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """The counterpart of :func:`read_csv`: quotes everything, keeps line breaks and blanks."""
-    df.write.csv(path, header=True, quote='"', escape='"', quoteAll=True,
-                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
+    """The counterpart of :func:`read_csv`: quotes everything, keeps line breaks and blanks, begins a new file after so many rows."""
+    df.write.option("maxRecordsPerFile", rows_per_file).csv(path, header=True, quote='"', escape='"', quoteAll=True,
+                                                            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +32,35 @@ def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+#: Separators of :func:`write_texts`: after a text, between its key and itself, before an escaped character.
+RECORD, UNIT, ESCAPE = "\x1e", "\x1f", "\x1b"
+_ESCAPED = [(ESCAPE, ESCAPE + "0"), (RECORD, ESCAPE + "1"), (UNIT, ESCAPE + "2")]
+_NULL = ESCAPE + "-"
+
+
+def write_texts(df: DataFrame, key: str, text: str, path: str, texts_per_file: int = 1_000) -> None:
+    """Texts as files of at most ``texts_per_file`` texts each, for tables of which every row is a text of its own.
+
+    One file a text would be as many files and folders as rows. Texts come back unchanged whatever they hold; a null stays null. Keys are whole numbers.
+    """
+    plain = F.col(text)
+    for c, code in _ESCAPED:
+        plain = F.replace(plain, F.lit(c), F.lit(code))
+    record = F.concat(F.col(key).cast("long").cast("string"), F.lit(UNIT), F.coalesce(plain, F.lit(_NULL)))
+    df.filter(F.col(key).isNotNull()).select(record).write.option("lineSep", RECORD).option("maxRecordsPerFile", texts_per_file).text(path)
+
+
+def read_texts(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
+    """(key, text) of :func:`write_texts`; a file is one row until it is taken apart."""
+    records = read_whole_texts(spark, path).select(F.explode(F.split("text", RECORD)).alias("r")).filter("r != ''")
+    at = F.locate(UNIT, F.col("r"))
+    text = F.substr(F.col("r"), at + 1)
+    for c, code in reversed(_ESCAPED):
+        text = F.replace(text, F.lit(code), F.lit(c))
+    found = F.when(~F.col("r").endswith(UNIT + _NULL), text)
+    return records.select(F.substr(F.col("r"), F.lit(1), at - 1).cast("long").alias(key), found.alias("text"))
+
+
 def peek(df: DataFrame, order: str, rows: int = 5) -> DataFrame:
     return df.orderBy(order).limit(rows)
 

@@ -59,6 +59,21 @@ def test_csv_round_trip(spark, tmp_path):
     assert back.filter("text IS NULL").count() == 1
 
 
+def test_texts_in_bounded_files_come_back_unchanged(spark, tmp_path):
+    texts = ["plain", "", None, "two\nlines\n", "\x1e\x1f\x1b", "\x1b0\x1b1\x1b-", "\x1b-", "é 漢 🙂", "a\x1fb\x1ec"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").coalesce(1)
+    B.write_texts(df, "k", "text", str(tmp_path / "texts"), texts_per_file=7)
+    assert len(list((tmp_path / "texts").glob("part-*"))) == 7
+    assert sorted((r.key, r.text) for r in B.read_texts(spark, str(tmp_path / "texts")).collect()) == list(enumerate(texts))
+
+
+def test_csv_files_are_bounded(spark, tmp_path):
+    df = spark.range(25).selectExpr("id", "concat('line\n', id) AS text").coalesce(1)
+    B.write_csv(df, str(tmp_path / "csv"), rows_per_file=10)
+    assert len(list((tmp_path / "csv").glob("part-*"))) == 3
+    assert sorted(map(tuple, B.read_csv(spark, str(tmp_path / "csv"), "id long, text string").collect())) == [(i, f"line\n{i}") for i in range(25)]
+
+
 def test_resolve_columns(spark):
     df = spark.createDataFrame([("IT", "text", 1)], "Category string, Feature string, other int")
     assert B.resolve_resumes(df).columns == ["category", "text"]
