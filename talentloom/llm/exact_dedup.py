@@ -2,23 +2,26 @@
 
 1. Each task reads its documents once, in chunks. For a chunk it keeps (doc_id, SHA-256 of the
    normalised text) and sends every owner of a fingerprint range the chunk's distinct 64-bit
-   fingerprints of that range: sorted, as gaps in Rice's form of the Golomb code.
+   fingerprints of that range: sorted, as gaps in Rice's form of the Golomb code. The texts stay where
+   they are, in blocks of a table that is bucketed by block.
 2. An owner decodes what it got and replies to each chunk with one bit for each fingerprint: seen in
    another chunk or not.
-3. A chunk's suspects are the rows whose bit is set or whose fingerprint the chunk has twice. Only
-   their texts are fetched and compared byte by byte (grouped by the whole normalised text, added up
-   before they move, so a group that holds a third of all rows moves once for each task).
+3. A chunk's suspects are the rows whose bit is set or whose fingerprint the chunk has twice. Their
+   places travel to the blocks, and only their texts leave them, to be compared byte by byte (grouped by
+   the whole normalised text, added up before they move, so a group that holds a third of all rows moves
+   once for each task).
 4. Every row gets the facts of its group by (hash, salt), see ``common.with_group_facts``.
 
 Texts are equal when they are the same after lower-casing A-Z. Defined cases: a null text is the
 empty text; a null doc_id is smaller than any other; rows that repeat a doc_id and its text are
-members of one group of which one stays (``kept`` is true for exactly one row of a group); an empty
-table gives an empty table; further columns are kept by ``survivors`` whatever their names.
+members of one group of which one stays (``kept`` is true for exactly one row of a group); a text of any
+length is read whole and fills a block of its own; an empty table gives an empty table; further columns are kept by ``survivors`` whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.llm.common import kept, or_empty, partitions, pick_rows, with_group_facts
+from talentloom.session import scratch_path
 
 CHUNK_ROWS = 65_536
+#: Text of a block, and of the blocks that one task reads.
+BLOCK_BYTES = 2 << 20
+BUCKET_BYTES = 128 << 20
 #: Fingerprints an owner gets, at least as many owners as shuffle partitions.
 OWNER_ROWS = 1 << 20
 UPPER = bytes(range(65, 91))
@@ -83,36 +90,56 @@ def fingerprints(hashes: pa.Array) -> np.ndarray:
 
 # --- tasks --------------------------------------------------------------------------------------
 
-SENT = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("owner", pa.int64()), ("code", pa.binary())])
-SENT_SQL = "chunk long, place int, doc_id long, sha binary, owner long, code binary"
+SENT = pa.schema([("chunk", pa.int64()), ("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("sha", pa.binary()),
+                  ("owner", pa.int64()), ("code", pa.binary()), ("ends", pa.list_(pa.int64())), ("data", pa.binary())])
+SENT_SQL = "chunk long, block long, place int, doc_id long, sha binary, owner long, code binary, ends array<long>, data binary"
+
+
+def _batch(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in SENT], schema=SENT)
 
 
 def _reader(owners: int):
+    """Rows (doc_id, sha), messages (owner, code) and blocks of texts (data, ends); a place counts from the start of its chunk."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
+        block = TaskContext.get().partitionId() << 32
         ids: list = []
+        texts: list[bytes] = []
         shas: list[bytes] = []
+        size = 0
+
+        def end_block() -> Iterator[pa.RecordBatch]:
+            n = len(ids)
+            yield _batch(n, chunk=[chunk] * n, block=[block] * n, place=range(len(shas) - n, len(shas)), doc_id=ids, sha=shas[len(shas) - n:])
+            yield _batch(1, block=[block], place=[len(shas) - n], ends=[np.cumsum([len(t) for t in texts])], data=[b"".join(texts)])
 
-        def flush() -> pa.RecordBatch:
+        def end_chunk() -> pa.RecordBatch:
             prints = np.unique(fingerprints(pa.array(shas, pa.binary())))
             owner = owner_of(prints, owners)
             cuts = np.flatnonzero(np.diff(owner, prepend=-1))
             sent = [(int(owner[a]), rice_encode(prints[a:z])) for a, z in zip(cuts, [*cuts[1:], len(prints)])]
-            n, m = len(ids), len(sent)
-            return pa.RecordBatch.from_arrays([
-                pa.array([chunk] * (n + m), pa.int64()), pa.array([*range(n), *[None] * m], pa.int32()), pa.array([*ids, *[None] * m], pa.int64()),
-                pa.array([*shas, *[None] * m], pa.binary()), pa.array([*[None] * n, *[o for o, _ in sent]], pa.int64()), pa.array([*[None] * n, *[c for _, c in sent]], pa.binary()),
-            ], schema=SENT)
+            return _batch(len(sent), chunk=[chunk] * len(sent), block=[block] * len(sent), owner=[o for o, _ in sent], code=[c for _, c in sent])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                norm = normalised(text.as_py())
+                if ids and size + len(norm) > BLOCK_BYTES:
+                    yield from end_block()
+                    block, ids, texts, size = block + 1, [], [], 0
                 ids.append(doc_id)
-                shas.append(hashlib.sha256(normalised(text.as_py())).digest())
-                if len(ids) == CHUNK_ROWS:
-                    yield flush()
-                    chunk, ids, shas = chunk + 1, [], []
+                texts.append(norm)
+                shas.append(hashlib.sha256(norm).digest())
+                size += len(norm)
+                if len(shas) == CHUNK_ROWS:
+                    yield from end_block()
+                    yield end_chunk()
+                    chunk, block, ids, texts, shas, size = chunk + 1, block + 1, [], [], [], 0
         if ids:
-            yield flush()
+            yield from end_block()
+        if shas:
+            yield end_chunk()
 
     return read
 
@@ -136,14 +163,17 @@ def _suspects(owners: int):
         for o, bits in zip(replies["owner"].to_pylist(), replies["bits"].to_pylist()):
             a, z = np.searchsorted(owner, [o, o + 1])
             suspect[a:z] |= np.unpackbits(np.frombuffer(bits, np.uint8))[: z - a].astype(bool)
-        return rows.select(["chunk", "place", "doc_id", "sha"]).append_column("suspect", pa.array(suspect[where]))
+        return rows.select(["chunk", "block", "place", "doc_id", "sha"]).append_column("suspect", pa.array(suspect[where]))
 
     return mark
 
 
-def _norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts at the wanted places of each block."""
     for batch in batches:
-        yield pa.record_batch({"norm": pa.array([normalised(t.as_py()) for t in batch.column(0)], pa.binary())})
+        for row in batch.to_pylist():
+            ends = [0, *row["ends"]]
+            yield pa.record_batch({"norm": pa.array([row["data"][ends[p - row["place"]]:ends[p - row["place"] + 1]] for p in row["places"]], pa.binary())})
 
 
 # --- the operator -------------------------------------------------------------------------------
@@ -153,16 +183,21 @@ def decisions(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, sha): one row for each row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    owners = max(partitions(spark), -(-docs.count() // OWNER_ROWS))
-    sent = kept(spark, docs.mapInArrow(_reader(owners), SENT_SQL), "fingerprints")
+    n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    owners = max(partitions(spark), -(-n_rows // OWNER_ROWS))
+    name = f"texts_{uuid.uuid4().hex}"
+    written = docs.mapInArrow(_reader(owners), SENT_SQL).write.option("compression", "zstd").bucketBy(max(partitions(spark), -(-n_bytes // BUCKET_BYTES)), "block")
+    written.option("path", scratch_path(spark, name)).saveAsTable(name)
+    sent = spark.table(name)
     messages = sent.filter("owner is not null").select("chunk", "owner", "code")
     replies = messages.groupBy("owner").applyInArrow(_reply, "chunk long, owner long, bits binary")
-    rows = sent.filter("owner is null").select("chunk", "place", "doc_id", "sha")
-    marked = kept(spark, rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_suspects(owners), "chunk long, place int, doc_id long, sha binary, suspect boolean"), "suspects")
+    rows = sent.filter("sha is not null").select("chunk", "block", "place", "doc_id", "sha")
+    marked = kept(spark, rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_suspects(owners), "chunk long, block long, place int, doc_id long, sha binary, suspect boolean"), "suspects")
 
     suspects = marked.filter("suspect").drop("suspect")
-    wanted = suspects.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(_norm, "norm binary")
+    wanted = suspects.groupBy("block").agg(F.collect_list("place").alias("places"))  # at most the rows of a block
+    held = sent.filter("data is not null").select("block", "place", "ends", "data")
+    texts = held.join(wanted.hint("merge"), "block").select("place", "ends", "data", "places").mapInArrow(_texts, "norm binary")
     # verified by bytes: the group is the whole text; two texts under one SHA-256 would end the run
     by_text = texts.groupBy("norm").agg(F.count("*").alias("n")).select(F.unhex(F.sha2("norm", 256)).alias("sha"), "n")
     by_sha = by_text.groupBy("sha").agg(F.sum("n").alias("group_size"), F.count("*").alias("texts"))

@@ -164,3 +164,20 @@ def test_written_shards_hold_all_rows(spark, docs, tmp_path):
     sharding.write_shards(d, str(tmp_path / "out"), limit=5_000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.select("shard").distinct().count() == 1
+
+
+def test_small_blocks_and_chunks_give_the_same_groups(docs, monkeypatch):
+    """Small blocks and chunks, texts longer than a block: groups as by hand."""
+    monkeypatch.setattr(exact_dedup, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(exact_dedup, "CHUNK_ROWS", 7)
+    rng = np.random.default_rng(8)
+    texts = [None if k % 13 == 0 else "Wort " * int(rng.integers(0, 30)) + ("AB" if k % 2 else "ab") for k in range(120)] + [f"alone {k}" for k in range(40)]
+    rows = list(enumerate(texts))
+    groups = {}
+    for i, t in rows:
+        groups.setdefault((t or "").lower(), []).append(i)
+    want = sorted((i, max(groups[(t or "").lower()]), len(groups[(t or "").lower()])) for i, t in rows)
+    got = exact_dedup.decision_rows(docs(rows).repartition(5))
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got.collect()) == want
+    sent = docs(rows).repartition(5).mapInArrow(exact_dedup._reader(3), exact_dedup.SENT_SQL)
+    assert sent.filter("data is not null").count() > 60 and sent.select("chunk").distinct().count() > 20
