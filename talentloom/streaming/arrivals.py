@@ -63,19 +63,34 @@ _HORIZON_MS = 24 * 3600 * 1000
 
 
 def dedup_uploads(arrivals: DataFrame, ts: str, row_id: str, key: Column, delay: str = "1 day") -> DataFrame:
-    """(upload_key, ts_us, row_id): for each key the earliest row so far, again whenever an earlier one arrives.
+    """(upload_key, ts_us, row_id): for each key and day the earliest row so far, again whenever rows of that key and day arrive.
 
-    The survivor is the smallest (ts, id), whatever the order of batches. State lasts a day beyond the watermark, which lags by
-    ``delay``; rows older than it are dropped. :func:`survivors` reads the last word of each key.
+    The survivor is the smallest (ts, id), whatever the order of batches. The state is a running minimum that Spark keeps for a key and a day until
+    the watermark, which lags by ``delay``, has passed that day; rows of a day that has passed are dropped. Rows without a time have no
+    state and are told as they come. :func:`survivors` reads the last word of each key.
     """
-    rows = arrivals.select(key.alias("upload_key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("ts_us"), F.col(row_id).cast("long").alias("row_id"))
-    kept = rows.withWatermark("ts", delay).groupBy("upload_key")
+    rows = _uploads(arrivals, ts, row_id, key)
+    told = ["upload_key", "ts_us", "row_id"]
+    best = rows.withWatermark("ts", delay).groupBy("upload_key", F.window("ts", "1 day")).agg(F.min(F.struct("ts_us", "row_id")).alias("best"))
+    return best.select("upload_key", "best.ts_us", "best.row_id").unionByName(rows.filter("ts IS NULL").select(*told))
+
+
+def dedup_uploads_by_timer(arrivals: DataFrame, ts: str, row_id: str, key: Column, delay: str = "1 day") -> DataFrame:
+    """:func:`dedup_uploads` with a timer for each key, which the key's rows put off: a call of Python for each key of a batch.
+
+    State lasts a day beyond the watermark; rows older than it are dropped.
+    """
+    kept = _uploads(arrivals, ts, row_id, key).withWatermark("ts", delay).groupBy("upload_key")
     return kept.applyInPandasWithState(_earliest, "upload_key string, ts_us long, row_id long", "ts_us long, row_id long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def _uploads(arrivals: DataFrame, ts: str, row_id: str, key: Column) -> DataFrame:
+    return arrivals.select(key.alias("upload_key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("ts_us"), F.col(row_id).cast("long").alias("row_id"))
+
+
 def survivors(told: DataFrame) -> DataFrame:
-    """One row a key of what :func:`dedup_uploads` has told: the smallest of all."""
-    best = told.groupBy("upload_key").agg(F.min(F.struct("ts_us", "row_id")).alias("best"))
+    """One row a key of what :func:`dedup_uploads` has told: the smallest of all, one without a time only where none has a time."""
+    best = told.groupBy("upload_key").agg(F.min(F.struct(F.col("ts_us").isNull(), "ts_us", "row_id")).alias("best"))
     return best.select("upload_key", F.col("best.row_id").alias("row_id"), F.timestamp_micros("best.ts_us").alias("ts"))
 
 

@@ -191,3 +191,17 @@ def test_registered_bands_cover_every_event(spark):
     got = entry.queries()["st_running_bands"](spark, SMALL).collect()
     assert sorted((r.window_start, r.band, r["rows"] + r["late"]) for r in got) == sorted(map(tuple, want.collect()))
     assert any(r["late"] for r in got) and any(r["final"] for r in got) and not all(r["final"] for r in got)
+
+
+def test_uploads_are_told_by_spark_itself_and_none_is_lost(spark, tmp_path):
+    """No call of Python for a key; a key without any time stays, and one with a time keeps its earliest row."""
+    rows = [(1, "2024-01-02 00:00:00", "a"), (2, "2024-01-01 00:00:00", "a"), (3, None, "a"), (4, None, "b"), (5, None, "b"), (6, "2024-01-01 00:00:00", "a")]
+    df = spark.createDataFrame(rows, "id long, at string, k string").selectExpr("id", "cast(at AS timestamp) AS ts", "k")
+    told, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    for part in ("id IN (1, 5, 6)", "id IN (2, 3, 4)"):
+        df.filter(part).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = A.dedup_uploads(A.read_arrivals(spark, str(tmp_path / "in"), df.schema), "ts", "id", F.col("k"), "400 days")
+        assert "FlatMapGroups" not in stream._jdf.queryExecution().analyzed().toString()
+        A.run_batches(stream, lambda b, _: b, told, mark, "update")
+    got = A.survivors(spark.read.schema("upload_key string, ts_us long, row_id long").parquet(told)).collect()
+    assert sorted((r.upload_key, r.row_id, r.ts is None) for r in got) == [("a", 2, False), ("b", 4, True)]
