@@ -125,7 +125,8 @@ def sim_text_tfidf(t):
 def sim_sections(t):
     """Every non-blank section of a résumé against every opening it was sent to, one row for each application.
 
-    A text of headings only has no section and is compared as a whole, as section "overall".
+    A text of headings only has no section and is compared as a whole, as section "overall". Vectors of openings, which are
+    short, travel to the applications; those of sections meet them last and are shuffled once a résumé, not once an application.
     """
     from talentloom.operators.joins import skew_join
     found = T.split_sections(F.col("text"))
@@ -138,7 +139,7 @@ def sim_sections(t):
     jd_vectors = V.tfidf(V.term_counts(t.jds, "jd_id", "text"), vocab, "jd_id").toDF("jd_id", "h_terms", "h_weights")
     sent = t.applications.filter("jd_id IS NOT NULL").select("application_id", "resume_id", "jd_id")
     with_vectors = parts.drop("text").join(part_vectors, "id", "left").drop("id")
-    pairs = skew_join(sent, with_vectors, "resume_id", "application_id", "inner")
-    both = skew_join(pairs, jd_vectors, "jd_id", "application_id", count_on=sent)
+    asked = skew_join(sent, jd_vectors, "jd_id", "application_id")
+    both = skew_join(asked, with_vectors, "resume_id", "application_id", "inner", count_on=sent)
     cosine = V.sparse_dot(F.col("terms"), F.col("weights"), F.col("h_terms"), F.col("h_weights"))
     return both.select("application_id", "resume_id", "jd_id", "section", V.similarity_score(cosine).alias("similarity"))

@@ -36,3 +36,14 @@ def test_every_application_has_its_sections(spark):
     got = {(r.application_id, r.resume_id, r.jd_id, r.section): r.similarity for r in rows}
     assert len(rows) == len(want) and set(got) == set(want)
     assert got == pytest.approx(want, abs=0.006)
+
+
+def test_vectors_of_sections_do_not_travel_with_applications(spark, monkeypatch):
+    """Only ids and the short vectors of openings move with the applications; sections are joined last."""
+    from talentloom.operators import joins
+    t = SimpleNamespace(resumes=spark.createDataFrame(RESUMES, "resume_id long, text string"), jds=spark.createDataFrame(JDS, "jd_id long, text string"),
+                        applications=spark.createDataFrame(APPLICATIONS, "application_id long, resume_id long, jd_id long"))
+    moved, join = [], joins.skew_join
+    monkeypatch.setattr(joins, "skew_join", lambda many, *a, **k: moved.append(set(many.columns)) or join(many, *a, **k))
+    sim_sections(t)
+    assert moved and not any({"section", "terms", "weights"} & columns for columns in moved)
