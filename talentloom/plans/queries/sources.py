@@ -45,7 +45,7 @@ def docx_files(df, path: str, paragraphs: str, cells: str):
         return f'<w:p><w:r><w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p>'
 
     def build(batches):
-        for batch in batches:
+        for batch in S.portions(batches):
             out = []
             for body, row in zip(batch[paragraphs], batch[cells]):
                 table = "".join(f"<w:tc>{run(c)}</w:tc>" for c in row.split("\n"))

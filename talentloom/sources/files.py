@@ -28,6 +28,9 @@ SHORT_DOCX = "Extracted text is very short or empty."
 EMPTY_PAGE = "no text extracted (may be scanned/image-based)"
 DOCX_ERROR = "DOCX parsing error: "
 
+# --- fixed values: files whose texts a Python worker holds at once
+FILES_AT_ONCE = 256
+
 DOCUMENT_COLUMNS = ["doc_id", "path", "file_type", "parsing_method", "raw_text", "warnings", "is_empty", "char_count"]
 
 
@@ -76,6 +79,13 @@ def docx_text(content: bytes) -> str:
     return "\n".join(said)
 
 
+def portions(batches: Iterator[pd.DataFrame], rows: int = FILES_AT_ONCE) -> Iterator[pd.DataFrame]:
+    """The rows of the batches, a few at a time: what is made of a batch leaves Python before the next part is made."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at:at + rows]
+
+
 def _parse_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def one(content: bytes) -> tuple[str, str | None]:
         try:
@@ -83,9 +93,9 @@ def _parse_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         except Exception as error:  # any broken upload is a row with a warning
             return "", DOCX_ERROR + re.sub(r"\s+", " ", str(error))
 
-    for batch in batches:
-        parsed = [one(c) for c in batch["content"]]
-        yield pd.DataFrame({"path": batch["path"], "raw_text": [t for t, _ in parsed], "error": [e for _, e in parsed]})
+    for part in portions(batches):
+        parsed = [one(c) for c in part["content"]]
+        yield pd.DataFrame({"path": part["path"], "raw_text": [t for t, _ in parsed], "error": [e for _, e in parsed]})
 
 
 def parse_docx(files: DataFrame) -> DataFrame:

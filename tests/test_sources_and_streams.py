@@ -205,3 +205,12 @@ def test_uploads_are_told_by_spark_itself_and_none_is_lost(spark, tmp_path):
         A.run_batches(stream, lambda b, _: b, told, mark, "update")
     got = A.survivors(spark.read.schema("upload_key string, ts_us long, row_id long").parquet(told)).collect()
     assert sorted((r.upload_key, r.row_id, r.ts is None) for r in got) == [("a", 2, False), ("b", 4, True)]
+
+
+def test_files_are_parsed_a_few_at_a_time():
+    """A worker holds the texts of a few files, whatever the size of a batch; all rows come out in order."""
+    rows = 2 * S.FILES_AT_ONCE + 3
+    out = list(S._parse_docx(iter([pd.DataFrame({"path": [f"p{i}" for i in range(rows)], "content": [b"no zip"] * rows}), pd.DataFrame({"path": [], "content": []})])))
+    assert [len(part) for part in out] == [S.FILES_AT_ONCE, S.FILES_AT_ONCE, 3]
+    assert [p for part in out for p in part["path"]] == [f"p{i}" for i in range(rows)]
+    assert all(part["error"].tolist() == [S.DOCX_ERROR + "File is not a zip file"] * len(part) for part in out)
