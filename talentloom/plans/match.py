@@ -17,7 +17,8 @@ from talentloom.functions.numeric import round1
 from talentloom.operators import gap as G
 from talentloom.operators import vectors as V
 from talentloom.operators.joins import skew_join
-from talentloom.operators.skills import SkillRules, plain_extras, skill_overlap
+from talentloom.operators.skills import SkillRules, overlap_parts, plain_extras, shown_pairs
+from talentloom.session import stored
 
 
 def text_facts(docs: DataFrame, doc_id: str, text: str, as_of_year: int) -> DataFrame:
@@ -71,9 +72,10 @@ def match(applications: DataFrame, resumes: DataFrame, jds: DataFrame, skills: S
           hot_rows: int | None = None, missing_words: bool = True, vocab: DataFrame | None = None) -> DataFrame:
     """One scored row per application.
 
-    ``resumes(resume_id, text)``, ``jds(jd_id, text)``.  Facts, term counts and skills are taken where a text lies. What
-    travels to the applications are facts and vectors; the text itself moves once, and only for ``missing_words``, the words
-    an opening repeats and the text lacks. ``vocab`` is that of the résumés given unless a fitted one is passed. All joins with applications spread hot keys.
+    ``resumes(resume_id, text)``, ``jds(jd_id, text)``.  Facts, term counts, skills and their shown names are taken where a text lies.
+    What travels to the applications are facts and vectors; the text itself moves once, and only for ``missing_words``, the words
+    an opening repeats and the text lacks. Those meet the bare applications first, so no scored row is shuffled again.
+    ``vocab`` is that of the résumés given unless a fitted one is passed. All joins with applications spread hot keys.
     """
     tune = {} if hot_rows is None else {"min_rows": hot_rows}
     wanted = jds.select("jd_id", F.col("text"))
@@ -82,18 +84,22 @@ def match(applications: DataFrame, resumes: DataFrame, jds: DataFrame, skills: S
     jd_vectors = V.tfidf(V.term_counts(wanted, "jd_id", "text"), vocab, "jd_id").toDF("jd_id", "jd_terms", "jd_weights")
     resume_vectors = V.tfidf(resume_terms, vocab, "resume_id")
 
-    openings = opening_facts(wanted, "jd_id", "text", skills).join(jd_vectors, "jd_id", "left")
+    openings = opening_facts(wanted, "jd_id", "text", skills).withColumn("jd_skill_keys", shown_pairs(F.col("jd_skill_keys")))
+    openings = stored(openings.join(jd_vectors, "jd_id", "left"), "openings")
     told = structure(text_facts(resumes, "resume_id", "text", as_of_year)).drop("text")
-    people = skills.attach(told, resumes, "resume_id", "text").join(resume_vectors, "resume_id", "left")
-    pairs = skew_join(applications, openings, "jd_id", "application_id", "left", **tune)
-    scored = score_pairs(skew_join(pairs.drop("jd_repeated"), people, "resume_id", "application_id", "inner", count_on=applications, **tune))
-    if not missing_words:
-        return scored
-    asking = pairs.filter(F.size("jd_repeated") > 0).select("application_id", "resume_id", "jd_repeated")
-    met = skew_join(asking, resumes.select("resume_id", "text"), "resume_id", "application_id", "inner", count_on=applications, **tune)
-    lacking = met.select("application_id", G.missing_keywords(F.col("text"), F.col("jd_repeated")).alias("missing_keywords"))
-    none = F.array().cast("array<string>")
-    return scored.join(lacking, "application_id", "left").withColumn("missing_keywords", F.coalesce("missing_keywords", none))
+    listed = skills.attach(told, resumes, "resume_id", "text")
+    people = listed.withColumn("skill_keys", shown_pairs(F.col("skill_keys"))).withColumn("plain_extras", plain_extras(F.col("skills"))).drop("skills")
+    people = people.join(resume_vectors, "resume_id", "left")
+    sent = applications
+    if missing_words:
+        asked = openings.filter(F.size("jd_repeated") > 0).select("jd_id", "jd_repeated")
+        asking = skew_join(applications.select("application_id", "resume_id", "jd_id"), asked, "jd_id", "application_id", "inner", **tune).drop("jd_id")
+        met = skew_join(asking, resumes.select("resume_id", "text"), "resume_id", "application_id", "inner", count_on=applications, **tune)
+        lacking = met.select("application_id", G.missing_keywords(F.col("text"), F.col("jd_repeated")).alias("missing_keywords"))
+        none = F.array().cast("array<string>")
+        sent = applications.join(lacking, "application_id", "left").withColumn("missing_keywords", F.coalesce("missing_keywords", none))
+    pairs = skew_join(sent, openings.drop("jd_repeated"), "jd_id", "application_id", "left", count_on=applications, **tune)
+    return score_pairs(skew_join(pairs, people, "resume_id", "application_id", "inner", count_on=applications, **tune))
 
 
 def score_pairs(joined: DataFrame) -> DataFrame:
@@ -102,31 +108,31 @@ def score_pairs(joined: DataFrame) -> DataFrame:
     has_jd = F.coalesce("has_jd", F.lit(False))
     cosine = V.sparse_dot(F.col("terms"), F.col("weights"), F.col("jd_terms"), F.col("jd_weights"))
     density = S.keyword_density(F.col("keywords"), F.col("jd_keywords"))
+    gap = overlap_parts(F.col("skill_keys"), F.col("jd_skill_keys"))
+    alone = {"matched": none, "missing": none, "extra": F.col("plain_extras"), "overlap_pct": F.lit(0.0)}
+    asked = [k for k in joined.columns if k == "missing_keywords"]
     step = joined.select(
         "application_id", "resume_id", "jd_id", has_jd.alias("has_jd"), "contact", "education", "years", "titles", "level",
         *[k for k in joined.columns if k.endswith("_score")], "missing_sections", "feedback_head", "richness_feedback", "feedback_tail",
         F.when(has_jd, V.similarity_score(cosine)).otherwise(0.0).alias("semantic"),
         F.when(has_jd, density).otherwise(F.col("richness")).alias("keyword_score"),
-        F.when(has_jd, skill_overlap(F.col("skill_keys"), F.col("jd_skill_keys"))).otherwise(F.struct(
-            none.alias("matched"), none.alias("missing"), plain_extras(F.col("skills")).alias("extra"),
-            F.lit(0.0).alias("overlap_pct"))).alias("gap"),
+        *[F.when(has_jd, gap[k]).otherwise(alone[k]).alias(k) for k in gap],
         S.experience_match(F.col("years"), F.col("jd_years"), has_jd).alias("experience_match"),
-        S.education_match(F.col("level"), F.col("jd_level"), has_jd).alias("education_match"),
+        S.education_match(F.col("level"), F.col("jd_level"), has_jd).alias("education_match"), *asked,
     )
     parts = {"sections": F.col("section_score"), "length": F.col("length_score"), "bullets": F.col("bullet_score"),
              "keywords": F.col("keyword_score"), "contact": F.col("contact_score"), "formatting": F.col("formatting_score")}
     scored = step.withColumn("ats_total", round1(S.structure_total(parts, F.col("has_jd"))))
-    composite = S.weighted({"semantic": F.col("semantic"), "skills": F.col("gap.overlap_pct"),
+    composite = S.weighted({"semantic": F.col("semantic"), "skills": F.col("overlap_pct"),
                             "experience": F.col("experience_match"), "education": F.col("education_match")}, rules.MATCH_WEIGHTS)
     keyword_feedback = F.when(F.col("has_jd"), S.density_feedback(F.col("keyword_score"))).otherwise(F.col("richness_feedback"))
     return scored.select(
         "application_id", "resume_id", "jd_id", "has_jd",
         F.when(F.col("has_jd"), round1(composite)).otherwise(F.col("ats_total")).alias("overall"),
-        round1(F.col("semantic")).alias("semantic"), F.col("gap.overlap_pct").alias("skill_pct"),
+        round1(F.col("semantic")).alias("semantic"), F.col("overlap_pct").alias("skill_pct"),
         "experience_match", "education_match", "ats_total",
         round1(F.col("section_score")).alias("section_score"), "length_score", "bullet_score",
         round1(F.col("keyword_score")).alias("keyword_score"), "contact_score", "formatting_score",
         "missing_sections", F.concat("feedback_head", keyword_feedback, "feedback_tail").alias("feedback"),
-        F.col("gap.matched").alias("matched"), F.col("gap.missing").alias("missing"), F.col("gap.extra").alias("extra"),
-        "contact", "education", "years", "titles", "level",
+        "matched", "missing", "extra", "contact", "education", "years", "titles", "level", *asked,
     )

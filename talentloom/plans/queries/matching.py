@@ -18,6 +18,7 @@ from talentloom.plans.inputs import AS_OF_YEAR
 from talentloom.plans.queries import sql as Q
 from talentloom.plans.queries.extraction import SECTION, YEARS
 from talentloom.plans.queries.registry import joined, joined_sql, query
+from talentloom.session import stored
 
 # --- check side: everything about a pair, as common table expressions ------------------------------------
 
@@ -107,8 +108,9 @@ MATCH_CTES = f"""
                      ELSE ats_total END AS overall FROM sc1)"""
 
 
-def matches(t, missing_words=False):
-    return M.match(t.applications, t.resumes.select("resume_id", "text"), t.jds, t.skill_rules, AS_OF_YEAR, missing_words=missing_words)
+def matches(t, missing_words=False, applications=None):
+    applications = stored(t.applications, "applications") if applications is None else applications
+    return M.match(applications, t.resumes.select("resume_id", "text"), t.jds, t.skill_rules, AS_OF_YEAR, missing_words=missing_words)
 
 
 # --- whole scores ------------------------------------------------------------------------------------------

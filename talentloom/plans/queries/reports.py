@@ -28,4 +28,4 @@ _ADVICE = f"""WITH {PARSED} SELECT reply_id AS resume_id, 'suggestions' AS secti
 def sink_application_report(t):
     applications = stored(t.applications, "applications")
     parsed = G.parse_replies(t.replies, "reply_id", "json", 3)
-    return R.application_report(matches(t, missing_words=True), applications, recommended(t), parsed, "reply_id").withColumn("band", F.col("band").cast("int"))
+    return R.application_report(matches(t, missing_words=True, applications=applications), applications, recommended(t), parsed, "reply_id").withColumn("band", F.col("band").cast("int"))

@@ -15,8 +15,7 @@ SHOWN = {"education": 3, "titles": 5, "jobs": 8}
 
 def _line(section: str, order: int, label: str, value: Column, score: Column | None = None, when: Column | None = None) -> Column:
     row = F.struct(
-        F.lit(section).alias("section"), F.lit(order).alias("ord"), F.lit(label).alias("label"),
-        T.to_latin1(value.cast("string")).alias("value"),
+        F.lit(section).alias("section"), F.lit(order).alias("ord"), F.lit(label).alias("label"), value.cast("string").alias("value"),
         (F.lit(None).cast("int") if score is None else S.band(score)).alias("band"))
     return row if when is None else F.when(when, row)
 
@@ -27,7 +26,10 @@ def _score(section: str, order: int, label: str, column: str, when: Column | Non
 
 
 def report_lines(matches: DataFrame) -> DataFrame:
-    """Lines of scored applications; a projection and an explode, no shuffle.  Empty fields leave no line."""
+    """Lines of scored applications; a projection and an explode, no shuffle.  Empty fields leave no line.
+
+    Values become Latin-1 and messages get their label once they are rows, in generated code; a function of arrays would interpret all it holds.
+    """
     jd, alone = F.col("has_jd"), ~F.col("has_jd")
     contact = F.concat_ws(" | ", "contact.email", "contact.phone")
 
@@ -63,10 +65,11 @@ def report_lines(matches: DataFrame) -> DataFrame:
             "No explicit technical skills extracted."), when=alone),
     )
     tips = F.transform("feedback", lambda m, i: F.struct(
-        F.lit("feedback").alias("section"), i.alias("ord"), S.severity(m).alias("label"), T.to_latin1(m).alias("value"),
+        F.lit("feedback").alias("section"), i.alias("ord"), F.lit(None).cast("string").alias("label"), m.alias("value"),
         F.lit(None).cast("int").alias("band")))
-    every = F.concat(F.filter(fixed, lambda r: r.isNotNull()), tips)
-    return matches.select("application_id", "resume_id", "jd_id", F.inline(every))
+    rows = matches.select("application_id", "resume_id", "jd_id", F.inline(F.concat(fixed, tips))).filter(F.col("section").isNotNull())
+    label = F.when(F.col("section") == "feedback", S.severity(F.col("value"))).otherwise(F.col("label"))
+    return rows.withColumns({"label": label, "value": T.to_latin1(F.col("value"))})
 
 
 def job_lines(jobs: DataFrame) -> DataFrame:

@@ -163,6 +163,34 @@ def test_match_invariants_and_report(spark):
     m.unpersist()
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scored_rows_meet_nothing_more_and_names_are_shown_once(spark):
+    """The words that a text lacks meet the bare applications, and no name is put into its shown form for a pair."""
+    m = _match(spark, [(1, 1, 1), (2, 1, None)], [(1, GOOD)], [(1, "Kotlin teams; teams use Python and kotlin")])
+    rows = {r["application_id"]: r for r in m.collect()}
+    assert rows[1]["missing_keywords"] == ["kotlin", "teams"] and rows[2]["missing_keywords"] == []
+    plan = _plan(m).splitlines()
+    assert "resume_id" in next(line for line in plan if "Join" in line)
+    above = "".join(plan[:next(i for i, line in enumerate(plan) if "Join" in line)])
+    assert "initcap" not in above
+
+
+def test_phrases_are_sought_once(spark):
+    docs = spark.createDataFrame([(1, GOOD)], "id long, text string")
+    assert "posexplode" not in _plan(small_rules(spark).attach(docs.select("id"), docs, "id", "text"))
+
+
+def test_report_values_become_latin1_as_rows(spark):
+    m = _match(spark, [(1, 1, None)], [(1, GOOD.replace("John Doe", "John Doe—漢"))], [(1, "Python")])
+    lines = R.report_lines(m)
+    inline = next(line for line in _plan(lines).splitlines() if "inline(" in line)
+    assert "regexp_replace" not in inline and "filter(" not in inline
+    assert lines.filter("section IS NULL OR value IS NULL OR label IS NULL").count() == 0
+
+
 # --- phrase index and vectors ---
 
 
