@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,10 +25,28 @@ def _any_of(pairs: Sequence[tuple[Column, str]]) -> Column:
     return F.concat(*[F.when(cond, F.array(F.lit(name))).otherwise(none) for cond, name in pairs])
 
 
+#: The other characters that a match without case takes for an ASCII letter (i, s, k); lower-casing a text does not turn them all into it.
+_FOLDED = "\u0131\u0130\u017f\u212a"
+
+
+def _mentions(c: Column, words: Sequence[str]) -> Column:
+    """May a pattern that cannot do without one of these lower-case words match? A plain search, which spares most texts the pattern."""
+    low = F.lower(c)
+    found = [F.contains(low, F.lit(w)) for w in words] + [F.contains(c, F.lit(ch)) for ch in _FOLDED]
+    return reduce(lambda a, b: a | b, found)
+
+
+def _matches_of(c: Column, pattern: str, words: Sequence[str] | None) -> Column:
+    """All matches of a pattern without case, which is tried only where one of the words it needs stands."""
+    found = T.all_matches(c, ANY_CASE + pattern)
+    return found if words is None else F.when(_mentions(c, words), found).otherwise(F.array().cast("array<string>"))
+
+
 # --- contact --------------------------------------------------------------------------------------
 
 def email(c: Column) -> Column:
-    return T.first_match(T.blank_if_null(c), "(?U)" + rules.EMAIL)
+    c = T.blank_if_null(c)
+    return F.when(F.contains(c, F.lit("@")), T.first_match(c, "(?U)" + rules.EMAIL))
 
 
 def phone(c: Column) -> Column:
@@ -48,7 +67,7 @@ def is_contact_line(line: Column) -> Column:
 
 def name(c: Column) -> Column:
     """First of the five opening lines that looks like a full name of two to four words."""
-    opening = F.slice(F.filter(F.transform(T.lines(T.blank_if_null(c)), T.strip), lambda l: l != ""), 1, 5)
+    opening = F.transform(F.slice(F.filter(T.lines(T.blank_if_null(c)), lambda l: l.rlike(r"(?U)\S")), 1, 5), T.strip)
     shaped = F.filter(opening, lambda l: l.rlike(r"^[A-Za-z'.\-]+(?U:\s+[A-Za-z'.\-]+){1,3}$"))
     return T.capitalize_words(F.get(F.filter(shaped, lambda l: ~is_contact_line(l)), F.lit(0)))
 
@@ -65,7 +84,7 @@ def contact(c: Column) -> Column:
 
 def sections(c: Column) -> Column:
     c = T.blank_if_null(c)
-    return _any_of([(c.rlike(ANY_CASE + p), n) for n, p in rules.SECTION_PATTERNS.items()])
+    return _any_of([(_mentions(c, rules.SECTION_WORDS[n]) & c.rlike(ANY_CASE + p), n) for n, p in rules.SECTION_PATTERNS.items()])
 
 
 def experience_section(c: Column) -> Column:
@@ -157,18 +176,19 @@ def degrees(c: Column) -> Column:
     c = T.blank_if_null(c)
     # a look at the first letter spares the word-boundary test on most characters
     firsts = ["(?=[pd])", "(?=m)", "(?=b)", "(?=a)", "(?=[dc])"]
-    return F.array_distinct(F.concat(*[T.all_matches(c, ANY_CASE + f + p) for f, p in zip(firsts, rules.DEGREE_PATTERNS)]))
+    return F.array_distinct(F.concat(*[_matches_of(c, f + p, w) for f, p, w in zip(firsts, rules.DEGREE_PATTERNS, rules.DEGREE_WORDS)]))
 
 
 def study_fields(c: Column, fields: Sequence[str] = rules.STUDY_FIELDS) -> Column:
     """Fields named anywhere, also inside longer words."""
-    listed = constant_pairs({f.lower(): f for f in fields})
-    return bind(F.lower(T.blank_if_null(c)), lambda low: F.transform(
-        F.filter(listed, lambda f: F.contains(low, f["k"])), lambda f: f["v"]))
+    low = F.lower(T.blank_if_null(c))
+    return _any_of([(F.contains(low, F.lit(k)), f) for k, f in {f.lower(): f for f in fields}.items()])
 
 
 def institutions(c: Column) -> Column:
-    return F.array_distinct(T.all_matches(T.blank_if_null(c), "(?U)" + rules.INSTITUTION))
+    c = T.blank_if_null(c)
+    named = reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in rules.INSTITUTION_WORDS])
+    return F.when(named, F.array_distinct(T.all_matches(c, "(?U)" + rules.INSTITUTION))).otherwise(F.array().cast("array<string>"))
 
 
 def education(c: Column) -> Column:
@@ -196,7 +216,7 @@ def highest_degree(items: Column, undot: bool = False) -> Column:
 
 def job_titles(c: Column) -> Column:
     c = T.blank_if_null(c)
-    found = F.concat(*[T.all_matches(c, ANY_CASE + p) for p in rules.TITLE_PATTERNS])
+    found = F.concat(*[_matches_of(c, p, w) for p, w in zip(rules.TITLE_PATTERNS, rules.TITLE_WORDS)])
     return F.array_distinct(F.filter(F.transform(found, T.strip), lambda t: t != ""))
 
 

@@ -122,3 +122,14 @@ def test_facts_do_not_depend_on_partitioning(spark):
     one = {tuple(map(str, r)) for r in resumes.coalesce(1).select("resume_id", *pick).collect()}
     many = {tuple(map(str, r)) for r in resumes.repartition(7).select("resume_id", *pick).collect()}
     assert one == many
+
+
+def test_patterns_are_tried_only_where_a_word_they_need_stands(spark):
+    """Letters that a match without case takes for i, s and k count as those; plain searches stand before the patterns."""
+    rows = ["Analy\u017ft", "\u212a\u0131 eng\u0131neer", "per\u017fonal details", "D\u0130PLOMA", "none of it"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").coalesce(1)
+    found = df.select(X.job_titles(F.col("t")).alias("a"), X.sections(F.col("t")).alias("b"), X.degrees(F.col("t")).alias("c"))
+    told = [tuple(r) for r in found.collect()]
+    assert [t[0] for t in told] == [["Analy\u017ft"], ["eng\u0131neer"], [], [], []]
+    assert told[2][1] == ["contact"] and told[3][2] == ["D\u0130PLOMA"] and told[4] == ([], [], [])
+    assert "contains" in found._jdf.queryExecution().optimizedPlan().toString().lower()
