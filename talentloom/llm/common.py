@@ -67,16 +67,16 @@ def pick_rows(docs: DataFrame, decided: DataFrame, digest: Callable[[Column], Co
     Rows are found again by doc_id. Only ids that stand for several rows need the digest of the text
     as well; of several rows alike in both, the one with the smallest text stays.
     """
-    mine, theirs, own, other = (fresh(docs, n) for n in ("id_", "of_", "digest_", "wanted_"))
+    theirs, its, own, other = (fresh(docs, n) for n in ("of_", "its_id_", "digest_", "wanted_"))
     per_id = decided.groupBy(F.col("doc_id").alias(theirs)).agg(F.count("*").alias("n"), F.max("kept").alias("stays"))
-    columns = docs.columns
-    docs = docs.withColumn(mine, F.col("doc_id").cast("long"))
-    same_id = F.col(mine).eqNullSafe(F.col(theirs))
-    # one id for each document: never a table to broadcast, so the plan is the same at every size
+    same_id = F.col("doc_id").cast("long").eqNullSafe(F.col(theirs))
+    # one id for each document: never a table to broadcast, so the plan is the same at every size; both joins read one shuffle of the texts
     single = docs.join(per_id.filter("n = 1 and stays").select(theirs).hint("merge"), same_id, "left_semi")
-    several = docs.join(per_id.filter("n > 1 and stays").select(theirs), same_id, "left_semi").withColumn(own, digest(F.col("text")))
-    stay = decided.filter("kept").select(F.col("doc_id").alias(theirs), F.col("digest").alias(other)).distinct()
-    several = several.join(stay, same_id & (F.col(own) == F.col(other)), "left_semi")
-    row = F.struct(*[f"`{c}`" for c in columns])
-    one = several.groupBy(mine, own).agg(F.min_by(row, or_empty(F.col("text"))).alias("row"))
-    return single.drop(mine).unionByName(one.select("row.*"))
+    # digests are taken behind an inner join, and the next one asks for its id and takes nulls as equal (there are none); else the
+    # optimizer would take the digest of every text before it is shuffled, and shuffle the texts once more
+    several = docs.join(per_id.filter("n > 1 and stays").select(theirs).hint("merge"), same_id).withColumn(own, digest(F.col("text")))
+    stay = decided.filter("kept").select(F.col("doc_id").alias(its), F.col("digest").alias(other)).distinct()
+    several = several.join(stay, F.col(theirs).eqNullSafe(F.col(its)) & F.col(own).eqNullSafe(F.col(other)), "left_semi")
+    row = F.struct(*[f"`{c}`" for c in docs.columns])
+    one = several.groupBy(theirs, own).agg(F.min_by(row, or_empty(F.col("text"))).alias("row"))
+    return single.unionByName(one.select("row.*"))

@@ -180,6 +180,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row += n
 
 
+def _of_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) where the words are those of the node."""
+    for batch in batches:
+        same = [word_print(words_of(t.as_py())) == p for p, t in zip(batch.column(1).to_pylist(), batch.column(2))]
+        yield batch.filter(pa.array(same, pa.bool_())).select(["node", "text"])
+
+
 CHUNK = pa.schema([("chunk", pa.int64()), ("nodes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
 CHUNK_SQL = "chunk long, nodes array<long>, lengths array<long>, data binary"
 
@@ -426,8 +433,9 @@ def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = rows.filter("row = node").join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id"), "print")
     same = F.col("id").eqNullSafe(F.col("of"))
     once = docs.join(ids.join(several, same, "left_anti").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-    more = docs.join(ids.join(several, same, "left_semi"), F.col("doc_id").eqNullSafe(F.col("id"))).withColumn("mine", print_of(F.col("text")))
-    return once.unionByName(more.filter("mine = print").dropDuplicates(["node"]).select("node", "text"))
+    more = docs.join(ids.join(several, same, "left_semi").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "print", "text")
+    mine = more.mapInArrow(_of_print, "node long, text string")  # a function of rows, so no text is read before its id is known to have several
+    return once.unionByName(mine.dropDuplicates(["node"]))
 
 
 def print_of(text: Column) -> Column:

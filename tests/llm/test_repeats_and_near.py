@@ -6,9 +6,11 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from talentloom.llm import near_dedup, phrases, suffixes
+from talentloom.llm.common import pick_rows
 from talentloom.llm.repeats import Fragment
 
 
@@ -242,3 +244,35 @@ def test_pipeline_stage_by_stage(spark, documents, folder):
 def test_run_gives_the_packed_mix(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.filter("length(ids) != 4 * length").count() == 0 and got.count() > 0
+
+
+# --- texts found again by their ids ---
+
+
+def no_digest(text):
+    @F.arrow_udf("binary")
+    def digests(texts):
+        raise ValueError("a digest was taken")
+
+    return digests(text)
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_texts_of_single_ids_need_no_digest(spark, docs, broadcast):
+    rows = docs([(i, f"text {i} " * 30) for i in range(50)])
+    decided = near_dedup.kept(spark, rows.select("doc_id", (F.col("doc_id") % 2 == 0).alias("kept"), F.col("text").cast("binary").alias("digest")), "decided")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        left = pick_rows(rows, decided, no_digest)
+        assert sorted(r.doc_id for r in left.collect()) == list(range(0, 50, 2))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_of_nodes_are_compared_by_words_after_their_ids(spark, docs):
+    table = docs([(1, "a b"), (2, "c"), (2, "d"), (2, "d "), (None, "e")]).select("doc_id", "text")
+    rows = spark.createDataFrame([(10, 10, 1, near_dedup.word_print([b"a", b"b"])), (11, 11, 2, near_dedup.word_print([b"c"])), (12, 12, 2, near_dedup.word_print([b"d"])),
+                                  (13, 12, 2, near_dedup.word_print([b"d"])), (14, 14, None, near_dedup.word_print([b"e"]))], "row long, node long, doc_id long, print binary")
+    found = near_dedup._texts_of(table, rows, rows.select("node").distinct())
+    assert sorted((r.node, r.text.strip()) for r in found.collect()) == [(10, "a b"), (11, "c"), (12, "d"), (14, "e")]
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
