@@ -16,7 +16,7 @@ is a set of documents that links connect.
    then ``GROWTH`` times as many each round by hash - and verifies leaders against members of other components.
    Found links merge components. Pairs are left out that cannot be linked because one has too many shingles
    that no other text has, by their distances to a common leader, or (after the first round) because the counts of their common
-   shingles, by classes of their hashes, differ too much. The rounds end when every candidate pair is connected, ruled out or verified, so no
+   shingles, by classes of their hashes, differ too much. A node leaves a bucket for good once lengths and common shingles rule out a link to all other components there. The rounds end when every candidate pair is connected, ruled out or verified, so no
    link between candidates is lost, and pairs inside a family that hangs together are never looked at.
 
 Verification merges the two lists of shingles within the band that a similarity of 0.8 allows, which makes it
@@ -372,14 +372,34 @@ def _links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         roots = components(linked if found is None else found.unionByName(linked))
         found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a != b")  # connects as much
         low, high = high, (1.0 + GROWTH if high < 1 else 1.0 + (high - 1.0) * GROWTH)
-        # a bucket lives while those of its nodes that have not led lie in more than one component
-        left = members.filter(F.col("turn") > low).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        several = left.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("bucket")
-        alive = kept(spark, left.join(several, "bucket", "left_semi").join(common.select("node", "counters"), "node"), "alive")
+        # a row that has gone does not come back: components only grow together, and leaders leave
+        left = (alive if counted else members).drop("comp").filter(F.col("turn") > low).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        left = _still_open(left)
+        alive = kept(spark, left if counted else left.join(common.select("node", "counters"), "node"), "alive")
         if alive.isEmpty():
             return found
 
 
+def _still_open(rows: DataFrame) -> DataFrame:
+    """The rows whose bucket may hold a link to another component, by lengths and common shingles.
+
+    A node of ``common`` shingles is linked to none longer than its reach. A row stays where the shortest node of all other components of
+    its bucket lies within its reach, and the farthest reach of theirs takes in its own length. Both hold for every pair that
+    ``_may_link`` lets pass, so only rows go that no such pair has.
+    """
+    reach = (F.col("common") + 2e-6) * ((1 + SIMILAR) / SIMILAR) - F.col("n")
+    rows = rows.withColumn("reach", reach)
+    per_comp = rows.groupBy("bucket", "comp").agg(F.min("n").alias("short"), F.max("reach").alias("far_reach"))
+    first = per_comp.groupBy("bucket").agg(F.min(F.struct("short", "comp")).alias("s"), F.max(F.struct("far_reach", "comp")).alias("r"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+    # those of the second best, for the rows of the component that has the best
+    others = per_comp.join(first, "bucket").groupBy("bucket").agg(
+        F.first("s").alias("s"), F.first("r").alias("r"),
+        F.min(F.when(F.col("comp") != F.col("s.comp"), F.col("short"))).alias("s2"), F.max(F.when(F.col("comp") != F.col("r.comp"), F.col("far_reach"))).alias("r2"))
+    shortest = F.when(F.col("comp") == F.col("s.comp"), F.col("s2")).otherwise(F.col("s.short"))
+    farthest = F.when(F.col("comp") == F.col("r.comp"), F.col("r2")).otherwise(F.col("r.far_reach"))
+    return rows.join(others, "bucket").filter((shortest <= F.col("reach")) & (farthest >= F.col("n"))).drop("reach", "s", "r", "s2", "r2")
+
+
 def _common_shingles(chunks: DataFrame) -> DataFrame:
     """(node, common, counters): how many shingles of a node some other node has as well, in all and by ``COUNTERS`` classes of their hashes.
 

@@ -199,6 +199,39 @@ def test_a_large_family_around_the_threshold(docs):
     assert {r.doc_id: r.class_id for r in near_dedup.class_rows(docs(rows)).collect()} == want
 
 
+def test_nodes_leave_buckets_where_no_other_component_is_in_reach(docs, monkeypatch):
+    """Two families share a passage and so buckets, but no text of one is long enough for a link to the other."""
+    rng = np.random.default_rng(14)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for first, words in ((0, base), (1000, base + [f"more{i}" for i in range(80)])):
+        for k in range(60):
+            w = list(words)
+            for i in rng.choice(200, 2, replace=False):  # never so many that a family does not hang together at once
+                w[i] = f"edit{first + k}"
+            rows.append((first + k, " ".join(w)))
+    open_rows, write = [], near_dedup.kept
+
+    def record(spark, df, name):
+        out = write(spark, df, name)
+        if name == "alive":
+            open_rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "kept", record)
+    assert {r.doc_id: r.class_id for r in near_dedup.class_rows(docs(rows)).collect()} == brute_classes(rows)
+    assert len(open_rows) == 2 and open_rows[-1] == 0  # two rounds join what hangs together, a third one went through the buckets of both before
+
+
+def test_a_row_stays_open_for_the_second_best_component(spark):
+    """Bucket 1: each of two components is in reach of the other; 2: one component; 3: a third one too far; 4: what is in reach lies in the own component."""
+    rows = [(1, 1, 100, 95, 1), (1, 2, 100, 100, 2), (2, 3, 100, 100, 3), (2, 4, 90, 90, 3), (3, 5, 100, 100, 5), (3, 6, 100, 100, 6), (3, 7, 200, 200, 7),
+            (4, 8, 100, 100, 8), (4, 9, 100, 100, 8), (4, 10, 126, 126, 10), (4, 11, 125, 125, 11)]
+    got = near_dedup._still_open(spark.createDataFrame(rows, "bucket long, node long, n long, common long, comp long"))
+    assert got.columns == ["bucket", "node", "n", "common", "comp"]
+    assert sorted(r.node for r in got.collect()) == [1, 2, 5, 6, 8, 9, 10, 11]
+
+
 def test_similarity_keeps_the_order():
     words = [f"a{i}".encode() for i in range(100)]
     a, b = near_dedup.shingles(words), near_dedup.shingles(words[50:] + words[:50])
