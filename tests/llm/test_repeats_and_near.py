@@ -110,6 +110,27 @@ def test_frequent_anchors_go_window_by_window(docs, monkeypatch):
     assert np.concatenate(suffixes.judge(whole)).tolist() == np.concatenate(suffixes.judge(split)).tolist()
 
 
+def test_only_shared_strings_are_put_in_order(monkeypatch):
+    """Fragments that share an anchor but no string of 50 bytes stay out of the suffix order; those that share one are judged as by brute force."""
+    rng = np.random.default_rng(11)
+    word = lambda n: bytes(rng.integers(97, 123, n).tolist())
+    alone = [Fragment(word(30) + b"a common anchor." + word(30), d, 0, 27) for d in range(40)]
+    line = word(70)
+    met = [Fragment(word(9) + line[:60], 5, 0, 20), Fragment(line, 3, 0, 21), Fragment(line, 9, 0, 21), Fragment(line[5:] + word(4), 7, 0, 20), Fragment(b"z" * 60, 8, 0, 11)]
+    sizes, order = [], suffixes.suffix_order
+    monkeypatch.setattr(suffixes, "suffix_order", lambda text: sizes.append(len(text)) or order(text))
+    assert not np.concatenate(suffixes.judge([*alone, alone[0], met[4]])).any() and not sizes
+    fragments = [*alone[:20], *met, *alone[20:]]
+    got = suffixes.judge(fragments)
+    first: dict[bytes, int] = {}
+    for f in fragments:
+        for k in range(f.windows):
+            s = f.content[k:k + 50]
+            first[s] = min(first.get(s, f.doc), f.doc)
+    assert [x.tolist() for x in got] == [[first[f.content[k:k + 50]] < f.doc for k in range(f.windows)] for f in fragments]
+    assert max(sizes) == 69 + 70 + 69 + 2  # three distinct fragments and what closes them
+
+
 # --- near-duplicates ---
 
 
