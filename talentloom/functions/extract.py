@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,9 +36,12 @@ def _mentions(c: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, found)
 
 
-def _matches_of(c: Column, pattern: str, words: Sequence[str] | None) -> Column:
-    """All matches of a pattern without case, which is tried only where one of the words it needs stands."""
-    found = T.all_matches(c, ANY_CASE + pattern)
+def _matches_of(c: Column, pattern: str, words: Sequence[str] | None, use: Callable[[Column], Column] = lambda found: found) -> Column:
+    """All matches of a pattern without case, which is tried only where one of the words it needs stands; and what ``use`` makes of them.
+
+    The test stays outside of any function of arrays: in generated code the text is lower-cased once for all words.
+    """
+    found = use(T.all_matches(c, ANY_CASE + pattern))
     return found if words is None else F.when(_mentions(c, words), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -216,8 +219,13 @@ def highest_degree(items: Column, undot: bool = False) -> Column:
 
 def job_titles(c: Column) -> Column:
     c = T.blank_if_null(c)
-    found = F.concat(*[_matches_of(c, p, w) for p, w in zip(rules.TITLE_PATTERNS, rules.TITLE_WORDS)])
-    return F.array_distinct(F.filter(F.transform(found, T.strip), lambda t: t != ""))
+    # the first letters spare the alternatives on most words; white space in front, which a pattern also takes, is stripped anyway
+    firsts = ["(?=[sjlpcwfbmdaqte][eurthoalincpd])", "(?=[petomshf])", "(?=[cvs])"]
+
+    def named(first: str, pattern: str, words: Sequence[str]) -> Column:
+        return _matches_of(c, first + pattern, words, lambda found: F.filter(F.transform(found, T.strip), lambda t: t != ""))
+
+    return F.array_distinct(F.concat(*[named(f, p, w) for f, p, w in zip(firsts, rules.TITLE_PATTERNS, rules.TITLE_WORDS)]))
 
 
 def _whole_word(keyword: str) -> str:

@@ -19,6 +19,7 @@ HEAD_TERMS = 10_000
 BUCKETS = 1 << 20
 SPARE = 3
 WORDS_AT_ONCE = 1 << 19
+FEW_SHARED = 64
 
 
 def bigrams(words: Column) -> Column:
@@ -243,7 +244,25 @@ def tfidf_vectors(docs: DataFrame, doc_id: str, text: str, *, corpus: DataFrame
 
 
 def sparse_dot(terms_a: Column, weights_a: Column, terms_b: Column, weights_b: Column) -> Column:
-    """Dot product of two sparse vectors in one row whose terms are sorted: one pass over both lists."""
+    """Dot product of two sparse vectors in one row whose terms are sorted and distinct; products add up in the order of the terms.
+
+    Few vectors share more than some terms: each of these is looked up, which takes a search of both lists but no step for all other
+    terms. Where more than FEW_SHARED are shared, one pass goes over both lists.
+    """
+    def weight(terms: Column, weights: Column, term: Column) -> Column:
+        return F.get(weights, (F.array_position(terms, term) - 1).cast("int"))
+
+    def looked_up(shared: Column) -> Column:
+        return F.aggregate(shared, F.lit(0.0), lambda acc, x: acc + weight(terms_a, weights_a, x) * weight(terms_b, weights_b, x))
+
+    def either(shared: Column) -> Column:
+        return F.when(F.size(shared) <= FEW_SHARED, looked_up(shared)).otherwise(_merged_dot(terms_a, weights_a, terms_b, weights_b))
+
+    return F.coalesce(bind(F.array_intersect(terms_a, terms_b), either), F.lit(0.0))
+
+
+def _merged_dot(terms_a: Column, weights_a: Column, terms_b: Column, weights_b: Column) -> Column:
+    """:func:`sparse_dot` in one pass over both lists."""
     def step(at: Column, _: Column) -> Column:
         a, b = F.get(terms_a, at["i"]), F.get(terms_b, at["j"])
         ahead, behind = F.coalesce(a <= b, F.lit(True)), F.coalesce(a >= b, F.lit(True))

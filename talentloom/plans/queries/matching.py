@@ -108,9 +108,10 @@ MATCH_CTES = f"""
                      ELSE ats_total END AS overall FROM sc1)"""
 
 
-def matches(t, missing_words=False, applications=None):
+def matches(t, missing_words=False, applications=None, resumes=None):
     applications = stored(t.applications, "applications") if applications is None else applications
-    return M.match(applications, t.resumes.select("resume_id", "text"), t.jds, t.skill_rules, AS_OF_YEAR, missing_words=missing_words)
+    resumes = stored(t.resumes.select("resume_id", "text"), "resumes") if resumes is None else resumes  # their texts are read up to four times
+    return M.match(applications, resumes, t.jds, t.skill_rules, AS_OF_YEAR, missing_words=missing_words)
 
 
 # --- whole scores ------------------------------------------------------------------------------------------

@@ -67,7 +67,8 @@ def report_lines(matches: DataFrame) -> DataFrame:
     tips = F.transform("feedback", lambda m, i: F.struct(
         F.lit("feedback").alias("section"), i.alias("ord"), F.lit(None).cast("string").alias("label"), m.alias("value"),
         F.lit(None).cast("int").alias("band")))
-    rows = matches.select("application_id", "resume_id", "jd_id", F.inline(F.concat(fixed, tips))).filter(F.col("section").isNotNull())
+    told = matches.select("application_id", "resume_id", "jd_id", fixed.alias("fixed"), tips.alias("tips"))
+    rows = told.select("application_id", "resume_id", "jd_id", F.inline(F.concat("fixed", "tips"))).filter(F.col("section").isNotNull())
     label = F.when(F.col("section") == "feedback", S.severity(F.col("value"))).otherwise(F.col("label"))
     return rows.withColumns({"label": label, "value": T.to_latin1(F.col("value"))})
 
