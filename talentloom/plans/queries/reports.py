@@ -26,6 +26,7 @@ _ADVICE = f"""WITH {PARSED} SELECT reply_id AS resume_id, 'suggestions' AS secti
     told AS (SELECT resume_id, section, ord::INT AS ord, label, value, band FROM ({_JOBS}) UNION ALL SELECT resume_id, section, ord::INT, label, value, band FROM ({_ADVICE}))
     SELECT * FROM whole UNION ALL SELECT application_id, a.resume_id, jd_id, section, ord, label, value, band FROM applications a JOIN told USING (resume_id)""")
 def sink_application_report(t):
-    applications = stored(t.applications, "applications")
+    applications, resumes = stored(t.applications, "applications"), stored(t.resumes.select("resume_id", "text"), "resumes")
     parsed = G.parse_replies(t.replies, "reply_id", "json", 3)
-    return R.application_report(matches(t, missing_words=True, applications=applications), applications, recommended(t), parsed, "reply_id").withColumn("band", F.col("band").cast("int"))
+    scored = matches(t, missing_words=True, applications=applications, resumes=resumes)
+    return R.application_report(scored, applications, recommended(t, resumes), parsed, "reply_id").withColumn("band", F.col("band").cast("int"))

@@ -50,9 +50,9 @@ TOPN = f"""
              CASE WHEN length(features) > 200 THEN features[1:200] || '...' ELSE features END AS snippet FROM best WHERE rank <= 10)"""
 
 
-def recommended(t):
+def recommended(t, resumes=None):
     catalogue = R.job_catalogue(t.jobs, "role", "features", "row_id")
-    return R.recommend(t.resumes.select("resume_id", "text"), catalogue, "resume_id", "text")
+    return R.recommend(t.resumes.select("resume_id", "text") if resumes is None else resumes, catalogue, "resume_id", "text")
 
 
 @query("rec_topn", f"{TOPN} SELECT * FROM recs")

@@ -12,7 +12,7 @@ from talentloom.functions import extract as X
 from talentloom.functions import text as T
 from talentloom.operators import vectors as V
 from talentloom.plans.inputs import Inputs
-from talentloom.plans.queries import matching
+from talentloom.plans.queries import matching, reports
 from talentloom.plans.report import report_lines
 
 
@@ -47,6 +47,7 @@ def test_texts_are_put_together_once(spark):
     """All that reads the texts of résumés reads them from one stored table, not each time from the given one."""
     inputs = Inputs(spark, SMALL)
     assert "customer" not in _plan(matching.matches(inputs, missing_words=True))
+    assert "customer" not in _plan(reports.sink_application_report(inputs))
 
 
 def test_report_lines_are_made_in_generated_code(spark):
